@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import let
 
-BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-
 #: Frequent function words of the four corpus languages. Fixed values.
 STOP_WORDS = {
     "en": "the of and a to in is it that for was on with as be by this are at from or an",
@@ -57,7 +54,7 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
     Texts whose windows are all distinct, found by hashing, end there; others sort their windows.
     """
     n = F.size(words)
-    window = F.transform(F.slice(words, 1, F.greatest(n - (width - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, width)]))
+    window = F.transform(F.slice(words, 1, F.greatest(n - (width - 1), F.lit(0))), lambda w, i: F.concat(w, *[x for k in range(1, width) for x in (F.lit(" "), F.get(words, i + k))]))
 
     def covered(windows: Column) -> Column:
         ordered = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
@@ -79,26 +76,25 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
 
 def metrics(text: Column) -> Column:
     """A struct of counts and ratios of one text."""
-    stop = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws.split()})])
-    longest = max(len(w) for ws in STOP_WORDS.values() for w in ws.split())
+    stop = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
 
     def of(t: Column) -> Column:
-        letters = F.translate(t, BLANKS, "")
-        kept_lines = F.filter(F.split(t, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
-        lower = let(F.lower(t), lambda low: words_of(F.translate(low, ".,;:!?\"()#*$%&|<>", "")))
+        kept_lines = F.filter(F.split(t, "\n"), lambda line: F.rlike(line, F.lit(r"[^ \t-\r]")))
+        lower = F.array_remove(F.split(F.lower(t), r"[ \t-\r.,;:!?\"()#*$%&|<>]+"), "")
+        marks = F.regexp_replace(t, r"[^#*$%&|<>!\p{Lu}]+", "")
         return let(
-            F.struct(words_of(t).alias("words"), kept_lines.alias("lines"), F.array_distinct(kept_lines).alias("own_lines"), lower.alias("lower"), F.length(letters).cast("long").alias("word_chars")),
+            F.struct(words_of(t).alias("words"), kept_lines.alias("lines"), F.array_distinct(kept_lines).alias("own_lines"), lower.alias("lower"), marks.alias("marks")),
             lambda s: F.struct(
                 F.size(s["words"]).cast("long").alias("n_words"),
-                s["word_chars"].alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                F.length(F.regexp_replace(t, r"[ \t-\r]+", "")).cast("long").alias("word_chars"),
+                F.length(F.regexp_replace(s["marks"], r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
                 (F.size(s["lines"]) - F.size(s["own_lines"])).cast("long").alias("n_dup_lines"),
                 F.size(s["lines"]).cast("long").alias("n_lines"),
                 repeated_window_words(s["words"]).alias("n_repeat_words"),
-                (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("n_exclamations"),
-                F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+                F.length(F.regexp_replace(s["marks"], "[^!]+", "")).cast("long").alias("n_exclamations"),
+                F.length(F.regexp_replace(s["marks"], "[#*$%&|<>!]+", "")).cast("long").alias("n_upper"),
                 F.size(F.array_distinct(s["lower"])).cast("long").alias("n_distinct"),
-                let(s["lower"], lambda low: F.size(low) - F.size(F.array_remove(F.transform(low, lambda w: F.when((F.length(w) <= longest) & F.array_contains(stop, w), "").otherwise("x")), ""))).cast("long").alias("n_stop"),
+                F.size(F.filter(s["lower"], lambda w: w.isin(stop))).cast("long").alias("n_stop"),
             ),
         )
 
