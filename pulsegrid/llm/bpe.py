@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -25,12 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import trimmed
+
 #: White space as Unicode has it. Fixed values.
 WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A text's stretches between which the splitting pattern never matches: white space ends a match except that a
 #: single space goes with what follows it.
 STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: A worker forgets all remembered stretches, and all pieces, beyond this number; that bounds memory and changes no result.
+#: A worker forgets part of its remembered stretches, and pieces, beyond this number; that bounds memory and changes no result.
 REMEMBERED = 300_000
 
 
@@ -142,31 +145,27 @@ class ByteBpe:
         return tuple([self.ranks[t] for t in chosen])
 
     def encode_stretch(self, stretch: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self.split(stretch):
-            found = self.pieces.get(piece)
-            if found is None:
-                found = self.encode_piece(piece)
-                self._remember(self.pieces, piece, found)
-            out += found
-        return tuple(out)
-
-    @staticmethod
-    def _remember(cache: dict, key: str, value) -> None:
-        if len(cache) >= REMEMBERED:
-            cache.clear()
-        if len(key) <= 64:
-            cache[key] = value
-
-    def encode(self, text: str) -> list[int]:
-        cache, ids = self.cache, []
-        for stretch in STRETCH.findall(text):
-            found = cache.get(stretch)
-            if found is None:
-                found = self.encode_stretch(stretch)
-                self._remember(cache, stretch, found)
-            ids += found
-        return ids
+        pieces = self.split(stretch)
+        found = [self.pieces.get(p) for p in pieces]
+        for i, f in enumerate(found):
+            if f is None:
+                found[i] = self.pieces[pieces[i]] = self.encode_piece(pieces[i])
+        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; the stretches that a group of texts brings are encoded first, then all are looked up."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            held.append(STRETCH.findall(text))
+            size += len(text)
+            if size > 1 << 20 or i == len(texts) - 1:
+                trimmed(self.cache, REMEMBERED)
+                trimmed(self.pieces, REMEMBERED)
+                for s in set().union(*held).difference(self.cache):
+                    self.cache[s] = self.encode_stretch(s)
+                for stretches in held:
+                    yield list(chain.from_iterable(map(self.cache.__getitem__, stretches)))
+                held, size = [], 0
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -185,7 +184,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _loaded(path, pattern)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": [bpe.encode(t or "") for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "ids": list(bpe.encode([t or "" for t in b.text]))})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, ids array<int>")
 
@@ -211,8 +210,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
         names = [str(i) for i in range(len(bpe.bytes_of))]
         for b in batches:
             out = []
-            for t in b.text:
-                ids = bpe.encode(t or "")
+            for ids in bpe.encode([t or "" for t in b.text]):
                 out.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             n, a, d = zip(*out) if out else ((), (), ())
             yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(a, dtype=object), "decoded_sha256": pd.Series(d, dtype=object)})

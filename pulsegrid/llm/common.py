@@ -49,3 +49,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id's decimal text is a multiple of five (null ids: crc32 of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def trimmed(memory: dict, most: int) -> None:
+    """Forget the later half of what ``memory`` holds once it is over ``most``: what came first is what comes often."""
+    if len(memory) > most:
+        for key in list(memory)[most // 2 :]:
+            del memory[key]

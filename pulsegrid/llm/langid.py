@@ -25,14 +25,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import held_out
+from pulsegrid.llm.common import held_out, trimmed
 
 SAMPLE_DOCS = 1500
 TRAIN_WORDS = 12_000
 ROUNDS = 3
 #: Added to each expected count, and the probability of a character that no piece holds.
 SMOOTH, UNKNOWN = 0.02, 1e-7
-#: A worker forgets its scored words beyond this number.
+#: A worker forgets part of its scored words beyond this number.
 REMEMBERED = 300_000
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
@@ -143,9 +143,6 @@ class Scorer:
     def __init__(self, pieces: list[str], langs: list[str], p: np.ndarray, prior: np.ndarray):
         self.known, self.langs, self.prior, self.unknown = automaton(pieces), langs, prior, len(pieces)
         self.p = [list(p[:, k]) for k in range(len(langs))]
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.logs = np.zeros((1024, len(self.langs)))
 
@@ -161,8 +158,7 @@ class Scorer:
         words = WORD.findall((text or "").lower())
         if not words or not self.langs:
             return "und", 0.0
-        if len(self.index) > REMEMBERED:
-            self.clear()
+        trimmed(self.index, REMEMBERED)  # rows of self.logs are given out in order, so the kept half is its first rows
         index = self.index
         try:
             at = [index[w] for w in words]

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import WHITE
-from pulsegrid.llm.common import scratch, stored
+from pulsegrid.llm.common import scratch, stored, trimmed
 from pulsegrid.llm.files import put
 
 MAGIC = b"FVB1"
 IDS_PER_FILE = 4_000_000
-#: A worker forgets its remembered words beyond this number.
+SIGN = "\x01"
+#: A worker forgets part of its remembered words beyond this number.
 REMEMBERED = 400_000
 WORD = re.compile(f"[^{WHITE}]+")
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -89,24 +90,32 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        (self.sign,) = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        words = WORD.findall(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-            out = b"".join(map(known.__getitem__, words))
-            for w in new:
-                if len(w) > 100:
-                    del known[w]
-            return out
+    def learn(self, words: set[str]) -> None:
+        """Encode words in one call: between them stands a sign that no word has, which is one id of its own."""
+        new = [w for w in words if SIGN not in w]
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {SIGN} ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(ids == self.sign)
+            data, size = ids.tobytes(), ids.itemsize
+            for w, a, b in zip(new, [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(data)]):
+                self.known[w] = data[a:b]
+        for w in words.difference(new):
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for i, text in enumerate(texts):
+            held.append(WORD.findall(text))
+            size += len(text)
+            if size > 1 << 20 or i == len(texts) - 1:
+                trimmed(self.known, REMEMBERED)
+                self.learn(set().union(*held).difference(self.known))
+                out += [b"".join(map(self.known.__getitem__, words)) for words in held]
+                held, size = [], 0
+        return out
 
 
 @lru_cache(2)
@@ -124,7 +133,7 @@ def encode(docs: DataFrame, path: str, end_id: int, text_col: str = "text", id_c
         encoder = _encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
-            ids = [encoder.encode(t or "") + end for t in b.text]
+            ids = [i + end for i in encoder.encode([t or "" for t in b.text])]
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_tokens": [len(i) // len(end) for i in ids], "ids": ids})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, n_tokens long, ids binary")
