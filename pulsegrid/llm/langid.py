@@ -142,34 +142,63 @@ def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, tr
 class Scorer:
     def __init__(self, pieces: list[str], langs: list[str], p: np.ndarray, prior: np.ndarray):
         self.known, self.langs, self.prior, self.unknown = automaton(pieces), langs, prior, len(pieces)
-        self.p = [list(p[:, k]) for k in range(len(langs))]
+        self.p, self.table = [list(p[:, k]) for k in range(len(langs))], np.ascontiguousarray(p)
+        self.single = {p for p in pieces if len(p) == 1}
         self.index: dict[str, int] = {}
         self.logs = np.zeros((1024, len(self.langs)))
 
-    def learn(self, word: str) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Score words of all languages: the forward sums of many words at once, one end position after the other."""
         k = len(self.index)
-        if k == len(self.logs):
+        while k + len(words) > len(self.logs):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-        edges = lattice(self.known, word, self.unknown)
-        self.logs[k] = [forward(edges, len(word) + 1, p) for p in self.p]
-        self.index[word] = k
-
-    def judge(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        trimmed(self.index, REMEMBERED)  # rows of self.logs are given out in order, so the kept half is its first rows
-        index = self.index
-        try:
-            at = [index[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in index:
-                    self.learn(w)
-            at = [index[w] for w in words]
-        total = self.prior + self.logs[at].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        for j, w in enumerate(words):
+            if len(w) >= LONG:
+                edges = lattice(self.known, w, self.unknown)
+                self.logs[k + j] = [forward(edges, len(w) + 1, p) for p in self.p]
+        short = [(j, MARK + w) for j, w in enumerate(words) if len(w) < LONG]
+        for at in range(0, len(short), 1000):
+            group = short[at : at + 1000]
+            edges: list[int] = []  # end, word, start and piece of each in one number, so that sorting goes by end and word
+            for g, (_, w) in enumerate(group):
+                base = g << 22
+                edges += [end + 1 << 32 | base | end + 1 - n << 16 | i for end, (i, n) in self.known.iter(w)]
+                if not self.single.issuperset(w):
+                    edges += [i + 1 << 32 | base | i << 16 | self.unknown for i, c in enumerate(w) if c not in self.single]
+            packed = np.sort(np.array(edges, np.int64))
+            end, word, start, piece = packed >> 32, packed >> 22 & 1023, packed >> 16 & 63, packed & 65535
+            lengths = np.array([len(w) for _, w in group])
+            sums = np.zeros((len(group), lengths.max() + 1, len(self.langs)))
+            sums[:, 0] = 1
+            cut = np.searchsorted(end, np.arange(1, lengths.max() + 2))
+            for e in range(1, lengths.max() + 1):
+                rows = slice(cut[e - 1], cut[e])
+                if rows.start < rows.stop:
+                    first = np.flatnonzero(np.diff(word[rows], prepend=-1))
+                    sums[word[rows][first], e] = np.add.reduceat(sums[word[rows], start[rows]] * self.table[piece[rows]], first, axis=0)
+            found = sums[np.arange(len(group)), lengths]
+            logs = np.where(found > 0, np.log(np.maximum(found, 1e-300)), lengths[:, None] * math.log(UNKNOWN))
+            self.logs[[k + j for j, _ in group]] = logs
+        self.index.update(zip(words, range(k, k + len(words))))
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and posterior of each text; the new words of a group of texts are scored together."""
+        out, held, size = [], [], 0
+        for i, text in enumerate(texts):
+            held.append(WORD.findall((text or "").lower()) if self.langs else [])
+            size += len(text or "")
+            if size > 1 << 20 or i == len(texts) - 1:
+                trimmed(self.index, REMEMBERED)  # rows of self.logs are given out in order, so the kept half is its first rows
+                self.learn(sorted(set().union(*held).difference(self.index)))
+                for words in held:
+                    if not words:
+                        out.append(("und", 0.0))
+                        continue
+                    total = self.prior + self.logs[list(map(self.index.__getitem__, words))].sum(axis=0)
+                    best = int(np.argmax(total))
+                    out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+                held, size = [], 0
+        return out
 
 
 def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, prior: np.ndarray, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -179,7 +208,7 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(*sent.value)
         for b in batches:
-            found = [scorer.judge(t) for t in b.text]
+            found = scorer.judge(list(b.text))
             yield pd.DataFrame({"doc_id": b.doc_id, "held_out": b.held_out, "lang_pred": [x for x, _ in found], "score": [y for _, y in found]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))

@@ -33,8 +33,10 @@ MAGIC = b"FVB1"
 IDS_PER_FILE = 4_000_000
 SIGN = "\x01"
 #: A worker forgets part of its remembered words beyond this number.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 WORD = re.compile(f"[^{WHITE}]+")
+#: Marks that the tokenizer cuts from letters before them. (Of an apostrophe it may make a suffix.)
+MARKS = ".,!?;:"
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
@@ -94,6 +96,25 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
+        """Ids of words; of letters with marks after them, those of the letters, in lower case if they are ASCII, and of the marks."""
+        known, parts, new = self.known, [], set()
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and "\u0130" not in core:  # its lower case ends with a sign that is no letter
+                marks = w[len(core) :]
+                core = core.lower() if core.isascii() else core
+            else:
+                core, marks = w, ""
+            parts.append((w, core, marks))
+            if core not in known:
+                new.add(core)
+            if marks and marks not in known:
+                new.add(marks)
+        self.encode_words(new)
+        for w, core, marks in parts:
+            known[w] = known[core] + known[marks] if marks else known[core]
+
+    def encode_words(self, words: set[str]) -> None:
         """Encode words in one call: between them stands a sign that no word has, which is one id of its own."""
         new = [w for w in words if SIGN not in w]
         if new:
