@@ -58,7 +58,46 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pii, op3_bpe, op4_toxicity, op5_token_files, op6_warc, op7_decontaminate, op8_language, op9_html_text, op10_near_copies)}
 
-#: Words of op1 in DuckDB: split at its blanks, empty ends dropped.
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')"
-
-ORACLE_SQL: dict[str, str] = {}
+_BLANK = r"[ \t\n\x0b\f\r]+"
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws.split()}))
+_RULES = " AND ".join(f"{r.metric} {op} {v}" for r in quality.RULES for op, v in ((">=", r.low), ("<=", r.high)) if v is not None)
+_OP1 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '{_BLANK}'), lambda s: s <> '') AS ws,
+  list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^ \t\n\x0b\f\r]')) AS ls,
+  list_filter(regexp_split_to_array(lower(x), '[ \t\n\x0b\f\r.,;:!?"()#*$%&|<>]+'), lambda s: s <> '') AS lw FROM t),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS k FROM g) WHERE k > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i AS p FROM r UNION ALL SELECT doc_id, i + 1 FROM r UNION ALL SELECT doc_id, i + 2 FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(x, '{_BLANK}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(x, '[^!]+', '', 'g')) AS bangs, length(regexp_replace(x, '[^\p{{Lu}}]+', '', 'g')) AS uppers,
+  len(list_distinct(lw)) AS own, len(list_filter(lw, lambda s: s IN ({_STOP}))) AS stops, len(ls) AS lines FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_chars, n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_ratio, bangs / greatest(n_words, 1)::DOUBLE AS exclamation_ratio,
+  uppers / greatest(word_chars, 1)::DOUBLE AS upper_ratio, stops / greatest(n_words, 1)::DOUBLE AS stop_word_ratio, own / greatest(n_words, 1)::DOUBLE AS distinct_word_ratio, n_dup_lines / greatest(lines, 1)::DOUBLE AS dup_line_ratio FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ({_RULES}) AS kept FROM q
+"""
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_OP6 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS top FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('{_DIGITS}', (('0x' || substr(s, 5 * (k // 4) + 1, 5))::BIGINT // (1 << (15 - 5 * (k % 4)))) % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d
+"""
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIND = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP7 = f"""
+WITH dw AS (SELECT doc_id, {_FIND.format(_LOWER.format("text"))} AS ws FROM documents),
+bw AS (SELECT item_id, ws, least(10, len(ws)) AS m FROM (SELECT item_id, {_FIND.format(_LOWER.format("text"))} AS ws FROM benchmark) WHERE len(ws) > 0),
+bi AS (SELECT DISTINCT item_id, m, array_to_string(ws[i : i + m - 1], ' ') AS p FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS i FROM bw)),
+di AS (SELECT doc_id, m, i, array_to_string(ws[i : i + m - 1], ' ') AS p FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM dw, (SELECT DISTINCT m FROM bi) WHERE len(ws) >= m)),
+h AS (SELECT di.doc_id, di.i, di.m, bi.item_id FROM di JOIN bi ON di.m = bi.m AND di.p = bi.p),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality": _OP1, "op6_warc": _OP6, "op7_decontaminate": _OP7}

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ REMEMBERED = 600_000
 WORD = re.compile(f"[^{WHITE}]+")
 #: Marks that the tokenizer cuts from letters before them. (Of an apostrophe it may make a suffix.)
 MARKS = ".,!?;:"
+#: Letters whose lower case depends on what follows, or isn't a letter alone.
+UNLIKE = re.compile("[\u0130\u03a3]")
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
@@ -88,43 +91,51 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         (self.sign,) = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Ids of words; of letters with marks after them, those of the letters, in lower case if they are ASCII, and of the marks."""
-        known, parts, new = self.known, [], set()
+        """Ids of words; of letters with marks after them, those of the letters and of the marks.
+
+        Letters that are composed already go through lower case here and the tokenizer's model alone; all else goes
+        through the whole tokenizer.
+        """
+        known, parts, letters, rest = self.known, [], set(), set()
         for w in words:
             core = w.rstrip(MARKS)
-            if core.isalpha() and "\u0130" not in core:  # its lower case ends with a sign that is no letter
+            if core.isalpha() and (core.isascii() or is_normalized("NFC", core) and not UNLIKE.search(core)):
                 marks = w[len(core) :]
-                core = core.lower() if core.isascii() else core
+                core = core.lower()
+                if core not in known:
+                    letters.add(core)
             else:
                 core, marks = w, ""
+                rest.add(w)
             parts.append((w, core, marks))
-            if core not in known:
-                new.add(core)
             if marks and marks not in known:
-                new.add(marks)
-        self.encode_words(new)
+                rest.add(marks)
+        self.encode_words(letters, self.model)
+        self.encode_words(rest, self.tokenizer)
         for w, core, marks in parts:
             known[w] = known[core] + known[marks] if marks else known[core]
 
-    def encode_words(self, words: set[str]) -> None:
+    def encode_words(self, words: set[str], tokenizer) -> None:
         """Encode words in one call: between them stands a sign that no word has, which is one id of its own."""
         new = [w for w in words if SIGN not in w]
         if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {SIGN} ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(tokenizer.encode_batch_fast([f" {SIGN} ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
             cut = np.flatnonzero(ids == self.sign)
             data, size = ids.tobytes(), ids.itemsize
             for w, a, b in zip(new, [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(data)]):
                 self.known[w] = data[a:b]
         for w in words.difference(new):
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+            self.known[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, held, size = [], [], 0
