@@ -39,9 +39,17 @@ def trace_jsonl_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return e.where("code is null").drop("seq", "topic", "node", "_bad", "code"), e.where("code is not null").select("raw", "code")
 
 
+def whole_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """A row per file, its text in ``value``."""
+    reader = spark.read.format("text").option("wholetext", True)
+    if pattern is not None:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.load(path)
+
+
 def topic_metadata(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of topics, each with sensor_category and expected_hz, as rows; files are small dimension tables."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = whole_files(spark, path)
     entries = F.explode(F.from_json("value", "map<string,struct<sensor_category:string,expected_hz:double>>")).alias("topic", "m")
     return text.select(entries).select("topic", F.coalesce("m.sensor_category", F.lit("unknown")).alias("sensor_category"), "m.expected_hz").to(spark.createDataFrame([], TOPIC_METADATA).schema)
 
@@ -60,15 +68,15 @@ def dataset_metadata(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             rows = []
             for path, text in zip(b.path, b.value):
-                info = (yaml.safe_load(text) or {}).get("rosbag2_bagfile_information", {})
+                info = (yaml.safe_load(text) or {}).get("rosbag2_bagfile_information") or {}
                 topics = {t["topic_metadata"]["name"]: int(t["message_count"]) for t in info.get("topics_with_message_count", [])}
                 custom = info.get("custom_data") or {}
                 parts = path.rstrip("/").split("/")
                 kind = "incident" if any("incident" in p.lower() for p in parts[-3:]) else "normal"
-                rows.append((parts[-2], kind, path, int(info.get("message_count", 0)), info.get("duration", {}).get("nanoseconds", 0) / 1e9, list(topics.items()), next((v for k, v in custom.items() if k.endswith("expected_topic")), None)))
+                rows.append((parts[-2], kind, path, int(info.get("message_count", 0)), info.get("duration", {}).get("nanoseconds", 0) / 1e9, topics, next((v for k, v in custom.items() if k.endswith("expected_topic")), None)))
             yield pd.DataFrame(rows, columns=["dataset_name", "dataset_type", "path", "message_count", "duration_sec", "topics", "declared_topic"])
 
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.y*ml").text(folder)
+    text = whole_files(spark, folder, "metadata.y*ml")
     return text.select("value", F.col("_metadata.file_path").alias("path")).mapInPandas(parse, "dataset_name string, dataset_type string, path string, message_count bigint, duration_sec double, topics map<string,bigint>, declared_topic string")
 
 
@@ -80,7 +88,7 @@ WINDOW = "struct<window:bigint,start_ns:bigint,end_ns:bigint,count:bigint,expect
 def bundle_corpus(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Tables runs, artifacts, profile and windows of all result directories below a folder; the directory's name is the run."""
     run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_id")
-    read = lambda name: spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder).select(run, "value")
+    read = lambda name: whole_files(spark, folder, name).select(run, "value")
     runs = read("report_manifest.json").select("run_id", F.from_json("value", MANIFEST).alias("m")).select("run_id", "m.*")
     profile = read("topic_profile.json").select("run_id", F.explode(F.from_json("value", f"map<string,{PROFILE}>")).alias("topic", "p")).select("run_id", "topic", "p.*")
     windows = read("evidence_windows.json").select("run_id", F.explode(F.from_json("value", f"map<string,array<{WINDOW}>>")).alias("topic", "ws")).select("run_id", "topic", F.posexplode("ws").alias("rank", "w")).select("run_id", "topic", (F.col("rank") + 1).alias("rank"), "w.*")
