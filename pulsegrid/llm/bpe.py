@@ -33,8 +33,10 @@ WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 #: A text's stretches between which the splitting pattern never matches: white space ends a match except that a
 #: single space goes with what follows it.
 STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Marks that the splitting pattern cuts, as one piece, from letters before them. (Of an apostrophe it may make a suffix.)
+MARKS = ".,!?;:"
 #: A worker forgets part of its remembered stretches, and pieces, beyond this number; that bounds memory and changes no result.
-REMEMBERED = 300_000
+REMEMBERED, IDLE = 300_000, 60_000
 
 
 class ByteBpe:
@@ -56,8 +58,15 @@ class ByteBpe:
             self.automaton.add_word(token, len(token))
         self.automaton.make_automaton()
         self.most = max(map(len, ranks))
+        #: The longest token within each path of the automaton.
+        self.within: dict[str, str] = {}
+        for token in sorted(self.reachable, key=len):
+            for n in range(1, len(token) + 1):
+                path = token[:n]
+                if path not in self.within or n == len(token):
+                    self.within[path] = token if n == len(token) else self.within[path[:-1]]
         self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in self.reachable), None) for t in self.reachable}
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.compatible = lru_cache(1 << 17)(self._compatible)
         self.cache: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
@@ -111,12 +120,9 @@ class ByteBpe:
                 j += 1
 
     def longest(self, piece: str, at: int) -> str | None:
-        """The longest token that starts there: the automaton's longest path, shortened until it is a token."""
-        token = piece[at : at + self.most]
-        token = token[: self.automaton.longest_prefix(token)]
-        while token and token not in self.reachable:
-            token = token[:-1]
-        return token or None
+        """The longest token that starts there, by the automaton's longest path."""
+        near = piece[at : at + self.most]
+        return self.within.get(near[: self.automaton.longest_prefix(near)])
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the splitting pattern."""
@@ -145,7 +151,11 @@ class ByteBpe:
         return tuple([self.ranks[t] for t in chosen])
 
     def encode_stretch(self, stretch: str) -> tuple[int, ...]:
-        pieces = self.split(stretch)
+        core = stretch.rstrip(MARKS)
+        if core[core[:1] == " " :].isalpha():
+            pieces = [core, stretch[len(core) :]] if len(core) < len(stretch) else [core]
+        else:
+            pieces = self.split(stretch)
         found = [self.pieces.get(p) for p in pieces]
         for i, f in enumerate(found):
             if f is None:
@@ -167,6 +177,12 @@ class ByteBpe:
                     yield list(chain.from_iterable(map(self.cache.__getitem__, stretches)))
                 held, size = [], 0
 
+    def rest(self) -> None:
+        """Keep little between tasks: what came first, as it comes often."""
+        trimmed(self.cache, IDLE)
+        trimmed(self.pieces, IDLE)
+        self.compatible.cache_clear()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -185,6 +201,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         bpe = _loaded(path, pattern)
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": list(bpe.encode([t or "" for t in b.text]))})
+        bpe.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, ids array<int>")
 
@@ -214,5 +231,6 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
                 out.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             n, a, d = zip(*out) if out else ((), (), ())
             yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(a, dtype=object), "decoded_sha256": pd.Series(d, dtype=object)})
+        bpe.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,8 +33,8 @@ from pulsegrid.llm.files import put
 MAGIC = b"FVB1"
 IDS_PER_FILE = 4_000_000
 SIGN = "\x01"
-#: A worker forgets part of its remembered words beyond this number.
-REMEMBERED = 600_000
+#: A worker forgets part of its remembered words beyond the first number, and between tasks beyond the second.
+REMEMBERED, IDLE = 600_000, 60_000
 WORD = re.compile(f"[^{WHITE}]+")
 #: Marks that the tokenizer cuts from letters before them. (Of an apostrophe it may make a suffix.)
 MARKS = ".,!?;:"
@@ -167,6 +167,7 @@ def encode(docs: DataFrame, path: str, end_id: int, text_col: str = "text", id_c
         for b in batches:
             ids = [i + end for i in encoder.encode([t or "" for t in b.text])]
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_tokens": [len(i) // len(end) for i in ids], "ids": ids})
+        trimmed(encoder.known, IDLE)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, n_tokens long, ids binary")
 

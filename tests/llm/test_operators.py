@@ -1,0 +1,412 @@
+"""The ten operators: edge cases, brute force, round trips, held-out accuracy."""
+
+import base64
+import hashlib
+import random
+import re
+import tempfile
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import bpe, decontaminate, graph, html_text, langid, neardup, pii, quality, token_files, toxicity, warc
+
+#: Nulls, empty and very long texts, repeated rows, columns with clashing names.
+ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "é" * 50_000), (5, "word " * 30_000), (6, "same text here"), (6, "same text here"), (None, "no id at all"), (7, "a@b.co, +1 (301) 555-0346, 10.0.0.1, 4111111111111111"), (8, "\x00\x01\x1c\x85　\U0001f642 <|endoftext|>")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id bigint, text string")
+    return df.withColumns({"lang": F.lit("en"), "n_words": F.lit("clash"), "kept": F.lit(1), "ids": F.lit(2), "class_id": F.lit("x"), "spans": F.lit(None).cast("int"), "key": F.lit("k"), "label": F.lit(0)})
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def test_quality_on_odd_rows(odd):
+    got = {r.doc_id: r for r in quality.judge(odd).collect()}
+    assert [(got[i].n_words, got[i].base_failed, got[i].kept) for i in (1, 2, 3)] == [(0, True, False)] * 3
+    assert (got[5].n_words, got[5].n_repeat_words, got[5].base_failed) == (30_000, 30_000, True) and got[4].word_chars == 50_000
+    assert quality.judge(odd).count() == len(ODD) and quality.judge(odd.limit(0)).count() == 0
+    assert quality.keep(odd).columns == odd.columns and quality.keep(odd).count() == 0
+
+
+def test_quality_counts_equal_brute_force(docs):
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for d in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", d.text)
+        lines = [x for x in d.text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        c = Counter(g)
+        covered = {j for i, x in enumerate(g) if c[x] > 1 for j in (i, i + 1, i + 2)}
+        r = got[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", d.text)), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_keeps_clean_rows_and_drops_junk(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    r = quality.judge(docs).join(labels, "doc_id").where("not base_failed").collect()
+    assert all(x.kept for x in r if x.quality == 1) and not any(x.kept for x in r if x.quality == 0)
+
+
+PATTERNS = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+
+
+def base_by_pattern(t):
+    out = []
+    for k, p in PATTERNS.items():
+        for m in p.finditer(t):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "ip" and any(int(x) > 255 for x in m[0].split(".")) or k == "card" and not (16 <= len(d) <= 19 and pii.luhn(d)) or k == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_are_those_of_the_patterns():
+    r = random.Random(4)
+    parts = ["1", "23", "4111111111111111", ".", " ", "-", "+", "(", ")", "a", "b.c", "@", "@x", "x.y", "%", "é", "00256", "1.2.3.4", "+1 (301) 555-0346", "_"]
+    for _ in range(5000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 22)))
+        assert pii.base_spans(t) == base_by_pattern(t), t
+    for t in ("1" * 100_000, "a" * 100_000 + "@", "1." * 50_000, "a@" * 50_000, "+1" + " " * 100_000):
+        pii.base_spans(t)
+
+
+def test_crf_gradients():
+    m = pii.Tagger()
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    codes = np.random.default_rng(0).integers(0, 128, (5, 2)).astype(np.uint8)
+    tags = np.array([[0, 1], [0, 2], [5, 2], [6, 0], [0, 7]])
+    _, g = m.loss_gradients(codes, tags)
+    for k, v in m.w.items():
+        at = np.unravel_index(np.argmax(np.abs(g[k])), v.shape)
+        old = v[at]
+        v[at] = old + 1e-4
+        up = m.loss_gradients(codes, tags)[0]
+        v[at] = old - 1e-4
+        down = m.loss_gradients(codes, tags)[0]
+        v[at] = old
+        assert abs((up - down) / 2e-4 - g[k][at]) < 1e-3, k
+
+
+def test_overlapping_proposals_are_settled_globally():
+    got = pii.best_without_overlap({("phone", 0, 10): 5.0, ("phone", 8, 20): 6.0, ("secret", 20, 30): 1.0, ("email", 40, 50): 9.0}, [("ip", 45, 60)])
+    assert got == [("phone", 8, 20), ("secret", 20, 30)]
+
+
+@pytest.fixture(scope="module")
+def tagger(docs):
+    return pii.train(docs)
+
+
+def test_personal_data(odd, docs, tagger):
+    got = {r.doc_id: r for r in pii.search(odd, tagger).collect()}
+    assert len(got) == 9 and got[1].spans == "" and (got[7].n_email, got[7].n_ip, got[7].n_card, got[7].n_phone) == (1, 1, 1, 1)
+    found = {r.doc_id: r for r in pii.search(docs, tagger).collect()}
+    hit = of = 0
+    for d in docs.collect():
+        base = pii.joined(base_by_pattern(d.text))
+        r = found[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        gold = {("secret", *m.span(m.lastindex)) for m in pii.SECRET.finditer(d.text)}
+        of += len(gold)
+        hit += len(gold & {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)})
+    assert of == 0 or hit >= 0.7 * of
+    clean = pii.redact(odd, tagger)
+    assert clean.columns == odd.columns and clean.where("doc_id = 7").first().text == "<EMAIL>, <PHONE>, <IP>, <CARD>" and clean.where("doc_id = 1").first().text is None
+
+
+def test_made_sentences_are_held_out(tagger):
+    texts = pii.made(150, seed=99)
+    wrong = added = 0
+    for (base, extra), (t, gold) in zip(pii.spans_of([t for t, _ in texts], tagger), texts):
+        added += len(set(extra) & set(gold))
+        wrong += len(set(extra) - set(gold))
+    assert added > 20 and wrong <= 0.25 * added
+
+
+@pytest.fixture(scope="module")
+def byte_bpe():
+    import public_tokenizers as P
+
+    return bpe.ByteBpe.from_file(P.path("byte_bpe_50k.tiktoken"))
+
+
+def test_bpe_equals_the_library(byte_bpe):
+    import public_tokenizers as P
+    import tiktoken
+
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(byte_bpe.bytes_of)}, special_tokens={})
+    r = random.Random(1)
+    parts = ["a", "e", "th", "ing", " ", "  ", "\n", "\t", "é", "'s", "'re", "1", "23", "!", "...", "中", "　", "\x1c", "\x85", "\U0001f642", "A", "I'll", "​", "ß", "x" * 30, "\xa0", "<|endoftext|>", "́", "\r\n"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a" * 20_000, " " * 9000 + "x", "".join(r.choice("abcdefgh") for _ in range(20_000))]
+    for t, ids in zip(texts, byte_bpe.encode(texts)):
+        assert ids == lib.encode_ordinary(t) and byte_bpe.decode(ids) == t.encode()
+
+
+def test_bpe_small_memory_gives_the_same(byte_bpe, monkeypatch):
+    texts = [f"word{i} other{i % 7}, and more" for i in range(2000)]
+    want = list(byte_bpe.encode(texts))
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    assert [i for t in texts for i in byte_bpe.encode([t])] == want
+
+
+def test_bpe_on_odd_rows(odd):
+    got = {r.doc_id: r for r in bpe.digests(odd).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got[1].n_tokens == 0 and got[1].ids_sha256 == got[1].decoded_sha256 == empty
+    for i, t in ODD:
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    back = bpe.decode(bpe.encode(odd)).where("doc_id = 8").first()
+    assert bytes(back.bytes).decode() == ODD[-1][1] and bpe.digests(odd.limit(0)).count() == 0
+
+
+def test_token_files(spark, odd, docs):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    r = random.Random(1)
+    parts = ["a", "E", "th", "ing", " ", "\n", "é", "'s", "'re", "1", "23", "!", "...", ",", "中", "　", "\x1c", "\x85", "\x01", "\U0001f642", "I'll", "ß", "\xa0", "<|endoftext|>", "́", "Σ", "İ", "É", "İ!"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(3000)]
+    encoder = token_files.WordEncoder(P.path("word_bpe_49k.json"))
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    values = np.random.default_rng(1).integers(0, 1 << 32, 1003) >> np.random.default_rng(2).integers(0, 32, 1003)
+    assert (token_files.unpack(np.frombuffer(token_files.pack(values), np.uint8), 1003) == values).all() and len(token_files.unpack(np.zeros(0, np.uint8), 0)) == 0
+    got = token_files.round_trip(docs, ids_per_file=5000).orderBy("doc_id").collect()
+    at = 0
+    for g, d in zip(got, docs.orderBy("doc_id").collect(), strict=True):
+        ids = lib.encode(d.text, add_special_tokens=False).ids + [1]
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (d.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    rows = token_files.round_trip(odd).collect()
+    assert len(rows) == len(ODD) and next(x for x in rows if x.doc_id == 1).n_tokens == 1 and sorted(x.start for x in rows)[0] == 0
+    assert token_files.round_trip(odd.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Toxic rows hold one of a few words near a second-person word."""
+    r = random.Random(3)
+    words = ["".join(r.choice("aeioubdgklmnrst") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(1200):
+        t = [r.choice(words) for _ in range(60)]
+        bad = i % 6 == 0
+        if bad:
+            t[r.randint(2, 50)] = r.choice(["nastyword", "vileword", "rottenword"])
+            t[1] = "you"
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, int(bad)))
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_toxicity(odd, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert len(got) > 150 and np.mean([r.predicted == r.toxic for r in got]) > 0.97
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in got)
+    rows = toxicity.score(odd, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert {r.score for r in toxicity.judge(odd, labels.limit(0)).collect()} == {0.0}
+
+
+def test_isotonic_fit():
+    xs, ys = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert (np.diff(ys) >= 0).all() and len(xs) == len(ys)
+
+
+def test_archives(spark):
+    rows = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://c\r\nx: y", ""), (None, "http://d", "<p>x</p>"), (5, "u", "é" * 3000), (2, "http://b", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"file": F.lit(1), "offset": F.lit("x")})
+    got = sorted(warc.round_trip(pages).collect(), key=repr)
+    assert len(got) == len(rows)
+    for r in got:
+        payload = next(h or "" for i, _, h in rows if i == r.page_id).encode()
+        assert r.payload_bytes == len(payload) and r.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    kind = {(r.page_id, r.record_type, r.refers_to) for r in got}
+    assert kind == {(1, "revisit", 2), (2, "response", None), (None, "revisit", 2), (3, "revisit", 4), (4, "response", None), (5, "response", None)}
+    folder = tempfile.mkdtemp(prefix="spark-")
+    index = warc.write(pages, folder, file_bytes=200)
+    assert index.select("file").distinct().count() > 1
+    some = warc.read(index.where("page_id = 5"), folder).collect()
+    assert [bytes(r.payload).decode() for r in some] == ["é" * 3000]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+    assert warc.round_trip(pages, least_bytes=5).where("record_type = 'revisit'").count() == 2
+
+
+def test_ranges_are_joined():
+    assert [x[:2] for x in warc.runs([(0, 10), (10, 5), (30, 5), (1000, 5)], gap=20, most=100)] == [(0, 35), (1000, 1005)]
+
+
+def hits_by_hand(t, items):
+    find = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    w, hit, found = find(t), set(), set()
+    for i, x in items:
+        v = find(x)
+        m = min(10, len(v))
+        patterns = {tuple(v[k : k + m]) for k in range(len(v) - m + 1)} if m else set()
+        for k in range(len(w) - m + 1) if m else ():
+            if tuple(w[k : k + m]) in patterns:
+                hit |= set(range(k, k + m))
+                found.add(i)
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest(), bool(hit)
+
+
+def test_decontamination(spark, odd, docs, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = [tuple(r) for r in bench.collect()]
+    for size in (400_000, 1500):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.search(docs, bench, block_chars=size).collect()}
+        assert got == {d.doc_id: hits_by_hand(d.text, items) for d in docs.collect()}
+    assert decontaminate.keep(docs, bench).count() == sum(not v[4] for v in got.values())
+    r = random.Random(5)
+    w = ["aa", "Bb", "c1", "é", "dd"]
+    few = [(i, " ".join(r.choice(w) for _ in range(n))) for i, n in enumerate([1, 2, 3, 9, 10, 12, 0, 3])] + [(3, "aa aa aa"), (9, None)]
+    texts = [(i, " ".join(r.choice(w) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontaminate.search(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(few, "item_id bigint, text string")).collect()}
+    assert got == {i: hits_by_hand(t, few) for i, t in texts}
+    assert decontaminate.search(odd, bench).count() == len(ODD) and decontaminate.search(odd, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.keep(odd, bench).columns == odd.columns
+
+
+def test_language(spark, odd, docs):
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    out = [r for r in got if r.held_out]
+    assert out and np.mean([r.lang_pred == r.lang for r in out]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    rows = {r.doc_id: r for r in langid.identify(odd).collect()}
+    assert len(rows) == 9 and all((rows[i].lang_pred, rows[i].score) == ("und", 0.0) for i in (1, 2, 3)) and rows[6].lang_pred == "en"
+    assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["a", "b", "ab", "▁", "▁a"]
+    p = [0.3, 0.2, 0.1, 0.25, 0.15, 1e-7]
+    known = langid.automaton(pieces)
+
+    def brute(s):
+        return 1.0 if not s else sum(p[i] * brute(s[len(x) :]) for i, x in enumerate(pieces) if s.startswith(x))
+
+    for w in ("a", "ab", "abab", "ba"):
+        assert abs(np.exp(langid.forward(langid.lattice(known, w, 5), len(w) + 1, p)) - brute("▁" + w)) < 1e-12
+    long = "ab" * 100
+    scorer = langid.Scorer(pieces, ["x"], np.array([p]).T, np.zeros(1))
+    scorer.learn(["ab", "xa", long])
+    for w in ("ab", "xa", long):
+        assert abs(scorer.logs[scorer.index[w], 0] - langid.forward(langid.lattice(known, w, 5), len(w) + 1, p)) < 1e-6
+
+
+def test_main_text(spark):
+    page = '<html><head><title>t</title></head><body><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">Buy this now</div><article><h1>Head &amp; tail</h1><p>One\n two<br>three.</p><script>var t="</p>";</script><!-- no --><div class="comments"><p>I agree with all of this text here</p></div><p>x &lt; y</p></article><footer>&copy; all</footer></body></html>'
+    assert html_text.main_text(page) == "Head & tail One two three. x < y"
+    x, y = html_text.labelled()
+    assert np.mean([(html_text.share(html_text.tree(), r) >= 0.5) == bool(v) for r, v in zip(x, y)]) > 0.95
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "<article><p>open"), (6, "u", "text " * 20_000), (None, "u", page), (7, "u", "<script>never closed")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")})
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    assert len(got) == len(rows) and got[2].text == got[3].text == got[7].text == "" and got[5].text == "open" and got[6].n_chars == 20_000 * 5 - 1 and got[None].text == got[1].text
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_main_text_of_pages(spark, sf_dir):
+    for r in html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        body = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", re.search(r"<article>(.*)</article>", r.html, re.S)[1]))
+        import html
+
+        assert r.text == " ".join(html.unescape(body).split())
+
+
+def classes_by_hand(rows):
+    shingles = {}
+    for i, t in rows:
+        w = neardup.normal(t).split()
+        k = min(5, len(w))
+        shingles[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else {("no words", t or "")}
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(shingles)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(shingles[a] & shingles[b])
+            if both / (len(shingles[a]) + len(shingles[b]) - both) >= 0.8:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_near_copies(spark, odd, docs):
+    rows = [(d.doc_id, d.text) for d in docs.collect()]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == classes_by_hand(rows)
+    assert neardup.keep(docs).count() == len(set(got.values()))
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(300)]
+    group = []
+    for i in range(60):  # near copies of one text, the text itself not the first
+        t = list(base)
+        for _ in range(r.randint(1, 4)):
+            t[r.randrange(300)] = r.choice(words)
+        group.append((i, " ".join(t)))
+    group += [(500, " ".join(base)), (501, " ".join(base)), (600, " ".join(reversed(base))), (700, "only three words"), (701, "Only three, words!"), (702, "###"), (703, "###"), (704, "##"), (705, None), (706, "")]
+    df = spark.createDataFrame(group, "doc_id bigint, text string")
+    got = {x.doc_id: x.class_id for x in neardup.classes(df).collect()}
+    assert got == classes_by_hand(group) and got[600] == 600 and got[701] == 700 and got[703] == 702 and got[704] == 704 and got[706] == 705
+    rows = neardup.classes(odd).collect()
+    assert len(rows) == len(ODD) and [x.class_id for x in rows if x.doc_id is None] == [None]
+    kept = neardup.keep(odd)
+    assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 7, 8] and kept.where("doc_id is null").count() == 1
+    assert neardup.classes(odd.limit(0)).count() == 0
+
+
+def test_edit_distance():
+    r = random.Random(3)
+    for _ in range(500):
+        a = [r.randint(0, 3) for _ in range(r.randint(0, 12))]
+        b = [x for x in a if r.random() > 0.2]
+        for _ in range(r.randint(0, 4)):
+            b.insert(r.randint(0, len(b)), r.randint(0, 3))
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        for most in (2, 5, 20):
+            assert neardup.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), most) == min(p[-1], most + 1)
+
+
+def test_order_matters_to_the_sketch():
+    a = neardup.kmer_hashes(neardup.word_hashes(b" ".join(b"%d" % i for i in range(200))))
+    assert (neardup.sketches(a) == neardup.sketches(a.copy())).all() and (neardup.sketches(a) != neardup.sketches(a[::-1].copy())).any()
+
+
+def test_components(spark):
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(40)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(60)] + [(300, 301 + i) for i in range(50)]
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    parent = {n: n for e in edges for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == {n: find(n) for n in parent if any(n in e and e[0] != e[1] for e in edges)}
