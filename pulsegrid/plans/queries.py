@@ -300,23 +300,25 @@ def compare_profiles(spark, d):
     return rounded(compare.compare_fields(pairs(m), profile), "ratio").drop("non_comparable")
 
 
-@query(
-    f"""WITH {M}, {window_sql(HOUR)}, {MISSING}, ex AS (SELECT *, first_value(n) OVER (PARTITION BY run_id, topic ORDER BY w) AS expected FROM win),
+EVIDENCE = f"""{M}, {window_sql(HOUR)}, {MISSING}, ex AS (SELECT *, first_value(n) OVER (PARTITION BY run_id, topic ORDER BY w) AS expected FROM win),
 pool AS (SELECT run_id, topic, w AS "window", n AS count, expected, gm, jit FROM ex UNION ALL SELECT miss.run_id, miss.topic, b + 1, 0, x.expected, f - pl, 0 FROM miss JOIN (SELECT run_id, topic, max(expected) AS expected FROM ex GROUP BY run_id, topic) x USING (run_id, topic)),
 sc AS (SELECT *, 10 * (CASE WHEN expected > 0 THEN greatest(0.0, (expected - count) / expected::DOUBLE) ELSE 0 END) + 10 * (gm / 1e9) + 5 * (jit / 1e9) AS score FROM pool),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, topic ORDER BY score DESC, "window" ASC) AS rank FROM sc) WHERE rank <= 5)
-SELECT run_id, topic, count(*) AS selected_window_count, round(max(score), 5) AS max_score, round(avg(score), 5) AS mean_score, round(min(count / expected::DOUBLE), 6) AS min_count_ratio, max(gm) AS max_gap_ns, max(jit) AS max_jitter_ns FROM top GROUP BY run_id, topic"""
-)
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, topic ORDER BY score DESC, "window" ASC) AS rank FROM sc) WHERE rank <= 5),
+es AS (SELECT run_id, topic, count(*) AS selected_window_count, max(score) AS max_score, avg(score) AS mean_score, min(count / expected::DOUBLE) AS min_count_ratio, max(gm) AS max_gap_ns, max(jit) AS max_jitter_ns FROM top GROUP BY run_id, topic)"""
+
+
+@query(f"WITH {EVIDENCE} SELECT run_id, topic, selected_window_count, round(max_score, 5) AS max_score, round(mean_score, 5) AS mean_score, round(min_count_ratio, 6) AS min_count_ratio, max_gap_ns, max_jitter_ns FROM es")
 def evidence_summary(spark, d):
     """The selected windows of every run and topic in six numbers."""
     return rounded(rounded(fields(spark, d)[2], "max_score", "mean_score", places=5), "min_count_ratio")
 
 
-@query()
+@query(f"WITH {EVIDENCE}, l AS (UNPIVOT (SELECT run_id, topic, selected_window_count::DOUBLE AS selected_window_count, max_score::DOUBLE AS max_score, mean_score::DOUBLE AS mean_score, min_count_ratio::DOUBLE AS min_count_ratio, max_gap_ns::DOUBLE AS max_gap_ns, max_jitter_ns::DOUBLE AS max_jitter_ns FROM es) ON selected_window_count, max_score, mean_score, min_count_ratio, max_gap_ns, max_jitter_ns INTO NAME k VALUE v) SELECT a.run_id AS reference_id, b.run_id AS target_id, a.topic, 'evidence.' || a.k AS field, round(a.v, 4) AS reference, round(b.v, 4) AS target, round(b.v - a.v, 4) AS delta, CASE WHEN a.v = 0 AND b.v = 0 THEN 'both_zero' WHEN a.v = 0 THEN 'reference_zero' ELSE 'finite' END AS ratio_state FROM l a JOIN l b ON a.topic = b.topic AND a.k = b.k AND a.run_id < b.run_id")
 def compare_evidence(spark, d):
     """Evidence summaries of all pairs of runs."""
     m, profile, summary, _ = fields(spark, d)
-    return rounded(compare.compare_fields(pairs(m), profile, summary).where("field like 'evidence.%'"), "reference", "target", "delta", "ratio")
+    out = compare.compare_fields(pairs(m), profile, summary).where("field like 'evidence.%'").drop("ratio", "changed", "non_comparable")
+    return rounded(out, "reference", "target", "delta", places=4)
 
 
 @query(f"WITH {FIELDS} SELECT reference_id, target_id, topic, string_agg(CASE WHEN reference <> target THEN field END, ',' ORDER BY field) AS changed_fields FROM cf GROUP BY 1, 2, 3")
@@ -809,7 +811,9 @@ def stream_windows(spark, d):
     return out.select("run_id", "topic", (F.unix_micros("start") / 86_400_000_000).cast("bigint").alias("day"), "count", "first_ns", "last_ns", "max_gap_ns")
 
 
-@query()
+@query(f"""WITH {M}, x AS (SELECT run_id, topic, (t - {DAY0}) // {24 * HOUR} AS k, t, t - lag(t) OVER (PARTITION BY run_id, topic, (t - {DAY0}) // {24 * HOUR} ORDER BY t) AS gap, max(t) OVER (PARTITION BY run_id, topic) AS top FROM m),
+c AS (SELECT run_id, topic, k, count(*) AS count, coalesce(max(gap), 0) AS max_gap_ns FROM x GROUP BY run_id, topic, k, top HAVING {DAY0} + (k + 1) * {24 * HOUR} <= top - {2 * HOUR})
+SELECT run_id, topic, k AS "window", count, max_gap_ns, 0::BIGINT AS late_count, 0::BIGINT AS out_of_order_count, coalesce(k - lag(k) OVER (PARTITION BY run_id, topic ORDER BY k) - 1, 0) AS missing_before FROM c""")
 def stream_fold(spark, d):
     """ST3, ST4: the fold in arrival order with state per run and topic."""
     return streamed(spark, d, lambda e: jobs.arrival_fold(timed(e), DAY0, 24 * HOUR, 2 * HOUR), "fold")
