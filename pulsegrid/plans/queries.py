@@ -811,11 +811,11 @@ def stream_windows(spark, d):
     return out.select("run_id", "topic", (F.unix_micros("start") / 86_400_000_000).cast("bigint").alias("day"), "count", "first_ns", "last_ns", "max_gap_ns")
 
 
-@query(f"""WITH {M}, x AS (SELECT run_id, topic, (t - {DAY0}) // {24 * HOUR} AS k, t, t - lag(t) OVER (PARTITION BY run_id, topic, (t - {DAY0}) // {24 * HOUR} ORDER BY t) AS gap, max(t) OVER (PARTITION BY run_id, topic) AS top FROM m),
-c AS (SELECT run_id, topic, k, count(*) AS count, coalesce(max(gap), 0) AS max_gap_ns FROM x GROUP BY run_id, topic, k, top HAVING {DAY0} + (k + 1) * {24 * HOUR} <= top - {2 * HOUR})
+@query(f"""WITH {M}, x AS (SELECT run_id, topic, (t - {DAY0}) // {24 * HOUR} AS k, t, t - lag(t) OVER (PARTITION BY run_id, topic, (t - {DAY0}) // {24 * HOUR} ORDER BY t) AS gap, max(t) OVER (PARTITION BY run_id, topic) AS top, max(t) OVER () AS newest FROM m),
+c AS (SELECT run_id, topic, k, count(*) AS count, coalesce(max(gap), 0) AS max_gap_ns FROM x GROUP BY run_id, topic, k, top, newest HAVING {DAY0} + (k + 1) * {24 * HOUR} <= top - {2 * HOUR} OR top + {26 * HOUR} < newest - {2 * HOUR})
 SELECT run_id, topic, k AS "window", count, max_gap_ns, 0::BIGINT AS late_count, 0::BIGINT AS out_of_order_count, coalesce(k - lag(k) OVER (PARTITION BY run_id, topic ORDER BY k) - 1, 0) AS missing_before FROM c""")
 def stream_fold(spark, d):
-    """ST3, ST4: the fold in arrival order with state per run and topic."""
+    """ST3, ST4: the fold in arrival order with state per run and topic; a topic long silent is flushed whole."""
     return streamed(spark, d, lambda e: jobs.arrival_fold(timed(e), DAY0, 24 * HOUR, 2 * HOUR), "fold")
 
 
