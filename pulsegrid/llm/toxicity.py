@@ -35,7 +35,6 @@ REPEATED = re.compile(r"[!?.,]{2,}")
 #: Second-person words of the four languages. Fixed values.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner deinen ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú usted ustedes vosotros tus vuestro vuestra".split())
 NEAR = 3
-FEATURES = 21
 
 
 def terms(word: str) -> tuple[str, ...]:
@@ -48,7 +47,6 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     words = WORD.findall(text.lower())
     n = max(1, len(words))
     out = [math.log1p(len(words))]
-    hits: list[int] = []
     get = lexicon.get
     weights: dict[str, tuple[float, float, float]] = {}
     sums, tops, counts = [0.0] * 3, [0.0] * 3, [0] * 3
