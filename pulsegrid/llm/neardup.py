@@ -8,11 +8,13 @@ Of each representative ``SKETCHES`` order-min-hashes are taken: k-mers are label
 hash picks the ``MINIMA`` least of them, and these are kept in the order of the text. Two texts agree in one with about
 J ** MINIMA for a Jaccard similarity J, less where the order differs. At J = 0.8 about one pair in 100,000 agrees in none.
 
-Texts that share a sketch are a bucket. A bucket is never paired out: its members are compared with two of its own, the
-one that shares most buckets with others and the least one. Members that are not linked with these after the first
-round get centres among themselves in ``ROUNDS`` - 1 further ones. A pair is a link if the Jaccard similarity of its
-k-mer sets is at least ``SIMILARITY`` and the aligned words, by an edit distance within a band, at least ``ALIGNED``.
-Linked representatives form classes; the class id is the least doc_id.
+Texts that share a sketch are a bucket. Its members are compared with two of its own, the one that shares most buckets
+with others and the least one. Members that are not linked with these after the first round get centres among
+themselves in ``ROUNDS`` - 1 further ones, never one that the bucket has had. Members of several classes that are left
+then, as where many texts share a long passage, are settled by an exact join on the rarest k-mers of each (a prefix
+filter), so no pair of a bucket stays open. A pair is a link if the Jaccard similarity of its k-mer sets is at least
+``SIMILARITY`` and the aligned words, by an edit distance within a band, at least ``ALIGNED``. Linked representatives
+form classes; the class id is the least doc_id.
 
 Null texts count as empty; texts without words are copies of each other if they are equal. Rows without doc_id get no
 class. Rows that repeat a doc_id belong to one document: each gets a row, and any of its texts can link it. No column
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import stored
@@ -217,6 +219,41 @@ def _pairs(member: str, *centres: str):
     return F.explode(F.array_distinct(F.filter(F.array(*[F.struct(F.least(member, c).alias("a"), F.greatest(member, c).alias("b")) for c in centres]), lambda p: p["a"] < p["b"])))
 
 
+def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes, with their class (root) and that of the best member (top)."""
+    here = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    top = here.groupBy("bucket").agg(F.max_by("root", F.struct("score", -F.col("node"))).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return here.join(top.select("bucket", "top"), "bucket")
+
+
+def _candidates(nodes: DataFrame, arrays: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of ``nodes`` (node, root) of different classes whose k-mer sets may be that similar; none is missed.
+
+    Each set is put in one order, the k-mers that fewest sets hold first. Two sets that share enough have their first
+    common k-mer early in both; how early, the larger and the smaller one's size tell.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(kmer_hashes(np.frombuffer(x, np.uint32).astype(np.uint64))).view(np.int64) for x in b.words]
+            yield pd.DataFrame({"node": b.node, "root": b.root, "part": b.part, "size": [len(x) for x in sets], "kmers": sets})
+
+    # a repeated doc_id may have several texts: each is a part of its own
+    texts = nodes.join(arrays, "node").select("node", "root", F.xxhash64("words").alias("part"), "words").mapInPandas(each, "node long, root long, part long, size long, kmers array<long>")
+    rows = stored(texts.select("node", "root", "part", "size", F.explode("kmers").alias("kmer")), "kmers")
+    held = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1")
+    own = Window.partitionBy("node", "part")
+    # k-mers of one set alone come first and need no row
+    at = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "kmer")) - 1
+    least = lambda share: F.ceil(F.lit(share) * F.col("size") - 1e-6)
+    first = rows.join(held, "kmer").withColumn("at", at).where((F.col("at") <= F.col("size") - least(similarity)) & (F.col("low") != F.col("high")))
+    first = stored(first.select("kmer", "node", "root", "size", "at"), "first-kmers")
+    small = first.where(F.col("at") <= F.col("size") - least(2 * similarity / (1 + similarity))).withColumnsRenamed({c: f"{c}_s" for c in ("node", "root", "size", "at")})
+    common = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_s")) - 1e-6
+    near = (F.col("root") != F.col("root_s")) & (F.col("size_s") <= F.col("size")) & (F.least(F.col("size") - F.col("at"), F.col("size_s") - F.col("at_s")) >= common)
+    return first.join(small, "kmer").where(near).select(F.least("node", "node_s").alias("a"), F.greatest("node", "node_s").alias("b")).distinct()
+
+
 def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, aligned: float = ALIGNED, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Links (a, b) between representatives."""
     reps = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("signs").alias("signs")).where("signs is not null")
@@ -232,24 +269,25 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, al
     tried = None
     roots = None
     for k in range(rounds):
-        if k == 0:
-            here, rest = live, live
-        else:
-            # buckets that still hold several classes: each member that isn't linked with the former centre
-            here = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            top = here.groupBy("bucket").agg(F.max_by("root", F.struct("score", -F.col("node"))).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            here = here.join(top.select("bucket", "top"), "bucket")
-            rest = here.where("root <> top")
+        # after the first round: buckets that still hold several classes, and each member apart from the best one's
+        here = live if k == 0 else _apart(live, roots)
+        rest = here if k == 0 else here.where("root <> top")
         centres = rest.groupBy("bucket").agg(most("node").alias("centre"), F.min("node").alias("least"))
-        pairs = here.join(centres, "bucket").select(_pairs("node", "centre", "least").alias("p")).select("p.a", "p.b").distinct()
+        paired = here.join(centres, "bucket")
+        pairs = paired.select(_pairs("node", "centre", "least").alias("p")).select("p.a", "p.b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         new = stored(_verified(pairs, arrays, similarity, aligned), "links")
         found = new if found is None else found.union(new)
-        if k + 1 < rounds:
-            tried = pairs if tried is None else tried.union(pairs)
-            roots = components(found)
+        tried = pairs if tried is None else tried.union(pairs)
+        # a centre has met its whole bucket
+        live = stored(paired.where("node <> centre and node <> least").select("bucket", "node", "score"), "open-buckets")
+        roots = components(found)
+    left = stored(_apart(live, roots).select("node", "root").distinct(), "apart")
+    if left.head(1):
+        pairs = stored(_candidates(left, arrays, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = found.union(stored(_verified(pairs, arrays, similarity, aligned), "links"))
     return found
 
 

@@ -373,6 +373,22 @@ def test_near_copies(spark, odd, docs):
     assert neardup.classes(odd.limit(0)).count() == 0
 
 
+def test_near_copies_with_a_common_passage(spark):
+    r = random.Random(3)
+    some = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    template, rows = some(250), []
+    for i in range(300):  # hundreds of classes with the same passage, every fifth with a near copy
+        own = some(50)
+        rows.append((2 * i + 1, " ".join(template + own)))
+        if i % 5 == 0:
+            rows.append((2 * i + 2, " ".join(template + own[:20] + some(30))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: x.class_id for x in neardup.classes(df).collect()}
+    assert got == {i: i - 1 + i % 2 for i, _ in rows}
+    texts = {i: neardup.word_hashes(neardup.normal(t)) for i, t in rows}
+    assert neardup.linked(texts[1], texts[2]) and 0.6 < neardup.jaccard(texts[1], texts[3]) < 0.8
+
+
 def test_edit_distance():
     r = random.Random(3)
     for _ in range(500):
