@@ -7,9 +7,10 @@ with forms that the patterns miss (phones without a plus sign, spelled-out addre
 (dates, prices, times, versions).
 
 Every kind holds a digit or an at sign, so all stretches of text within ``WINDOW / 2`` characters of one are cut into
-overlapping windows and decoded; elsewhere there is no span by this constraint. What the windows of a document
-propose is reconciled globally: of all proposals that don't touch a base span, those without overlap of the largest
-total score are taken. Positions are code points, ends exclusive.
+overlapping windows; elsewhere there is no span by this constraint. Each character's scores are those of the window
+that has it in its middle, and one decoding runs over each whole stretch of windows, so a span may have any length.
+What the stretches of a document propose is reconciled globally: of all proposals that don't touch a base span, those
+without overlap of the largest total score are taken. Positions are code points, ends exclusive.
 
 Null texts count as empty and give no spans. Texts of any length are searched whole, in time linear in their length.
 Repeated rows are searched one by one; other columns aren't looked at; an empty table gives an empty result.
@@ -39,6 +40,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"(?i)\b(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{16,128})[\"']?|\b(AKIA[0-9A-Z]{16})\b")
 DIGIT = re.compile("[0-9]")
 TRIGGER = re.compile("[0-9@]+")
+#: What a key may go on with; a stretch never ends within such a run.
+RUN = re.compile("[!-~]*")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -233,24 +236,30 @@ class Tagger:
                     self.w[name] = (self.w[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
-    def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (windows, time) and each character's margin over outside; codes is (windows, time)."""
-        e = self.emissions(codes.T)
+    def decode(self, stretches: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Best tags of each stretch's emissions (time, tags), and each character's margin over outside. Longest first."""
+        lengths = np.array([len(x) for x in stretches])
+        e = np.zeros((lengths[0], len(stretches), TAGS), np.float32)
+        for k, x in enumerate(stretches):
+            e[: len(x), k] = x
         move = self.w["move"] + allowed()
         best = e[0].copy()
         best[:, 2::2] += NO
-        back = np.empty((len(e), e.shape[1], TAGS), np.uint8)
+        back = np.empty(e.shape, np.uint8)
+        live = [int((lengths > t).sum()) for t in range(len(e))]
         for t in range(1, len(e)):
-            total = best[:, :, None] + move
-            back[t] = total.argmax(axis=1)
-            best = total.max(axis=1) + e[t]
-        tags = np.empty((len(e), e.shape[1]), np.int64)
-        tags[-1] = best.argmax(axis=1)
-        at = np.arange(e.shape[1])
+            n = live[t]
+            total = best[:n, :, None] + move
+            back[t, :n] = total.argmax(axis=1)
+            best[:n] = total.max(axis=1) + e[t, :n]
+        tags = np.zeros(e.shape[:2], np.int64)
+        at = np.arange(len(stretches))
+        tags[lengths - 1, at] = best.argmax(axis=1)
         for t in range(len(e) - 1, 0, -1):
-            tags[t - 1] = back[t, at, tags[t]]
+            n = live[t]
+            tags[t - 1, :n] = back[t, at[:n], tags[t, :n]]
         margin = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] - e[:, :, 0]
-        return tags.T, margin.T
+        return [(tags[:n, k], margin[:n, k]) for k, n in enumerate(lengths)]
 
 
 # --- labelled spans ------------------------------------------------------------------------------------------------
@@ -273,7 +282,7 @@ def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: r.choice([f"+1 ({digits(3)}) 555-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"({digits(3)}) 555-{digits(4)}", f"{digits(3)}-555-{digits(4)}"]),
-        "secret": lambda: r.choice(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "".join(r.choice("0123456789abcdef") for _ in range(18)), "".join(r.choice("0123456789abcdef") for _ in range(40)), "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789") for _ in range(r.randint(20, 36)))]),
+        "secret": lambda: r.choice(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "".join(r.choice("0123456789abcdef") for _ in range(18)), "".join(r.choice("0123456789abcdef") for _ in range(40)), "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789") for _ in range(r.randint(20, 36))), "".join(r.choice("0123456789abcdef") for _ in range(64)), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(r.randint(40, 128)))]),
     }
     plain = [lambda: digits(r.randint(1, 6)), lambda: f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", lambda: f"${digits(2)}.{digits(2)}", lambda: f"{r.randint(0, 23)}:{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}%", lambda: f"no. {digits(3)}", lambda: f"@{word()}", lambda: f"{digits(1)}.{digits(3)}.{digits(3)}", lambda: f"{word()}{digits(2)}"]
     out = []
@@ -317,11 +326,18 @@ def window_rows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[
 
 
 def starts(text: str) -> list[int]:
-    """Where windows start: all multiples of STRIDE of which the window's middle lies near a trigger."""
+    """Where windows start: all multiples of STRIDE of which the window holds part of a run with a trigger."""
     found: set[int] = set()
+    last = 0
     for m in TRIGGER.finditer(text):
-        low = max(0, (m.start() - WINDOW + 1) // STRIDE)
-        found.update(range(low * STRIDE, m.end(), STRIDE))
+        if m.end() <= last:
+            continue
+        start = m.start()
+        while start > last and "!" <= text[start - 1] <= "~":
+            start -= 1
+        last = RUN.match(text, m.end()).end()
+        low = max(0, (start - WINDOW + 1) // STRIDE)
+        found.update(range(low * STRIDE, last, STRIDE))
     return sorted(found)
 
 
@@ -345,28 +361,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col:
 # --- search --------------------------------------------------------------------------------------------------------
 
 
-def proposals(text_windows: list[tuple[int, int]], tags: np.ndarray, margin: np.ndarray, lengths: list[int]) -> dict[int, dict[tuple[str, int, int], float]]:
-    """By text: spans that windows propose, with their largest score. Spans cut by a window's edge are left to the next."""
-    out: dict[int, dict[tuple[str, int, int], float]] = {}
-    for (k, start), row, m in zip(text_windows, tags, margin):
-        if not row.any():
+def proposals(start: int, row: np.ndarray, m: np.ndarray) -> Iterator[tuple[tuple[str, int, int], float]]:
+    """Spans that a stretch from ``start`` on proposes, with their scores."""
+    inside = np.flatnonzero(row)
+    t = int(inside[0]) if len(inside) else len(row)
+    while t < len(row):
+        if row[t] == 0:
+            t += 1
             continue
-        t = 0
-        while t < WINDOW:
-            if row[t] == 0:
-                t += 1
-                continue
-            end = t + 1
-            while end < WINDOW and row[end] == (row[t] + 1 if row[t] % 2 else row[t]):
-                end += 1
-            s, e = start + t, min(start + end, lengths[k])
-            whole = (t > 0 or s == 0) and (end < WINDOW or start + end >= lengths[k])
-            score = float(m[t:end].sum())
-            if whole and e > s and score >= LEAST_MARGIN * (e - s):
-                mine, span = out.setdefault(k, {}), (KINDS[(int(row[t]) - 1) // 2], s, e)
-                mine[span] = max(score, mine.get(span, 0.0))
-            t = end
-    return out
+        end = t + 1
+        while end < len(row) and row[end] == (row[t] + 1 if row[t] % 2 else row[t]):
+            end += 1
+        score = float(m[t:end].sum())
+        if score >= LEAST_MARGIN * (end - t):
+            yield (KINDS[(int(row[t]) - 1) // 2], start + t, start + end), score
+        t = end
 
 
 def plausible(kind: str, value: str) -> bool:
@@ -404,32 +413,44 @@ def best_without_overlap(found: dict[tuple[str, int, int], float], taken: list[t
 
 
 def spans_of(texts: list[str], tagger: Tagger, most: int = 512) -> list[tuple[list, list]]:
-    """Base and added spans of each text; windows of many texts are decoded together, ``most`` at a time."""
+    """Base and added spans of each text; windows of many texts are scored together, ``most`` at a time."""
     base = [base_spans(t) for t in texts]
     found: dict[int, dict] = {}
-    lengths = [len(t) for t in texts]
-    held: list[tuple[int, int]] = []
+    stretches: list[tuple[int, int, int]] = []  # text, start, windows
     codes: list[np.ndarray] = []
 
     def decode() -> None:
-        for k, mine in proposals(held, *tagger.decode(np.stack(codes)), lengths).items():
-            into = found.setdefault(k, {})
-            for span, v in mine.items():
-                into[span] = max(v, into.get(span, 0.0))
-        held.clear()
+        e = np.concatenate([tagger.emissions(np.stack(codes[i : i + most]).T) for i in range(0, len(codes), most)], axis=1)
+        side, at, scored = (WINDOW - STRIDE) // 2, 0, []
+        for k, start, n in stretches:
+            parts = [e[side if j else 0 : WINDOW if j == n - 1 else WINDOW - side, at + j] for j in range(n)]
+            scored.append((k, start, np.concatenate(parts)[: len(texts[k]) - start]))
+            at += n
+        scored.sort(key=lambda x: -len(x[2]))
+        while scored:
+            n = max(1, most * WINDOW // len(scored[0][2]))
+            for (k, start, _), (tags, margin) in zip(scored, tagger.decode([x for *_, x in scored[:n]])):
+                found.setdefault(k, {}).update(proposals(start, tags, margin))
+            del scored[:n]
+        stretches.clear()
         codes.clear()
 
     for k, t in enumerate(texts):
         if not TRIGGER.search(t):
             continue
         whole = coded(t)
+        before = None
         for start in starts(t):
+            if start - STRIDE == before:
+                stretches[-1] = (k, stretches[-1][1], stretches[-1][2] + 1)
+            else:
+                if len(codes) >= most:
+                    decode()
+                stretches.append((k, start, 1))
+            before = start
             c = whole[start : start + WINDOW]
-            held.append((k, start))
             codes.append(np.pad(c, (0, WINDOW - len(c)), constant_values=130) if len(c) < WINDOW else c)
-            if len(held) == most:
-                decode()
-    if held:
+    if codes:
         decode()
     out = []
     for k, t in enumerate(texts):

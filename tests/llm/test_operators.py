@@ -132,6 +132,15 @@ def test_made_sentences_are_held_out(tagger):
     assert added > 20 and wrong <= 0.25 * added
 
 
+def test_long_secrets_at_every_offset(tagger):
+    r = random.Random(4)
+    found = []
+    for n in (48, 64, 96, 128):
+        texts = ["x" * k + ' said it. token = "' + "".join(r.choice("0123456789abcdef") for _ in range(n)) + '" and so it went on for a while longer' * 3 for k in range(1, pii.STRIDE + 1)]
+        found += [("secret", k + 19, k + 19 + n) in extra for k, (_, extra) in enumerate(pii.spans_of(texts, tagger), 1)]
+    assert np.mean(found) >= 0.95
+
+
 @pytest.fixture(scope="module")
 def byte_bpe():
     import public_tokenizers as P
