@@ -2,12 +2,12 @@
 
 The base finds email, ip, card and phone from their patterns. The model tags characters (outside, or begin / inside of
 each kind, ``secret`` for keys and passwords among them). It is trained in numpy from labelled spans: windows of a
-bounded sample of documents with their base and secret spans, and ``MADE`` sentences that are put together from parts,
+bounded sample of documents with their base and secret spans, and twice ``MADE`` sentences that are put together from parts,
 with forms that the patterns miss (phones without a plus sign, spelled-out addresses) and look-alikes that aren't data
 (dates, prices, times, versions).
 
-Every kind holds a digit or an at sign, so all stretches of text within ``WINDOW / 2`` characters of one are cut into
-overlapping windows; elsewhere there is no span by this constraint. Each character's scores are those of the window
+Every kind holds a digit, an at sign, a spelled-out "dot" or stands behind a key word, so all stretches of text within
+``WINDOW / 2`` characters of one are cut into overlapping windows; elsewhere there is no span by this constraint. Each character's scores are those of the window
 that has it in its middle, and one decoding runs over each whole stretch of windows, so a span may have any length.
 What the stretches of a document propose is reconciled globally: of all proposals that don't touch a base span, those
 without overlap of the largest total score are taken. Positions are code points, ends exclusive.
@@ -39,7 +39,9 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"(?i)\b(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{16,128})[\"']?|\b(AKIA[0-9A-Z]{16})\b")
 DIGIT = re.compile("[0-9]")
-TRIGGER = re.compile("[0-9@]+")
+TRIGGER = re.compile(r"(?i)[0-9@]+|(?<![a-z])dot(?![a-z])|(?:token|password|passwd|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}")
+#: What must stand before a key without a digit.
+KEYED = re.compile(r"(?i)(?:token|password|passwd|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?$")
 #: What a key may go on with; a stretch never ends within such a run.
 RUN = re.compile("[!-~]*")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -265,7 +267,7 @@ class Tagger:
 # --- labelled spans ------------------------------------------------------------------------------------------------
 
 
-def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def made(n: int, seed: int = 5, kinds: tuple[str, ...] = KINDS) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Sentences put together from parts: texts with their labelled spans."""
     r = random.Random(seed)
     syllable = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve la ch der die und que des ión".split()
@@ -278,19 +280,19 @@ def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
         return r.choice([number, " ".join(number[i : i + 4] for i in range(0, 16, 4)), "-".join(number[i : i + 4] for i in range(0, 16, 4))])
 
     makers = {
-        "email": lambda: r.choice([f"{word()}.{digits(2)}@{word()}{r.randint(0, 9)}.example.com", f"{word()}@{word()}.org", f"{word()}_{word()}@{word()}.{word()}.net", f"{word()} at {word()}{digits(1)} dot com", f"{word()}{digits(1)} (at) {word()} (dot) org"]),
+        "email": lambda: r.choice([f"{word()}.{digits(2)}@{word()}{r.randint(0, 9)}.example.com", f"{word()}@{word()}.org", f"{word()}_{word()}@{word()}.{word()}.net", f"{word()} at {word()}{digits(1)} dot com", f"{word()}{digits(1)} (at) {word()} (dot) org", f"{word()} at {word()} dot com", f"{word()} (at) {word()} (dot) org", f"{word()} [at] {word()} [dot] net"]),
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: r.choice([f"+1 ({digits(3)}) 555-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"({digits(3)}) 555-{digits(4)}", f"{digits(3)}-555-{digits(4)}"]),
-        "secret": lambda: r.choice(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "".join(r.choice("0123456789abcdef") for _ in range(18)), "".join(r.choice("0123456789abcdef") for _ in range(40)), "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789") for _ in range(r.randint(20, 36))), "".join(r.choice("0123456789abcdef") for _ in range(64)), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(r.randint(40, 128)))]),
+        "secret": lambda: r.choice(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "".join(r.choice("0123456789abcdef") for _ in range(18)), "".join(r.choice("0123456789abcdef") for _ in range(40)), "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789") for _ in range(r.randint(20, 36))), "".join(r.choice("0123456789abcdef") for _ in range(64)), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(r.randint(40, 128))), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-") for _ in range(r.randint(16, 40)))]),
     }
-    plain = [lambda: digits(r.randint(1, 6)), lambda: f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", lambda: f"${digits(2)}.{digits(2)}", lambda: f"{r.randint(0, 23)}:{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}%", lambda: f"no. {digits(3)}", lambda: f"@{word()}", lambda: f"{digits(1)}.{digits(3)}.{digits(3)}", lambda: f"{word()}{digits(2)}"]
+    plain = [lambda: digits(r.randint(1, 6)), lambda: f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", lambda: f"${digits(2)}.{digits(2)}", lambda: f"{r.randint(0, 23)}:{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}%", lambda: f"no. {digits(3)}", lambda: f"@{word()}", lambda: f"{digits(1)}.{digits(3)}.{digits(3)}", lambda: f"{word()}{digits(2)}", lambda: f"{word()} at {word()}", lambda: f"the dot {word()}", lambda: f"password: {word()} {word()}"]
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(2, 4)):
             text += " ".join(word() for _ in range(r.randint(1, 6))).capitalize() + r.choice([" ", ", ", ". ", ".\n", " "])
-            kind = r.choice([*KINDS, "plain", "plain"])
+            kind = r.choice([*kinds, "plain", "plain"])
             value = r.choice(plain)() if kind == "plain" else makers[kind]()
             if kind == "secret" and not value.startswith("AKIA"):
                 text += r.choice(["token = \"", "password: ", "api_key=", "secret = '", "TOKEN = \""])
@@ -305,7 +307,7 @@ def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 def labelled_spans(text: str) -> list[tuple[str, int, int]]:
     """What a document's windows are labelled with: base spans, and secrets by their key words."""
-    return base_spans(text) + [("secret", *m.span(m.lastindex)) for m in SECRET.finditer(text) if DIGIT.search(m[m.lastindex])]
+    return base_spans(text) + [("secret", *m.span(m.lastindex)) for m in SECRET.finditer(text)]
 
 
 def window_rows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -354,7 +356,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col:
     around = F.regexp_extract_all("text", F.lit(rf"(?s)(.{{0,96}}(?:{near}).{{0,96}})"), F.lit(1))
     picked = rows.where((place <= int(1_000_003 * share)) & F.col("text").rlike(near)).select(place.alias("place"), F.array_join(F.slice(around, 1, 4), "\n").alias("t"))
     texts = [r["t"] for r in picked.orderBy("place", "t").limit(sample).collect()]
-    examples = [w for t, s in [*made(MADE), *((t, labelled_spans(t)) for t in sorted(texts))] for w in window_rows(t, s)]
+    examples = [w for t, s in [*made(MADE), *made(MADE, 6, ("email", "email", "secret")), *((t, labelled_spans(t)) for t in sorted(texts))] for w in window_rows(t, s)]
     return Tagger().fit(np.stack([c for c, _ in examples]), np.stack([t for _, t in examples]))
 
 
@@ -378,14 +380,14 @@ def proposals(start: int, row: np.ndarray, m: np.ndarray) -> Iterator[tuple[tupl
         t = end
 
 
-def plausible(kind: str, value: str) -> bool:
+def plausible(kind: str, value: str, before: str = "") -> bool:
     """What every span of a kind must hold; the model decides where one lies."""
     n = sum("0" <= c <= "9" for c in value)
     if kind == "secret":
-        return len(value) >= 16 and n > 0 and not any(c.isspace() for c in value)
+        return len(value) >= 16 and (n > 0 or KEYED.search(before) is not None) and not any(c.isspace() for c in value)
     if kind == "email":
-        low = value.lower()
-        return "@" in value or n > 0 and " dot " in low.replace("(", " ").replace(")", " ") and " at " in low.replace("(", " ").replace(")", " ")
+        words = re.sub(r"[()\[\]]", " ", value.lower())
+        return "@" in value or " dot " in words and " at " in words
     if kind == "card" and not luhn("".join(c for c in value if "0" <= c <= "9")):
         return False
     return {"phone": 7 <= n <= 15, "ip": n >= 4, "card": 13 <= n <= 19}[kind] and not any(c.isalpha() for c in value)
@@ -454,7 +456,7 @@ def spans_of(texts: list[str], tagger: Tagger, most: int = 512) -> list[tuple[li
         decode()
     out = []
     for k, t in enumerate(texts):
-        good = {x: v for x, v in found.get(k, {}).items() if plausible(x[0], t[x[1] : x[2]])}
+        good = {x: v for x, v in found.get(k, {}).items() if plausible(x[0], t[x[1] : x[2]], t[max(0, x[1] - 20) : x[1]])}
         out.append((base[k], best_without_overlap(good, base[k]) if good else []))
     return out
 

@@ -141,6 +141,20 @@ def test_long_secrets_at_every_offset(tagger):
     assert np.mean(found) >= 0.95
 
 
+def test_spans_without_digits(tagger):
+    r = random.Random(6)
+    name = lambda: "".join(r.choice("the der and une sti ore lan mar".split()) for _ in range(2))
+    texts, gold = [], []
+    for i in range(120):
+        shape = ["{} at {} dot com", "{} (at) {} (dot) org", "{} [at] {} [dot] net"][i % 3]
+        kind, value = ("email", shape.format(name(), name())) if i % 2 else ("secret", "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop") for _ in range(r.randint(16, 36))))
+        lead = "Write to us, " if i % 2 else "He said it. password: "
+        texts.append(lead + value + ", and so it went on for a while longer.")
+        gold.append((kind, len(lead), len(lead) + len(value)))
+    found = [g in extra for g, (_, extra) in zip(gold, pii.spans_of(texts, tagger))]
+    assert np.mean(found[1::2]) >= 0.7 and np.mean(found[::2]) >= 0.7
+
+
 @pytest.fixture(scope="module")
 def byte_bpe():
     import public_tokenizers as P
