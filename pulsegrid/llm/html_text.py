@@ -6,7 +6,7 @@ and role). A decision tree over these, trained on the labelled blocks of the pag
 
 Scripts, styles, comments of the markup, head and form fields hold no text at all. Character references are decoded,
 white space in a block becomes one space, kept blocks are joined by one space in page order. Unclosed and crossed tags
-are closed with their container. Null html counts as empty and gives an empty text; pages of any length are read
+are closed with their container; of silent elements only raw text (scripts and the like) reaches to the page's end. Null html counts as empty and gives an empty text; pages of any length are read
 whole. Repeated rows are judged one by one; columns other than page_id, url and html aren't looked at.
 """
 
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 #: Tags by what they do. Fixed values.
 SILENT = frozenset("script style noscript template head title select option textarea button svg math iframe object canvas datalist".split())
+#: Of these, those whose content is no markup: without a closing tag they reach to the end; and those that don't nest.
+RAW, SINGLE = frozenset("script style title textarea iframe".split()), frozenset("button option select".split())
+HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 CONTAINERS = frozenset("html body main article section div nav header footer aside form fieldset ul ol dl table tbody thead tr figure details dialog menu blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr address figcaption caption legend summary center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -51,6 +54,22 @@ def hints(tag: str, attributes: str) -> tuple[bool, bool]:
     return good, bad
 
 
+def extent(page: str, at: int, own: str) -> int:
+    """Where an element without a closing tag ends: at a block, at the next one of its kind or with what it lies in."""
+    opened: list[str] = []
+    for m in TOKEN.finditer(page, at):
+        tag = (m[2] or "").lower()
+        if not tag:
+            continue
+        if tag in BLOCKS or tag == own or m[1] and tag not in opened:
+            return m.start()
+        if m[1]:
+            del opened[opened.index(tag) :]
+        elif tag not in VOID and not m[3].endswith("/"):
+            opened.append(tag)
+    return len(page)
+
+
 def blocks(page: str) -> list[tuple[str, tuple]]:
     """(text, own features) of each block: words, link density, heading, list item, good, bad, bad within good."""
     out: list[tuple[str, tuple]] = []
@@ -59,6 +78,7 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, good, bad, and whether bad lies within good
     good = bad = inner = False
     in_link, tag_now, at, n = False, "", 0, len(page)
+    gone: set[str] = set()  # tags that no closing one follows
 
     def close() -> None:
         if parts:
@@ -84,8 +104,22 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             continue
         tag, ends = m[2].lower(), bool(m[1])
         if tag in SILENT and not ends and not m[3].endswith("/"):
-            closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if tag not in ("head",) else re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-            at = n if closing is None else closing.start() if closing[0].lower().startswith("<body") else closing.end()
+            if tag in gone:
+                closing = None
+            elif tag == "head":
+                closing = HEAD_END.search(page, at)
+            else:
+                closing = re.compile(rf"<{'/?' if tag in SINGLE else '/'}{tag}\b[^>]*>", re.I).search(page, at)
+            if closing is None:
+                gone.add(tag)
+            elif tag in SINGLE and closing[0][1] != "/":
+                closing = None  # another one begins before this one ends
+            if closing is not None:
+                at = closing.start() if closing[0].lower().startswith("<body") else closing.end()
+            elif tag in RAW:
+                at = n
+            elif tag != "head":
+                at = extent(page, at, tag)
             parts.append(" ")
             continue
         if tag == "a":

@@ -340,6 +340,14 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_behind_unclosed_silent_tags():
+    article = "<article><h1>A storm</h1><p>The storm reached the coast at night and took roofs with it.</p></article>"
+    want = "A storm The storm reached the coast at night and took roofs with it."
+    for page in ("<html><head><title>T</title>" + article, *(f"<html><body><div><{t}>x</div>{article}</body></html>" for t in "button select option object svg".split()), f"<body><button>x{article}<button>y</button></body>", f"<body><p><select><option>a<option>b</p>{article}</body>"):
+        assert html_text.main_text(page).endswith(want), page
+    assert html_text.main_text(f"<body>{article}<script>x {article}") == want
+
+
 def test_main_text_of_pages(spark, sf_dir):
     for r in html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", re.search(r"<article>(.*)</article>", r.html, re.S)[1]))
