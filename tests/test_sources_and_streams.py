@@ -135,6 +135,16 @@ def test_fold_of_one_topic_is_the_batch_rule(spark, tmp_path):
     assert rows[2].missing_before == 1 and rows[-1].late_count == 1 and rows[-1].out_of_order_count == 2
 
 
+def test_fold_of_a_large_group_from_shuffled_files(spark, tmp_path):
+    rows = spark.range(25_000).selectExpr("'r' run_id", "'a' topic", f"id * {NS // 100} + {1000 * NS} log_time_ns", "0 b", "id c", "0 d", "0 e", "1 f", "id g")
+    rows = rows.toDF(*spark.createDataFrame([], schema.MESSAGES).columns)
+    cast = rows.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], schema.MESSAGES).schema])
+    cast.repartition(5, F.xxhash64("arrival_seq")).orderBy(F.xxhash64("arrival_seq")).write.parquet(str(tmp_path / "in"))
+    raw = spark.readStream.schema(schema.MESSAGES).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros(F.expr("log_time_ns div 1000")))
+    got = run_stream(jobs.arrival_fold(raw, 1000 * NS, NS, 2 * NS), str(tmp_path / "out")).orderBy("window").collect()
+    assert [(r.window, r["count"], r.late_count, r.out_of_order_count) for r in got][:200] == [(k, 100, 0, 0) for k in range(200)]
+
+
 def test_append_ingest_takes_whole_batches(spark, tmp_path):
     cols = "event_id string, sequence_index bigint, event_hash string, prev_event_hash string"
     for i, rows in enumerate([[("e3", 3, "h3", "h2"), ("e4", 4, "h4", "h3")], [("e9", 9, "h9", "h4")], [("e5", 5, "h5", "h4")]]):
