@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +55,27 @@ def trimmed(memory: dict, most: int) -> None:
     if len(memory) > most:
         for key in list(memory)[most // 2 :]:
             del memory[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end, so that a worker that waits for its next one holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def by_chars(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of Arrow batches (id, text), null texts as empty ones, in groups that end once they hold ``most`` characters.
+
+    Only a group's texts are Python strings at a time, however many rows a batch has.
+    """
+    for batch in batches:
+        ids, column, first, texts, size = batch.column(0), batch.column(1), 0, [], 0
+        for text in column:
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= most:
+                yield ids.slice(first, len(texts)), texts
+                first, texts, size = first + len(texts), [], 0
+        if texts:
+            yield ids.slice(first), texts

@@ -8,38 +8,39 @@ A file: ``MAGIC``; uint32 documents; uint64 ids; int64 doc_ids; uint8 null flags
 bytes; data bytes; numbers are little-endian. Files hold documents in ascending doc_id order (nulls first; repeated
 doc_ids stand beside each other) and end after the document that takes them past ``ids_per_file``.
 
-Null texts count as empty: their document holds the end id alone. An empty table gives no files and no rows. No other
-column of the input is looked at.
+Null texts count as empty: their document holds the end id alone. Texts of any length are encoded whole. Documents
+with one doc_id follow each other by a hash of their ids, so where each starts doesn't depend on the run. An empty
+table gives no files and no rows. No other column of the input is looked at, whatever its name.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import WHITE
-from pulsegrid.llm.common import scratch, stored, trimmed
-from pulsegrid.llm.files import put
+from pulsegrid.llm.common import by_chars, give_back, scratch, stored, trimmed
+from pulsegrid.llm.files import opened, put
 
 MAGIC = b"FVB1"
 IDS_PER_FILE = 4_000_000
-SIGN = "\x01"
-#: A worker forgets part of its remembered words beyond the first number, and between tasks beyond the second.
-REMEMBERED, IDLE = 600_000, 60_000
-WORD = re.compile(f"[^{WHITE}]+")
-#: Marks that the tokenizer cuts from letters before them. (Of an apostrophe it may make a suffix.)
-MARKS = ".,!?;:"
-#: Letters whose lower case depends on what follows, or isn't a letter alone.
-UNLIKE = re.compile("[\u0130\u03a3]")
+#: A worker forgets part of its remembered words and pieces beyond these numbers, and between tasks beyond the last.
+WORDS, PIECES, IDLE = 150_000, 250_000, 40_000
+#: What Python's split takes for white space but the tokenizer doesn't.
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
@@ -84,92 +85,117 @@ def parse(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(i) for i, z in zip(ids, null)], counts, unpack(np.frombuffer(data, np.uint8, -1, 16 + 13 * d), n)
 
 
-class WordEncoder:
-    """The tokenizer's ids, found once for each word between white space.
-
-    The tokenizer drops white space, and none of its steps looks across it, so the ids of a text are those of its words.
+#: The steps before the model of which the word rules below are made: NFC, white space, lower case; then letters, single numerals, or marks.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+PIECE = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+#: The same cut, but that numerals other than digits stay with letters; the second for texts with an underscore.
+_HEAD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|"
+COARSE = re.compile(_HEAD + f"[^\\w{WHITE}]+").findall, re.compile(_HEAD + f"(?:[^\\w{WHITE}]|_)+").findall
+#: Bytes (as Latin-1) to the characters that stand for them in byte-level vocabularies: printable ones themselves, others from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(PRINTABLE)))}
+
+
+class Known(dict):
+    """Ids of words or pieces as bytes; what isn't known yet is asked for once."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, part: str) -> bytes:
+        found = self[part] = self.ids_of(part)
+        return found
+
+
+class Encoder:
+    """The tokenizer's ids of texts, found once for each word, and once for each piece that its steps before the model cut.
+
+    If these steps are ``STEPS``, none looks across white space: texts are put in lower case and cut here, and each new
+    piece goes to the tokenizer's model alone. With any other steps, and for texts that hold a special token's sign,
+    the whole tokenizer is used.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        (self.sign,) = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of words; of letters with marks after them, those of the letters and of the marks.
-
-        Letters that are composed already go through lower case here and the tokenizer's model alone; all else goes
-        through the whole tokenizer.
-        """
-        known, parts, letters, rest = self.known, [], set(), set()
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or is_normalized("NFC", core) and not UNLIKE.search(core)):
-                marks = w[len(core) :]
-                core = core.lower()
-                if core not in known:
-                    letters.add(core)
+        self.model = self.tokenizer.model
+        with open(path, "rb") as f:
+            steps = json.load(f)
+        self.by_piece = all(steps.get(k) == v for k, v in STEPS.items()) and steps.get("post_processor") is None and steps.get("truncation") is None
+        self.signs = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.packed = {"<u2": "<%dH", "<u4": "<%dI"}[self.dtype]
+        self.words, self.pieces = Known(self.word), Known(self.piece)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(self.packed % len(ids), *ids)
+
+    def piece(self, piece: str) -> bytes:
+        tokenize = self.model.tokenize
+        if piece.isascii() and piece.isprintable():
+            return self.pack([t.id for t in tokenize(piece)])
+        return self.pack([t.id for p in PIECE.findall(piece) for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARS))])
+
+    def word(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, COARSE["_" in word](word)))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        for text in texts:
+            if not self.by_piece or any(sign in text for sign in self.signs):
+                yield self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                continue
+            if not text.isascii():
+                text = normalize("NFC", text).replace("\u03a3", "\u03c3")  # lower case has no regard to a word's end
+            text = text.lower()
+            if any(c in text for c in NOT_WHITE):
+                yield self.word(text)
             else:
-                core, marks = w, ""
-                rest.add(w)
-            parts.append((w, core, marks))
-            if marks and marks not in known:
-                rest.add(marks)
-        self.encode_words(letters, self.model)
-        self.encode_words(rest, self.tokenizer)
-        for w, core, marks in parts:
-            known[w] = known[core] + known[marks] if marks else known[core]
-
-    def encode_words(self, words: set[str], tokenizer) -> None:
-        """Encode words in one call: between them stands a sign that no word has, which is one id of its own."""
-        new = [w for w in words if SIGN not in w]
-        if new:
-            ids = np.array(tokenizer.encode_batch_fast([f" {SIGN} ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(ids == self.sign)
-            data, size = ids.tobytes(), ids.itemsize
-            for w, a, b in zip(new, [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(data)]):
-                self.known[w] = data[a:b]
-        for w in words.difference(new):
-            self.known[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, held, size = [], [], 0
-        for i, text in enumerate(texts):
-            held.append(WORD.findall(text))
-            size += len(text)
-            if size > 1 << 20 or i == len(texts) - 1:
-                trimmed(self.known, REMEMBERED)
-                self.learn(set().union(*held).difference(self.known))
-                out += [b"".join(map(self.known.__getitem__, words)) for words in held]
-                held, size = [], 0
-        return out
+                yield b"".join(map(self.words.__getitem__, text.split()))
+            self.forget(WORDS, PIECES)
+
+    def forget(self, words: int, pieces: int) -> None:
+        """Keep at most so many: those that came first, as they come often."""
+        trimmed(self.words, words)
+        trimmed(self.pieces, pieces)
+
+    def rest(self) -> None:
+        self.forget(IDLE, IDLE)
+        give_back()
 
 
 @lru_cache(2)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a worker one core
-    return WordEncoder(path)
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens and ``ids`` (little-endian, as wide as the vocabulary needs), ``end_id`` last."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[tuple[pa.Array, list[str]]]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for b in batches:
-            ids = [i + end for i in encoder.encode([t or "" for t in b.text])]
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_tokens": [len(i) // len(end) for i in ids], "ids": ids})
-        trimmed(encoder.known, IDLE)
+        end = encoder.pack([end_id])
+        for doc_ids, texts in batches:
+            ids = [i + end for i in encoder.encode(texts)]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        encoder.rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, n_tokens long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda batches: each(by_chars(batches)), "doc_id long, n_tokens long, ids binary")
 
 
 def frequencies(tokens: DataFrame, vocabulary: int) -> DataFrame:
@@ -195,7 +221,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
     The rank table has a row for each id of the vocabulary at most, so it is sent to every task.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    vocabulary = max(_encoder(path).tokenizer.get_vocab_size(), end_id + 1)
+    vocabulary = max(_encoder(path).vocabulary, end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     tokens = stored(encode(docs, path, end_id, text_col, id_col), "ids")
     counted = frequencies(tokens, vocabulary).toPandas().sort_values(["n", "id"], ascending=[False, True])
@@ -206,11 +232,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
     parts = max(1, -(-int(counted["n"].sum()) // ids_per_file))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, place, ids, data, held = TaskContext.get().partitionId(), 0, [], [], 0
+        task = TaskContext.get()
+        part, place, ids, data, held = task.partitionId(), 0, [], [], 0
 
         def flush() -> pd.DataFrame:
             flat = np.frombuffer(b"".join(data), kind)
-            name = f"part-{part:08d}-{place:06d}.fvb"
+            name = f"part-{part:08d}-{place:06d}-{task.taskAttemptId()}.fvb"  # of two attempts, the table of files names those of one
             put(folder, name, file_bytes(ids, [len(x) // flat.itemsize for x in data], ranks.value[flat]))
             return pd.DataFrame({"part": [part], "place": [place], "file": [name], "n_docs": [len(ids)], "n_ids": [len(flat)]})
 
@@ -225,30 +252,30 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
         if ids:
             yield flush()
 
-    files = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "ids").mapInPandas(each, "part int, place int, file string, n_docs long, n_ids long")
+    order = ["doc_id", "tie", "ids"]
+    files = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).select("doc_id", "ids").mapInPandas(each, "part int, place int, file string, n_docs long, n_ids long")
     return stored(files, "files"), id_of
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame, id_of: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens and ``ids`` (little-endian uint32) of every document, from the files."""
+    """doc_id, start, n_tokens and ``ids`` (little-endian uint32) of every document, from the files that ``files`` names."""
     table = spark.sparkContext.broadcast(id_of.astype("<u4"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = opened(folder)
         for b in batches:
-            for name, content in zip(b.file, b.content):
-                docs, counts, ranks = parse(content)
+            for name, start in zip(b.file, b.file_start):
+                with system.open_input_stream(f"{path}/{name}") as f:
+                    docs, counts, ranks = parse(f.read())
                 ends = np.cumsum(counts)
                 ids = table.value[ranks]
-                yield pd.DataFrame({"file": name, "doc_id": pd.array(docs, dtype="Int64"), "within": ends - counts, "n_tokens": counts, "ids": [ids[e - c : e].tobytes() for e, c in zip(ends, counts)]})
+                yield pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "start": start + ends - counts, "n_tokens": counts, "ids": [ids[e - c : e].tobytes() for e, c in zip(ends, counts)]})
 
     total = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = total.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.withColumn("inside", inside).join(before, "part").select("file", (F.col("before") + F.col("inside")).alias("file_start"))
-    if not files.head(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.fvb").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return raw.mapInPandas(each, "file string, doc_id long, within long, n_tokens long, ids binary").join(starts, "file").select("doc_id", (F.col("file_start") + F.col("within")).alias("start"), "n_tokens", "ids")
+    starts = stored(files.withColumn("inside", inside).join(before, "part").select("file", (F.col("before") + F.col("inside")).alias("file_start")), "starts")
+    return starts.repartition(max(1, starts.count())).mapInPandas(each, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = 1, ids_per_file: int = IDS_PER_FILE) -> DataFrame:

@@ -197,9 +197,10 @@ def test_token_files(spark, odd, docs):
 
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     r = random.Random(1)
-    parts = ["a", "E", "th", "ing", " ", "\n", "é", "'s", "'re", "1", "23", "!", "...", ",", "中", "　", "\x1c", "\x85", "\x01", "\U0001f642", "I'll", "ß", "\xa0", "<|endoftext|>", "́", "Σ", "İ", "É", "İ!"]
+    parts = ["a", "E", "th", "ing", " ", "\n", "é", "'s", "'re", "1", "23", "!", "...", ",", "中", "　", "\x1c", "\x85", "\x01", "\U0001f642", "I'll", "ß", "\xa0", "<|endoftext|>", "<|", "́", "Σ", "İ", "É", "İ!", "***", "_", "½", "Ⅷ", "ﬁ", "\xad", "힣", "ᄀ", "ᅡ"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(3000)]
-    encoder = token_files.WordEncoder(P.path("word_bpe_49k.json"))
+    encoder = token_files.Encoder(P.path("word_bpe_49k.json"))
+    assert encoder.by_piece and not token_files.Encoder(P.path("byte_bpe_50k.json")).by_piece
     for t, ids in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(ids, encoder.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
     values = np.random.default_rng(1).integers(0, 1 << 32, 1003) >> np.random.default_rng(2).integers(0, 32, 1003)
@@ -212,6 +213,12 @@ def test_token_files(spark, odd, docs):
         at += len(ids)
     rows = token_files.round_trip(odd).collect()
     assert len(rows) == len(ODD) and next(x for x in rows if x.doc_id == 1).n_tokens == 1 and sorted(x.start for x in rows)[0] == 0
+    assert next(x for x in rows if x.doc_id == 5).n_tokens == 30_001  # a very long text
+    tied = spark.createDataFrame([(1, t) for t in ("b b", "a", "c c c", "a")], "doc_id bigint, text string")
+    assert sorted(token_files.round_trip(tied).collect()) == sorted(token_files.round_trip(tied.orderBy(F.desc("text"))).collect())
+    other = {x.doc_id: x for x in token_files.round_trip(docs.limit(20), path=P.path("byte_bpe_50k.json"), end_id=50256).collect()}
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert all(other[d.doc_id].ids_crc32 == zlib.crc32(np.array(plain.encode(d.text, add_special_tokens=False).ids + [50256], "<u4").tobytes()) for d in docs.limit(20).collect())
     assert token_files.round_trip(odd.limit(0)).count() == 0
 
 
