@@ -38,7 +38,7 @@ from pulsegrid.llm.files import opened, put
 MAGIC = b"FVB1"
 IDS_PER_FILE = 4_000_000
 #: A worker forgets part of its remembered words and pieces beyond these numbers, and between tasks beyond the last.
-WORDS, PIECES, IDLE = 150_000, 250_000, 40_000
+WORDS, PIECES, IDLE = 250_000, 400_000, 150_000
 #: What Python's split takes for white space but the tokenizer doesn't.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
