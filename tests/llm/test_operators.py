@@ -106,39 +106,88 @@ def tagger(docs):
     return pii.train(docs)
 
 
+def spans_in(joined):
+    return {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in joined.split(",") if x)}
+
+
 def test_personal_data(odd, docs, tagger):
-    got = {r.doc_id: r for r in pii.search(odd, tagger).collect()}
-    assert len(got) == 9 and got[1].spans == "" and (got[7].n_email, got[7].n_ip, got[7].n_card, got[7].n_phone) == (1, 1, 1, 1)
+    rows = pii.search(odd, tagger).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(ODD) and got[1].spans == "" and (got[7].n_email, got[7].n_ip, got[7].n_card, got[7].n_phone) == (1, 1, 1, 1)
+    assert pii.search(odd.limit(0), tagger).count() == 0 and pii.redact(odd.limit(0), tagger).count() == 0
     found = {r.doc_id: r for r in pii.search(docs, tagger).collect()}
-    hit = of = 0
     for d in docs.collect():
         base = pii.joined(base_by_pattern(d.text))
         r = found[d.doc_id]
-        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r.spans.split(","))
-        gold = {("secret", *m.span(m.lastindex)) for m in pii.SECRET.finditer(d.text)}
-        of += len(gold)
-        hit += len(gold & {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)})
-    assert of == 0 or hit >= 0.7 * of
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and spans_in(base) <= spans_in(r.spans)
     clean = pii.redact(odd, tagger)
     assert clean.columns == odd.columns and clean.where("doc_id = 7").first().text == "<EMAIL>, <PHONE>, <IP>, <CARD>" and clean.where("doc_id = 1").first().text is None
 
 
+def test_secrets_of_documents(spark, sf_dir, tagger):
+    docs = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    hit = of = wrong = 0
+    for r in pii.search(docs, tagger).join(docs.select("doc_id", "text"), "doc_id").collect():
+        gold = {("secret", *m.span(m.lastindex)) for m in pii.SECRET.finditer(r.text)}
+        extra = spans_in(r.spans) - set(pii.base_spans(r.text))
+        of, hit, wrong = of + len(gold), hit + len(gold & extra), wrong + len(extra - gold)
+    assert of > 5 and hit >= 0.9 * of and wrong <= 0.05 * hit + 1
+
+
+def test_training_on_an_empty_table(odd, monkeypatch):
+    monkeypatch.setattr(pii, "MADE", 20)
+    assert len(pii.spans_of(["a@b.co"], pii.train(odd.limit(0)))[0][0]) == 1
+
+
+def test_viterbi_equals_brute_force(monkeypatch):
+    tagger = pii.Tagger(3)
+    tagger.w["move"] = np.random.default_rng(1).normal(0, 1, (pii.TAGS, pii.TAGS)).astype(np.float32)
+    rng = np.random.default_rng(2)
+    move = tagger.w["move"] + pii.allowed()
+    ways = np.array(np.meshgrid(*[np.arange(pii.TAGS)] * 4, indexing="ij")).reshape(4, -1)
+    legal = ~np.isin(ways[0], np.arange(2, pii.TAGS, 2))
+    skipped = 0
+    for scale in (1.0, 3.0):
+        e = rng.normal(0, 1, (4, pii.TAGS, 40)).astype(np.float32)
+        e[:, 1:, 20:] -= scale * 3
+        monkeypatch.setattr(tagger, "emissions", lambda codes: e.copy(), raising=False)
+        live, tags, margin = tagger.decode(np.zeros((4, 40), np.uint8), np.arange(40) % 10 > 0)
+        sure = (e - e[:, :1])[:, 1:].max(axis=(0, 1)) >= pii.LEAST_MARGIN
+        assert live.tolist() == [n for n in range(40) if sure[n] or n % 10 and sure[n - 1] or n % 10 < 9 and sure[n + 1]]
+        skipped += 40 - len(live)
+        for j, n in enumerate(live):
+            score = sum(e[t, ways[t], n] for t in range(4)) + sum(move[ways[t - 1], ways[t]] for t in range(1, 4)) + np.where(legal, 0, pii.NO)
+            assert tags[:, j].tolist() == ways[:, int(np.argmax(score))].tolist()
+            assert np.allclose(margin[:, j], [e[t, tags[t, j], n] - e[t, 0, n] for t in range(4)])
+    assert skipped > 0
+
+
+def test_windows_cover_a_text_once():
+    for n in (1, pii.WINDOW - 1, pii.WINDOW, pii.WINDOW + 1, 5 * pii.WINDOW, 1234567):
+        at = pii.starts(n)
+        assert at[0] == 0 and (n <= pii.WINDOW or at[-1] + pii.WINDOW == n) and all(0 < b - a <= pii.WINDOW - 2 * pii.MARGIN for a, b in zip(at, at[1:]))
+
+
+def test_small_batches_give_the_same(tagger):
+    texts = [t * 12 for t, _ in pii.made(20, seed=8)]
+    assert pii.spans_of(texts, tagger, 3) == pii.spans_of(texts, tagger)
+
+
 def test_made_sentences_are_held_out(tagger):
-    texts = pii.made(150, seed=99)
-    wrong = added = 0
+    texts = pii.made(200, seed=99)
+    hit = of = wrong = added = 0
     for (base, extra), (t, gold) in zip(pii.spans_of([t for t, _ in texts], tagger), texts):
-        added += len(set(extra) & set(gold))
-        wrong += len(set(extra) - set(gold))
-    assert added > 20 and wrong <= 0.25 * added
+        gold = set(gold) - set(base)
+        of, hit, added, wrong = of + len(gold), hit + len(gold & set(extra)), added + len(extra), wrong + len(set(extra) - gold)
+    assert of > 150 and hit >= 0.9 * of and wrong <= 0.05 * added
 
 
 def test_long_secrets_at_every_offset(tagger):
     r = random.Random(4)
-    found = []
-    for n in (48, 64, 96, 128):
-        texts = ["x" * k + ' said it. token = "' + "".join(r.choice("0123456789abcdef") for _ in range(n)) + '" and so it went on for a while longer' * 3 for k in range(1, pii.STRIDE + 1)]
-        found += [("secret", k + 19, k + 19 + n) in extra for k, (_, extra) in enumerate(pii.spans_of(texts, tagger), 1)]
-    assert np.mean(found) >= 0.95
+    for n in (18, 32, 40, 48, 64, 96, 128):
+        texts = ["x" * (1 + k % 7) + " word of it" * (k // 3) + ' said it. token = "' + "".join(r.choice("0123456789abcdef") for _ in range(n)) + '" and so it went on for a while longer' * 3 for k in range(pii.WINDOW // 3)]
+        found = [("secret", at, at + n) in extra for at, (_, extra) in zip((t.index('"') + 1 for t in texts), pii.spans_of(texts, tagger))]
+        assert np.mean(found) >= 0.9, n
 
 
 def test_spans_without_digits(tagger):
@@ -152,7 +201,10 @@ def test_spans_without_digits(tagger):
         texts.append(lead + value + ", and so it went on for a while longer.")
         gold.append((kind, len(lead), len(lead) + len(value)))
     found = [g in extra for g, (_, extra) in zip(gold, pii.spans_of(texts, tagger))]
-    assert np.mean(found[1::2]) >= 0.7 and np.mean(found[::2]) >= 0.7
+    assert np.mean(found[1::2]) >= 0.8 and np.mean(found[::2]) >= 0.9
+    some = ["call 301-555-0346 today", "mail bob7 (at) corp (dot) org now", "password: correcthorsebatterystaple"]
+    assert [[t[s:e] for _, s, e in x] for t, (_, x) in zip(some, pii.spans_of(some, tagger))] == [["301-555-0346"], ["bob7 (at) corp (dot) org"], ["correcthorsebatterystaple"]]
+    assert pii.spans_of(["He looked at the dot matrix printer at noon, no. 4 of 1998-10-12."], tagger) == [([], [])]
 
 
 @pytest.fixture(scope="module")
@@ -177,7 +229,8 @@ def test_bpe_equals_the_library(byte_bpe):
 def test_bpe_small_memory_gives_the_same(byte_bpe, monkeypatch):
     texts = [f"word{i} other{i % 7}, and more" for i in range(2000)]
     want = list(byte_bpe.encode(texts))
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bpe, "STRETCHES", 10)
+    monkeypatch.setattr(bpe, "PIECES", 10)
     assert [i for t in texts for i in byte_bpe.encode([t])] == want
 
 
