@@ -22,11 +22,12 @@ from itertools import chain
 import ahocorasick
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import trimmed
+from pulsegrid.llm.common import by_chars, give_back, trimmed
 
 #: White space as Unicode has it. Fixed values.
 WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -35,8 +36,8 @@ WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Marks that the splitting pattern cuts, as one piece, from letters before them. (Of an apostrophe it may make a suffix.)
 MARKS = ".,!?;:"
-#: A worker forgets part of its remembered stretches, and pieces, beyond this number; that bounds memory and changes no result.
-REMEMBERED, IDLE = 300_000, 60_000
+#: A worker forgets part of its remembered stretches and pieces beyond these numbers, and between tasks beyond the last; that bounds memory and changes no result.
+STRETCHES, PIECES, IDLE = 160_000, 120_000, 40_000
 
 
 class ByteBpe:
@@ -169,8 +170,8 @@ class ByteBpe:
             held.append(STRETCH.findall(text))
             size += len(text)
             if size > 1 << 20 or i == len(texts) - 1:
-                trimmed(self.cache, REMEMBERED)
-                trimmed(self.pieces, REMEMBERED)
+                trimmed(self.cache, STRETCHES)
+                trimmed(self.pieces, PIECES)
                 for s in set().union(*held).difference(self.cache):
                     self.cache[s] = self.encode_stretch(s)
                 for stretches in held:
@@ -182,6 +183,7 @@ class ByteBpe:
         trimmed(self.cache, IDLE)
         trimmed(self.pieces, IDLE)
         self.compatible.cache_clear()
+        give_back()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -197,13 +199,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """doc_id and ``ids`` (array of int), by the rank file at ``path``."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": list(bpe.encode([t or "" for t in b.text]))})
+        for doc_ids, texts in by_chars(batches):
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(list(bpe.encode(texts)), pa.list_(pa.int32()))], ["doc_id", "ids"])
         bpe.rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -222,15 +224,13 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoding, then decoding of the ids, in one pass over the texts."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         names = [str(i) for i in range(len(bpe.bytes_of))]
-        for b in batches:
-            out = []
-            for ids in bpe.encode([t or "" for t in b.text]):
-                out.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            n, a, d = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(a, dtype=object), "decoded_sha256": pd.Series(d, dtype=object)})
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        for doc_ids, texts in by_chars(batches):
+            out = [(len(ids), digest(" ".join(map(names.__getitem__, ids)).encode()), digest(bpe.decode(ids))) for ids in bpe.encode(texts)]
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(x) for x in zip(*out))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

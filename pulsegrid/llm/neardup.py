@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import stored
+from pulsegrid.llm.common import by_chars, give_back, stored
 from pulsegrid.llm.decontaminate import TABLE
 from pulsegrid.llm.graph import components
 
@@ -177,30 +178,32 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, aligned
 def _signed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """doc_id, key of the exact words, and sketches."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, texts in by_chars(batches):
             keys, signs = [], []
-            for text in b.text:
+            for text in texts:
                 words = normal(text)
-                keys.append(hashlib.md5(words or b"\0" + (text or "").encode("utf-8", "replace")).digest())
+                keys.append(hashlib.md5(words or b"\0" + text.encode("utf-8", "replace")).digest())
                 signs.append(sketches(kmer_hashes(word_hashes(words))).view(np.int64) if words else None)
-            yield pd.DataFrame({"doc_id": b.doc_id, "key": keys, "signs": signs})
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "key", "signs"])
+        give_back()
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return ids.mapInPandas(each, "doc_id long, key binary, signs array<long>")
+    return ids.mapInArrow(each, "doc_id long, key binary, signs array<long>")
 
 
 def _word_arrays(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """node and its words' hashes, for the nodes in ``ids`` only."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b.node, "words": [word_hashes(normal(t)).astype(np.uint32).tobytes() for t in b.text]})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, texts in by_chars(batches):
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([word_hashes(normal(t)).astype(np.uint32).tobytes() for t in texts], pa.binary())], ["node", "words"])
+        give_back()
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     if ids.count() <= SENT_IDS:
-        return texts.join(F.broadcast(ids), "node", "left_semi").mapInPandas(each, "node long, words binary")
-    return texts.mapInPandas(each, "node long, words binary").join(ids, "node", "left_semi")
+        return texts.join(F.broadcast(ids), "node", "left_semi").mapInArrow(each, "node long, words binary")
+    return texts.mapInArrow(each, "node long, words binary").join(ids, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, similarity: float, aligned: float) -> DataFrame:
@@ -210,6 +213,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame, similarity: float, aligned: f
         for b in batches:
             good = [linked(*(np.frombuffer(x, np.uint32).astype(np.uint64) for x in xs), similarity, aligned) for xs in zip(b.x, b.y)]
             yield b.loc[good, ["a", "b"]]
+        give_back()
 
     with_a = pairs.join(arrays.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
     return with_a.join(arrays.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(each, "a long, b long")
