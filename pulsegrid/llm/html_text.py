@@ -1,19 +1,25 @@
-"""Main text of web pages: flat text blocks judged by a small decision tree.
+"""Main text of web pages: flat text blocks judged by a decision tree.
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of its two
-neighbours, the kind of its tag, and what its enclosing containers say of themselves (tag names; words in class, id
-and role). A decision tree over these, trained on the labelled blocks of the pages below, keeps or drops a block.
+neighbours, whether it is a heading or a list item, and, as further features, what the containers around it say: how
+far they name it the article (``main``: 2 by their tag, 1 by a name) and how far something else (``doubt``: 2 for menus,
+footers, comments and the like, 1 where only part of a name says so, or in forms). A tree over these, grown from the
+labelled blocks of the pages below, keeps or drops a block.
 
-Scripts, styles, comments of the markup, head and form fields hold no text at all. Character references are decoded,
+Scripts, styles, comments of the markup, titles and form fields hold no text at all. Character references are decoded,
 white space in a block becomes one space, kept blocks are joined by one space in page order. Unclosed and crossed tags
-are closed with their container; of silent elements only raw text (scripts and the like) reaches to the page's end. Null html counts as empty and gives an empty text; pages of any length are read
-whole. Repeated rows are judged one by one; columns other than page_id, url and html aren't looked at.
+are closed with their container. Of elements without text, raw ones (scripts and the like) that nothing closes reach to
+the page's end, others to the next block. A comment or a quoted value that nothing closes is read as browsers and plain
+tags have it. Null html counts as empty and gives an empty text. Pages of any length are read whole, in time linear in
+their length, however broken. Repeated rows are judged one by one; columns other than page_id, url and html aren't
+looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as markup
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,107 +28,187 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tags by what they do. Fixed values.
-SILENT = frozenset("script style noscript template head title select option textarea button svg math iframe object canvas datalist".split())
-#: Of these, those whose content is no markup: without a closing tag they reach to the end; and those that don't nest.
-RAW, SINGLE = frozenset("script style title textarea iframe".split()), frozenset("button option select".split())
-HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+from pulsegrid.llm.common import give_back
+
+#: Tags by what they do. Fixed values. Raw ones hold no markup; silent ones hold none of the page's text.
+RAW = frozenset("script style title textarea iframe".split())
+SILENT = frozenset("noscript template select option button svg math object canvas datalist".split())
+#: Silent ones that can't lie in each other: a second one ends the first.
+SINGLE = frozenset("button option select".split())
 CONTAINERS = frozenset("html body main article section div nav header footer aside form fieldset ul ol dl table tbody thead tr figure details dialog menu blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr address figcaption caption legend summary center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-GOOD_TAGS, BAD_TAGS = frozenset("article main".split()), frozenset("nav header footer aside form menu dialog".split())
-#: Words in class, id and role that name what isn't the article, and what is. Fixed values.
-BAD_WORDS = frozenset(
-    "ad ads advert advertisement banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar side widget related recommended share social comment comments reply replies disqus cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login form search pagination pager tags copyright legal skip toolbar contentinfo complementary".split()
+GOOD_TAGS, BAD_TAGS = frozenset("article main".split()), frozenset("nav header footer aside fieldset menu dialog".split())
+#: Words in class, id and role. Strong ones name what isn't the article wherever they stand, weak ones only among
+#: words that say nothing of their own; a state is no name. Fixed values.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement adsense adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar widget related recommended recommendations share sharing comment comments commentlist replies respond disqus cookie cookies consent popup modal overlay newsletter subscribe subscription signup pagination pager toolbar contentinfo complementary".split()
+)
+WEAK = frozenset("header side social alert notice login form search tags copyright legal skip reply promoted notification disclaimer gdpr".split())
+EMPTY = frozenset(
+    "list lists link links box container wrap wrapper inner outer left right top bottom main site page global primary secondary button buttons btn bar block area section content contents item items post posts story stories article articles news more latest popular most read mobile desktop sticky fixed small large big new text title head heading body row col column columns group panel unit slot space view center thread media icon icons icon field fields input results result go to back message messages holder module footer header user author meta info".split()
 )
+STATE = frozenset("has is no not with without show hide js open opened closed enabled disabled visible hidden layout theme template type format status".split())
 GOOD_WORDS = frozenset("article articlebody content main post entry story body text prose".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPLIT = re.compile(r"[^a-z]+")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "good", "bad", "inner")
+ON_ARTICLE = frozenset("ad ads advert advertisement comment comments reply sponsored".split())
+
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+CAMEL, SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[^a-z]+")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
+SILENT_TAGS = re.compile(rf"<(/?)({'|'.join(sorted(SILENT))})(?=[\s/>])[^>]*+>", re.I)
+LONG_NUMBER = re.compile(r"&#(?:0*+([0-9]*+)|[xX]0*+([0-9a-fA-F]*+));?")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "main", "doubt")
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers of any length."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = LONG_NUMBER.sub(lambda m: m[0] if len(m[0]) < 12 else (f"&#{m[1]};" if m[1] is not None else f"&#x{m[2]};") if len(m[1] or m[2] or "") < 8 else "\ufffd", text)
+    return markup.unescape(text)
+
+
+@lru_cache(1 << 14)
+def named(token: str) -> tuple[bool, int]:
+    """Whether one name says that a container holds the article, and how far that it doesn't (0, 1 or 2)."""
+    words = [w for w in SPLIT.split(CAMEL.sub("-", token).lower()) if w]
+    if not words or words[0] in STATE or words[-1] in STATE:
+        return False, 0
+    strong, weak, good = not STRONG.isdisjoint(words), not WEAK.isdisjoint(words), not GOOD_WORDS.isdisjoint(words)
+    if good and weak and not strong and "header" in words and "page" not in words and "main" not in words:
+        return True, 0  # the article's own head
+    if not (strong or weak):
+        return good, 0
+    own = STRONG.union(WEAK, EMPTY).issuperset(words)
+    return False, 2 if own else 1 if strong else 0
+
+
+def hints(tag: str, attributes: str, main: int) -> tuple[int, int]:
+    """How far a container says that it holds the article, and that it doesn't; ``main`` is what those around it say."""
+    good = 2 if tag in GOOD_TAGS else 0
+    doubt = 2 if tag in BAD_TAGS and not (tag == "header" and main) else 1 if tag == "form" else 0
+    if attributes and tag not in ("html", "body"):
+        for m in NAMES.finditer(attributes):
+            for token in (m[1] or m[2] or m[3] or "").split():
+                if good == 2:
+                    words = [w for w in SPLIT.split(token.lower()) if w]
+                    doubt = 2 if words and not ON_ARTICLE.isdisjoint(words) and ON_ARTICLE.union(EMPTY).issuperset(words) else doubt
+                else:
+                    g, d = named(token)
+                    good, doubt = max(good, int(g)), max(doubt, d)
+    return good, doubt
 
 
-def hints(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a container says that it holds the article, or that it doesn't."""
-    good, bad = tag in GOOD_TAGS, tag in BAD_TAGS
-    if attributes:
-        for m in NAMES.finditer(attributes):
-            words = SPLIT.split((m[1] or m[2] or m[3] or "").lower())
-            bad |= not BAD_WORDS.isdisjoint(words)
-            good |= not GOOD_WORDS.isdisjoint(words)
-    return good, bad
+def silent_ends(page: str) -> dict[int, int]:
+    """Where silent elements end, by where their content starts; those that nothing closes aren't in it."""
+    opened: dict[str, list[int]] = {t: [] for t in SILENT}
+    found: dict[int, int] = {}
+    for m in SILENT_TAGS.finditer(page):
+        at = opened[m[2].lower()]
+        if m[1]:
+            if at:
+                found[at.pop()] = m.end()
+        elif m[0][-2] != "/":
+            if m[2].lower() in SINGLE:
+                at.clear()
+            at.append(m.end())
+    return found
+
+
+def tags(page: str, at: int = 0) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Tags of a page from ``at`` on: start, end, lower-case name ("" for comments and the like), whether it closes, attributes.
+
+    The consumer may send a place from which to go on.
+    """
+    last, plain = page.rfind(">"), False  # plain: some quoted value has no end, so none is looked for any more
+    while (at := page.find("<", at)) >= 0:
+        sign = page[at + 1 : at + 2]
+        if sign == "!" and page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            end = end + 3 if end >= 0 else len(page)
+            name, closes, attributes = "", False, ""
+        elif at > last:
+            return
+        elif sign in ("!", "?") and sign:
+            cdata = page.find("]]>", at) if page.startswith("<![CDATA[", at) else -1
+            end = cdata + 3 if cdata >= 0 else page.find(">", at) + 1
+            name, closes, attributes = "", False, ""
+        else:
+            m = None if plain else TAG.match(page, at)
+            if m:
+                end, name, closes, attributes = m.end(), m[2].lower(), bool(m[1]), m[3]
+            elif n := NAME.match(page, at):
+                end = page.find(">", n.end()) + 1
+                plain = True
+                if not end:
+                    return
+                name, closes, attributes = n[1].lower(), sign == "/", page[n.end() : end - 1]
+            elif sign == "/":
+                end, name, closes, attributes = page.find(">", at) + 1, "", True, ""
+            else:
+                at += 1
+                continue
+        to = yield at, end, name, closes, attributes
+        at = max(end, to or 0)
 
 
 def extent(page: str, at: int, own: str) -> int:
-    """Where an element without a closing tag ends: at a block, at the next one of its kind or with what it lies in."""
-    opened: list[str] = []
-    for m in TOKEN.finditer(page, at):
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag in BLOCKS or tag == own or m[1] and tag not in opened:
-            return m.start()
-        if m[1]:
-            del opened[opened.index(tag) :]
-        elif tag not in VOID and not m[3].endswith("/"):
-            opened.append(tag)
+    """Where a silent element without a closing tag ends: at a block, at the next one of its kind or with what it lies in."""
+    opened: Counter = Counter()
+    for start, _, tag, closes, attributes in tags(page, at):
+        if tag and (tag in BLOCKS or tag == own or closes and not opened[tag]):
+            return start
+        if tag and tag not in VOID and not attributes.endswith("/"):
+            opened[tag] += -1 if closes else 1
     return len(page)
 
 
 def blocks(page: str) -> list[tuple[str, tuple]]:
-    """(text, own features) of each block: words, link density, heading, list item, good, bad, bad within good."""
+    """(text, own features) of each block: words, link density, heading, list item, main, doubt."""
     out: list[tuple[str, tuple]] = []
     parts: list[str] = []
-    linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, good, bad, and whether bad lies within good
-    good = bad = inner = False
-    in_link, tag_now, at, n = False, "", 0, len(page)
-    gone: set[str] = set()  # tags that no closing one follows
+    linked = 0  # words in links
+    stack: list[tuple[str, int, int]] = []  # open containers: tag, main, doubt
+    depth: Counter = Counter()
+    main = doubt = 0
+    in_link, tag_now, at = False, "", 0
+    silent = silent_ends(page)
+    gone: set[str] = set()  # raw tags that nothing closes
 
     def close() -> None:
-        if parts:
-            words = " ".join(parts).split() if len(parts) > 1 else parts[0].split()
-            if words:
-                n_linked = sum(len(x.split()) for x in linked)
-                out.append((" ".join("".join(parts).split()), (len(words), min(1.0, n_linked / len(words)), tag_now[:1] == "h" and tag_now[1:2].isdigit(), tag_now in ("li", "dt", "dd", "td", "th"), good, bad, inner)))
-            parts.clear()
-            linked.clear()
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
+        nonlocal linked
+        words = "".join(parts).split()
+        if words:
+            heading, item = tag_now[:1] == "h" and tag_now[1:2].isdigit(), tag_now in ("li", "dt", "dd", "td", "th")
+            out.append((" ".join(words), (len(words), min(1.0, linked / len(words)), heading, item, main, doubt)))
+        parts.clear()
+        linked = 0
+
+    found = tags(page)
+    step = next(found, None)
+    while True:
+        text = page[at : step[0] if step else len(page)]
         if text:
-            text = markup.unescape(text)
+            text = decoded(text)
             parts.append(text)
             if in_link:
-                linked.append(text)
-        if not m:
+                linked += len(text.split())
+        if not step:
             break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, ends = m[2].lower(), bool(m[1])
-        if tag in SILENT and not ends and not m[3].endswith("/"):
-            if tag in gone:
-                closing = None
-            elif tag == "head":
-                closing = HEAD_END.search(page, at)
+        _, at, tag, ends, attributes = step
+        if not ends and (tag in RAW or tag in SILENT) and not (attributes.endswith("/") and tag in SILENT):
+            if tag in SILENT:
+                at = silent[at] if at in silent else extent(page, at, tag)
             else:
-                closing = re.compile(rf"<{'/?' if tag in SINGLE else '/'}{tag}\b[^>]*>", re.I).search(page, at)
-            if closing is None:
-                gone.add(tag)
-            elif tag in SINGLE and closing[0][1] != "/":
-                closing = None  # another one begins before this one ends
-            if closing is not None:
-                at = closing.start() if closing[0].lower().startswith("<body") else closing.end()
-            elif tag in RAW:
-                at = n
-            elif tag != "head":
-                at = extent(page, at, tag)
+                m = None if tag in gone else RAW_END[tag].search(page, at)
+                if m is None:
+                    gone.add(tag)
+                at = m.end() if m else len(page)
             parts.append(" ")
-            continue
-        if tag == "a":
+        elif tag == "a":
             in_link = not ends
         elif tag == "br":
             parts.append(" ")
@@ -130,31 +216,36 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             close()
             in_link = False
             tag_now = "" if ends else tag
+            around = stack[-1] if stack else ("", 0, 0)
             if tag in CONTAINERS:
                 if ends:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
+                    while depth[tag] and stack:
+                        top = stack.pop()[0]
+                        depth[top] -= 1
+                        if top == tag:
                             break
                 else:
-                    g, b = hints(tag, m[3])
-                    above = stack[-1] if stack else ("", False, False, False)
-                    # what says that it's the article ends an outer doubt only by its tag; doubt inside the article stays
-                    stack.append((tag, above[1] or g, b or above[2] and tag not in GOOD_TAGS, b and above[1] or above[3]))
-                good, bad, inner = stack[-1][1:] if stack else (False, False, False)
-            elif not ends and m[3]:
-                b = hints(tag, m[3])[1]
-                _, good, bad, inner = stack[-1] if stack else ("", False, False, False)
-                bad, inner = bad or b, inner or b and good
+                    good, bad = hints(tag, attributes, around[1])
+                    # an article ends a slight doubt about what it lies in, the main part any
+                    before = 0 if tag == "main" or tag == "article" and around[2] == 1 else around[2]
+                    stack.append((tag, max(around[1], good), max(before, bad)))
+                    depth[tag] += 1
+                _, main, doubt = stack[-1] if stack else ("", 0, 0)
             else:
-                good, bad, inner = stack[-1][1:] if stack else (False, False, False)
+                _, main, doubt = around
+                if not ends and attributes:
+                    doubt = max(doubt, hints(tag, attributes, main)[1])
+        try:
+            step = found.send(at)
+        except StopIteration:
+            step = None
     close()
     return out
 
 
 def features(found: list[tuple[str, tuple]]) -> np.ndarray:
     """A row per block, with its neighbours' word counts and link densities."""
-    own = np.array([f for _, f in found], float).reshape(-1, 7)
+    own = np.array([f for _, f in found], float).reshape(-1, 6)
     none = np.zeros((1, 2))
     before, after = np.concatenate([none, own[:-1, :2]]), np.concatenate([own[1:, :2], none])
     return np.concatenate([own[:, :2], before, after, own[:, 2:]], axis=1)
@@ -174,6 +265,34 @@ PAGES = (
     '<body><div class="alert notice"><p>-This site will be down on Monday for work on the machines</p></div><main><article><p>+One</p><p>+Two words</p><p>+Three words here</p><pre>+code stays</pre></article><section id="comments"><p>-First</p><p>-I do not agree with what is said here about the river at all</p></section></main><footer><p>-About</p></footer></body>',
     '<body><nav>-Menu without links</nav><div class="ad">-Short</div><article><p>+A</p></article><footer>-x</footer></body>',
     '<body><ul><li><a href="1">-World</a></li><li><a href="2">-Sports</a></li><li><a href="3">-Weather today</a></li></ul><h1>+How ice forms</h1><p>+Ice forms from the top down, since cold water below four degrees rises.</p><p>+That is why fish live.</p><p><a href="4">-More</a></p></body>',
+    # short and linked parts of an article beside links that aren't its own
+    '<body><nav><a href="1">-Home</a></nav><article><h1>+Glass</h1><p>+Sand.</p><p>+<a href="2">Read how it is made</a></p><p>+Heat.</p></article><footer><a href="3">-Imprint</a></footer></body>',
+    '<body><article><p>+Cold.</p></article><nav><a href="1">-Older</a> <a href="2">-Newer</a></nav><div class="ad">-Coats</div></body>',
+    '<body><div class="ad">-Lifts of all kinds</div><main><p>+Up.</p><p><a href="1">+All about lifts</a></p><p>+Down.</p></main></body>',
+    '<body><ul><li><a href="1">-Map</a></li></ul><article><p>+Left, then right.</p><ul><li><a href="2">+Left</a></li><li><a href="3">+Right</a></li></ul></article><p><a href="4">-All maps</a></p></body>',
+    '<body><main><p>+<a href="1">All about the lifts of this town and the next one</a></p><p>+They go up and come down again.</p></main></body>',
+    '<body><article><p>+Lifts go up.</p><p>+<a href="1">All about the lifts of this town</a></p><p>+And they come down again, as a rule.</p></article></body>',
+    '<body><main><h2>+Tin</h2></main><footer><a href="1">-Metals</a></footer></body>',
+    # pages without any names: word counts, links and neighbours must do
+    '<body><div><a href="1">-Home</a> <a href="2">-About us</a> <a href="3">-Contact</a></div><h2>+How the mill was built</h2><p>+The mill was built in the year of the great flood by two brothers who had come over the hills with their tools.</p><p>+Short line.</p><p>+It ran for a hundred years, and when the river was turned it stood still and was used as a barn.</p><div>-Share this page</div><div><a href="4">-More mills of the valley</a></div><div><a href="5">-Old bridges</a></div><h3>-Most read</h3><ul><li><a href="6">-Ten ways to mend a wheel</a></li><li><a href="7">-A barn in winter</a></li></ul><div>-Powered by a small engine</div></body>',
+    '<body><div><a href="1">-Start</a></div><div>-Today</div><div><a href="2">-World</a> <a href="3">-Money</a></div><div>-Weather</div><div><a href="4">-Sports and games</a></div><div><h1>+The last ferry</h1><p>+The last ferry left at nine, as it had done each evening since the war, with four cars and a dog on it.</p><p>+Nobody waved.</p><p>+In the morning the bridge was opened, and the old captain was the first one to walk over it.</p><p>+He said nothing.</p></div></body>',
+    '<body><p>+First there was only the sea, and the sea had no name, for nobody was there to give it one.</p><p>+Then.</p><p>+Then came those who could not swim, and they called it the end of the world and turned round.</p><div>-Tags</div><div><a href="1">-sea</a> <a href="2">-names</a></div><div>-Next</div><div><a href="3">-What the hills remember</a></div><div>-All rights reserved</div></body>',
+    '<body><table><tr><td><a href="1">-Shop</a></td><td><a href="2">-Cart</a></td><td>-Total</td><td><a href="3">-Pay now</a></td></tr></table><h1>+Oil lamps</h1><p>+An oil lamp needs three things, which are a wick of cotton, clean oil and somebody who trims it every day.</p><h2>+The wick</h2><p>+A wick that is cut straight burns with an even flame and does not smoke, so cut it with sharp scissors.</p><table><tr><td>+Oil</td><td>+Hours</td></tr><tr><td>+Olive</td><td>+Ten</td></tr></table><p>+Store lamps dry.</p><h3>-See also</h3><ul><li><a href="4">-Candles</a></li><li><a href="5">-Gas light in towns</a></li></ul></body>',
+    '<body><div><a href="1">-Blog</a></div><h1>+A note</h1><p>+We moved to the new house in May, and the boxes are still in the hall, which <a href="2">as you know</a> is narrow.</p><p>+More soon.</p><p>-Posted by a friend <a href="3">-Permalink to it</a></p><div><a href="4">-Older</a></div><div>-Archive</div><div><a href="5">-May</a> <a href="6">-June</a></div></body>',
+    "+Just one line of text and nothing else.",
+    "<body><h1>+Rain</h1><p>+It rained.</p></body>",
+    "<body><h1>+Fog</h1><p>+Fog lay on the fields.</p></body>",
+    "<p>+He came.</p><p>+She had left that morning.</p>",
+    "+Nothing else was said.",
+    "<body><p>+Rain fell on the town all day.</p><p>+Then it snowed until the roads were closed and the shops shut early.</p></body>",
+    # names that say part of it, forms around a page, headings of what isn't the article
+    '<body class="has-sidebar search-open"><form id="aspnetForm"><div><h1>+Salt roads</h1><p>+Salt was carried over the pass on the backs of mules, twelve days there and ten days back again.</p><p>+The toll was paid in salt as well, which is why the toll house has such thick and dry walls.</p></div><div>-Your name</div><div>-Send</div></form><aside><h3>-Most read stories this week</h3><p>-One</p></aside></body>',
+    '<body><article class="article search-results"><h1>+What the survey found</h1><p>+Half of all wells held clean water.</p><p>+One.</p><footer><h4>-Contact us by mail today</h4><p>-Sent from our office on the second floor of the old town hall, mornings only</p></footer></article><section class="comments"><h3>-Three readers said this about it</h3><p>-I do not think that half of all wells is anything to be proud of</p></section></body>',
+    '<body><div id="legal-history"><h1>+Law in the marshes</h1><p>+No judge would go into the marshes, so the people there held court themselves, on a raft.</p><p>+It sank.</p></div><div class="comments-by-readers-of-old"><p>-Fun read</p><p>-Thanks</p><p>-More please</p></div><div class="menu-of-the-day-story"><p>+The cook, who had been at sea for thirty years, still served fish on every day but one, and would not say why.</p><p>+Soup, bread and fish were all that he knew, and all that anybody had ever asked him for in that town.</p></div></body>',
+    '<body><header><h1>-The Evening Paper of the whole valley</h1></header><div class="post"><div class="entry-header"><h1>+Night trains</h1></div><p>+They run again.</p><p><a href="1">+A map of all lines that run at night</a></p><ul><li>+North</li><li>+South by the coast</li></ul></div><div class="related-posts"><h2>-You may like these as well</h2><ul><li><a href="2">-Slow boats</a></li></ul></div></body>',
+    '<body><div id="content"><div><a href="1">-Up</a></div><div><a href="2">-News</a> <a href="3">-Local</a></div><h1>+The bell</h1><p>+The bell was cast twice, since the first one cracked when it was rung for the bishop in hard frost.</p><p>+It still rings.</p><div><a href="4">-Print</a></div><div><a href="5">-Send to a friend</a></div></div><div id="footer">-Made with care</div></body>',
+    '<body><form action="/search">-Find <input></form><form><fieldset><legend>-Write to us</legend><p>-Your mail address will not be shown to anybody, and fields with a star must be filled in</p></fieldset></form><main><p>+Go.</p><p>+The race was over before those at the back had heard the shot that began it.</p><form>-Vote for the best runner <input></form></main><dialog><p>-This site keeps small files on your machine to remember what you like</p></dialog></body>',
+    '<body><article><p>+Yes.</p><nav><a href="1">-On this page</a></nav><p>+<a href="2">Read the first part</a></p><div class="ad-slot">-Fresh coffee to your door</div><p>+That was all he said before he left, and nobody who was in the room has ever told why.</p><aside>-He was born in the north and lived by the sea for most of his long life</aside></article><ol class="commentlist"><li>-I was in that room</li><li>-So was I, and he said rather more than that, as I remember it to this day</li></ol></body>',
 )
 
 
@@ -211,7 +330,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 1):
 
 
 @lru_cache(1)
-def tree(depth: int = 6):
+def tree(depth: int = 9):
     return grow(*labelled(), depth)
 
 
@@ -237,5 +356,6 @@ def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", u
         for b in batches:
             text = [main_text(h, model) for h in b.html]
             yield pd.DataFrame({"page_id": b.page_id, "url": b.url, "text": text, "n_chars": [len(t) for t in text]})
+        give_back()
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(each, "page_id long, url string, text string, n_chars long")

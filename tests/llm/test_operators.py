@@ -393,6 +393,11 @@ def test_main_text(spark):
     assert html_text.main_text(page) == "Head & tail One two three. x < y"
     x, y = html_text.labelled()
     assert np.mean([(html_text.share(html_text.tree(), r) >= 0.5) == bool(v) for r, v in zip(x, y)]) > 0.95
+
+    def used(node):
+        return {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert {"words", "links", "doubt"} <= used(html_text.tree()) and any(f.endswith(("_before", "_after")) for f in used(html_text.tree()))
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "<article><p>open"), (6, "u", "text " * 20_000), (None, "u", page), (7, "u", "<script>never closed")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")})
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
@@ -408,6 +413,42 @@ def test_main_text_behind_unclosed_silent_tags():
     assert html_text.main_text(f"<body>{article}<script>x {article}") == want
 
 
+MAIN = "<article><p>Main text goes here.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (MAIN + "<aside><h3>Most read stories this week</h3></aside>", "Main text goes here."),
+        (MAIN + '<section class="comments"><h3>Three readers said this about it</h3></section>', "Main text goes here."),
+        (MAIN + "<footer><h4>Contact us by mail today</h4></footer>", "Main text goes here."),
+        ("<head><title>x</title><p>Lost article text here.</p>", "Lost article text here."),
+        ('<body class="has-sidebar search-open"><div><p>Text of the page.</p><p>One.</p></div>', "Text of the page. One."),
+        ('<article class="article search-results"><p>Text of it</p></article>', "Text of it"),
+        ('<div id="legal-history"><p>Text of the laws.</p></div>', "Text of the laws."),
+        ("<nav><a href=1>x</a></nav><article><p>Sthe.</p><p><a href=2>y</a></p><p>One.</p></article><footer><a href=3>z</a></footer>", "Sthe. y One."),
+        ("<p title=don't>It's text</p><p>It's more</p>", "It's text It's more"),
+        ("<article>&#99999999999999999999999999; &#0000000000000000065; &#x41;&amp;</article>", "\ufffd A A&"),
+        ('<div class="related-posts"><article><p>Another story that was told last week</p></article></div>' + MAIN, "Main text goes here."),
+        ("<article><svg><svg></svg><text>no</text></svg><p>Yes</p></article>", "Yes"),
+        ("<article>a < b <p>c</article>", "a < b c"),
+    ],
+)
+def test_main_text_of_hard_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_main_text_takes_linear_time():
+    import time
+
+    shapes = ["<a ", '<div x="', '<a x=">"', "<!--", "<svg>", "<button>x", "<", "</", "&#", "<script>", "<svg><canvas><object><math>", "<select><option>a", "<svg><i>", "<![CDATA["]
+    pages = [(s * (1_000_000 // len(s))) for s in shapes] + ["<section>" * 60_000 + "</div>" * 60_000, "<p " + "id   " * 200_000 + ">", "<svg>" + "<i>" * 100_000 + "<svg>" + "</i>" * 100_000]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 10, page[:20]
+
+
 def test_main_text_of_pages(spark, sf_dir):
     for r in html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", re.search(r"<article>(.*)</article>", r.html, re.S)[1]))
