@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalar import canonical_json, json_text
+from pulsegrid.shared import opened
 
 
 def structural_audit(files: DataFrame, channels: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -84,10 +89,23 @@ def append_source(stored: DataFrame, current: DataFrame) -> DataFrame:
     return stored.join(now, "path", "left").select("path", status.alias("status"))
 
 
-def prefix_digest(rows: DataFrame, order: str, columns: list[str], first: int) -> DataFrame:
-    """SHA-256 over the first ``first`` rows of a stored table by ``order``: a stated, fixed number."""
-    head = rows.where(F.col(order) < first)
-    return group_digest(head.withColumn("_all", F.lit(1)), ["_all"], [order, *columns], "prefix_sha256").drop("_all")
+def file_prefixes(files: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """path, size_bytes and prefix_sha256, over the first ``most`` bytes or the file's own ``prefix_bytes`` if there is such a column.
+
+    ``files`` has path and length, as the binaryFile source lists them; only the prefix of a file is read, inside a task.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for path, n in zip(b.path, b.n):
+                system, inner = opened(path)
+                with system.open_input_stream(inner) as f:
+                    found.append(hashlib.sha256(f.read(int(n))).hexdigest())
+            yield pd.DataFrame({"path": b.path, "size_bytes": b.size_bytes, "prefix_sha256": found})
+
+    n = F.least(F.col("length"), F.coalesce("prefix_bytes", F.lit(most)) if "prefix_bytes" in files.columns else F.lit(most))
+    return files.select("path", F.col("length").alias("size_bytes"), n.cast("bigint").alias("n")).mapInPandas(each, "path string, size_bytes bigint, prefix_sha256 string")
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,3 +54,11 @@ def compatibility(checked: DataFrame) -> DataFrame:
     bad = F.col("state") != "match"
     out = checked.groupBy("reference_id", "target_id").agg(F.count_if(bad & (F.col("level") == "blocking")).alias("blocking"), F.count_if(bad & (F.col("level") == "warning")).alias("warnings"))
     return out.withColumn("compatible", F.col("blocking") == 0)
+
+
+def provenance(runs: DataFrame, profile: DataFrame) -> DataFrame:
+    """What each run says of where it comes from, missing parts null, with its number of topics."""
+    topics = profile.groupBy("run_id").agg(F.count_distinct("topic").alias("topic_count"))
+    pick = lambda part, *names: F.struct(*[F.col(f"{part}.{n}").alias(n) for n in names]).alias(part)
+    out = runs.select("run_id", "report_bundle_id", "generated_at", pick("bundle_schema", "name", "version"), pick("engine", "name", "version"), pick("source", "format", "file_name", "file_size_bytes"), "extraction", F.col("extraction.total_messages_observed").alias("total_messages_observed"))
+    return out.join(topics, "run_id", "left").na.fill(0, ["topic_count"])

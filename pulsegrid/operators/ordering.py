@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.keys import join
+
 BLOCK = 65_536
 
 
 def with_max_before(rows: DataFrame, keys: list[str], value: str, order: str, name: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` with the largest ``value`` of all earlier rows of the keys, by ``order`` (an integer column)."""
+    """``rows`` with the largest ``value`` of all earlier rows of the keys, by ``order`` (an integer column, nulls first)."""
     rows = rows.withColumn("_block", F.floor(F.col(order) / F.lit(block).cast("decimal(20,0)")).cast("bigint"))
     blocks = rows.groupBy(*keys, "_block").agg(F.max(value).alias("_m"))
     earlier = blocks.withColumn("_before", F.max("_m").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
     inside = F.max(value).over(Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_in", inside).join(earlier, [*keys, "_block"]).withColumn(name, F.greatest("_in", "_before")).drop("_block", "_in", "_before")
+    return join(rows.withColumn("_in", inside), earlier, [*keys, "_block"]).withColumn(name, F.greatest("_in", "_before")).drop("_block", "_in", "_before")
 
 
 def with_previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """``rows`` with ``previous``: a struct of ``columns`` of the row before, by ``order``; null at the first."""
+    """``rows`` with ``previous``: a struct of ``columns`` of the row before, by ``order`` (nulls first); null at the first."""
     rows = rows.withColumn("_block", F.floor(F.col(order) / F.lit(block).cast("decimal(20,0)")).cast("bigint"))
     packed = F.struct(F.col(order).alias("_at"), *columns)
-    last = rows.groupBy(*keys, "_block").agg(F.max_by(packed, order).alias("_last"))
+    last = rows.groupBy(*keys, "_block").agg(F.max(packed).alias("_last"))
     over = Window.partitionBy(*keys).orderBy("_block") if keys else Window.orderBy("_block")  # one row per block
     earlier = last.withColumn("_earlier", F.lag("_last").over(over)).drop("_last")
-    inside = F.lag(packed).over(Window.partitionBy(*keys, "_block").orderBy(order))
-    return rows.withColumn("_in", inside).join(earlier, [*keys, "_block"]).withColumn("previous", F.coalesce("_in", "_earlier")).drop("_block", "_in", "_earlier")
+    inside = F.lag(packed).over(Window.partitionBy(*keys, "_block").orderBy(order, *columns))
+    return join(rows.withColumn("_in", inside), earlier, [*keys, "_block"]).withColumn("previous", F.coalesce("_in", "_earlier")).drop("_block", "_in", "_earlier")
 
 
 def disorder(messages: DataFrame, lateness_ns: int) -> DataFrame:
-    """Messages with ``late`` (before the run's largest time so far less the lateness) and ``out_of_order`` (before the topic's largest accepted time)."""
+    """Messages with ``late`` (before the run's largest time so far less the lateness) and ``out_of_order`` (before the topic's largest accepted time).
+
+    Messages without an arrival number count as the first ones; null runs and topics are runs and topics of their own.
+    """
     rows = with_max_before(messages, ["run_id"], "log_time_ns", "arrival_seq", "run_max_ns")
     rows = rows.withColumn("late", F.coalesce(F.col("log_time_ns") < F.col("run_max_ns") - lateness_ns, F.lit(False)))
     rows = rows.withColumn("_accepted", F.when(~F.col("late"), F.col("log_time_ns")))
@@ -56,18 +61,26 @@ def sequence_gaps(events: DataFrame, order: str, sequence: str = "sequence_index
     return rows.where(size > 0).select(*(keys or []), F.col(f"previous.{sequence}").alias("prev_sequence"), F.col(sequence).alias("next_sequence"), size.alias("gap_size"))
 
 
-def append_violations(batch: DataFrame, tail: DataFrame) -> DataFrame:
-    """Rows of a batch that don't follow the row before, the first one the stored ``tail`` (one row: last_indexed_seq, last_event_hash)."""
-    rows = with_previous(batch, [], "sequence_index", ["event_hash"]).join(F.broadcast(tail.select("last_indexed_seq", "last_event_hash").limit(1)), how="left")
-    seq = F.coalesce("previous._at", "last_indexed_seq")
-    expected = F.coalesce("previous.event_hash", "last_event_hash")
-    code = F.when(F.col("sequence_index").isNull(), "sequence_missing").when(F.col("sequence_index") != seq + 1, "sequence_break").when(~F.col("prev_event_hash").eqNullSafe(expected), "hash_break")
+def append_violations(batch: DataFrame, tail: DataFrame, order: str) -> DataFrame:
+    """Rows of a batch that don't follow the row before in the file, the first one the stored ``tail``.
+
+    ``order`` is an integer column that tells where a row stands in the file (an offset, say); ``tail`` has one row
+    (last_indexed_seq, last_event_hash), or none if nothing is stored yet, and then the first row follows anything. A
+    row without a sequence number is a violation, and the row after it can't show that it follows.
+    """
+    stored = tail.select("last_indexed_seq", "last_event_hash", F.lit(True).alias("_stored")).limit(1)
+    rows = with_previous(batch, [], order, ["sequence_index", "event_hash"]).join(F.broadcast(stored), how="left")  # one row is sent
+    first = F.col("previous").isNull()
+    seq = F.when(first, F.col("last_indexed_seq")).otherwise(F.col("previous.sequence_index"))
+    expected = F.when(first, F.col("last_event_hash")).otherwise(F.col("previous.event_hash"))
+    free = first & F.col("_stored").isNull()
+    code = F.when(F.col("sequence_index").isNull(), "sequence_missing").when(~free & ~F.col("sequence_index").eqNullSafe(seq + 1), "sequence_break").when(~free & ~F.col("prev_event_hash").eqNullSafe(expected), "hash_break")
     return rows.select("event_id", "sequence_index", seq.alias("expected_after"), code.alias("code")).where("code is not null")
 
 
-def append_batch(batch: DataFrame, tail: DataFrame) -> DataFrame:
+def append_batch(batch: DataFrame, tail: DataFrame, order: str) -> DataFrame:
     """The whole batch, or none of it if any row breaks the chain."""
-    broken = append_violations(batch, tail).limit(1).select(F.lit(1).alias("broken"))
+    broken = append_violations(batch, tail, order).limit(1).select(F.lit(1).alias("broken"))
     return batch.join(F.broadcast(broken), how="left_anti")  # one row at most
 
 

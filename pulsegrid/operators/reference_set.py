@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import gate
+from pulsegrid.operators.keys import join
+from pulsegrid.shared import stored
 
 MOST_MEMBERS = 32
 
@@ -91,20 +93,30 @@ def policy_violations(subjects: DataFrame) -> DataFrame:
     return subjects.select("subject_id", F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()])).alias("violations"))
 
 
-def lineage(revisions: DataFrame) -> DataFrame:
-    """Codes per baseline of its revision tree: roots, unknown parents, revisions that no root leads to (a cycle).
+def unrooted(rows: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
+    """The rows (keys, node) from which no path of parents ends, within their keys: those on a cycle and those above one.
 
-    Reachability doubles the length of known paths each round; a chain of n revisions takes log2(n) of them.
+    Each round doubles the length of known paths and is written to the shared folder, so the plan stays flat; a chain
+    of n rows takes log2(n) rounds. It ends when no row's path ends that hadn't before.
     """
+    up = rows.select(*keys, F.col(node).alias("node"), F.col(parent).alias("at"))
+    last = None
+    while True:
+        up = stored(up.where("at is not null"), "paths")
+        left = up.count()
+        if left == last or left == 0:
+            return up.select(*keys, F.col("node").alias(node)).distinct()
+        last = left
+        step = up.select(*keys, F.col("node").alias("at"), F.col("at").alias("next"))
+        up = join(up, step, [*keys, "at"], "left").select(*keys, "node", F.col("next").alias("at"))
+
+
+def lineage(revisions: DataFrame) -> DataFrame:
+    """Codes per baseline of its revision tree: roots, unknown parents, revisions that no root leads to (a cycle)."""
     r = revisions.select("baseline_id", "revision_id", "parent_revision_id")
     known = r.select("baseline_id", F.col("revision_id").alias("parent_revision_id"))
     unknown = r.where("parent_revision_id is not null").join(known, ["baseline_id", "parent_revision_id"], "left_anti")
-    up = r.select("baseline_id", "revision_id", F.col("parent_revision_id").alias("at"))
-    longest = r.groupBy("baseline_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(max(1, int(longest).bit_length())):
-        step = up.select("baseline_id", F.col("revision_id").alias("at"), F.col("at").alias("next"))
-        up = up.join(step, ["baseline_id", "at"], "left").select("baseline_id", "revision_id", F.col("next").alias("at"))
-    cyclic = up.where("at is not null").groupBy("baseline_id").agg(F.count(F.lit(1)).alias("unreachable"))
+    cyclic = unrooted(r, ["baseline_id"], "revision_id", "parent_revision_id").groupBy("baseline_id").agg(F.count(F.lit(1)).alias("unreachable"))
     roots = r.groupBy("baseline_id").agg(F.count_if(F.col("parent_revision_id").isNull()).alias("roots"), F.count(F.lit(1)).alias("revisions"))
     out = roots.join(unknown.groupBy("baseline_id").agg(F.count(F.lit(1)).alias("unknown_parents")), "baseline_id", "left").join(cyclic, "baseline_id", "left").na.fill(0)
     return out.withColumn("valid", (F.col("roots") == 1) & (F.col("unknown_parents") == 0) & (F.col("unreachable") == 0))
@@ -127,15 +139,29 @@ def reference_violations(reviews: DataFrame, evaluations: DataFrame, revisions:
 def review_chains(reviews: DataFrame) -> DataFrame:
     """Per subject: the effective review, the one that none supersedes, and codes of broken chains.
 
-    ``reviews``: review_id, subject, supersedes_review_id.
+    ``reviews``: review_id, subject, supersedes_review_id. A chain has one root, one terminal, no fork, no cycle and no
+    link to itself, to an unknown review or to another subject's. Without any code the terminal is the effective one.
     """
     r = reviews.select("review_id", "subject", "supersedes_review_id")
-    superseded = r.where("supersedes_review_id is not null").select(F.col("supersedes_review_id").alias("review_id")).distinct()
+    linked = r.where("supersedes_review_id is not null")
+    superseded = linked.select(F.col("supersedes_review_id").alias("review_id")).distinct()
     terminal = r.join(superseded, "review_id", "left_anti").groupBy("subject").agg(F.count(F.lit(1)).alias("terminals"), F.max("review_id").alias("terminal"))
-    forks = r.where("supersedes_review_id is not null").groupBy("subject", "supersedes_review_id").count().where("count > 1").groupBy("subject").agg(F.count(F.lit(1)).alias("forks"))
-    moved = r.join(r.select(F.col("review_id").alias("supersedes_review_id"), F.col("subject").alias("_before")), "supersedes_review_id").where("subject <> _before").groupBy("subject").agg(F.count(F.lit(1)).alias("moved"))
-    roots = r.groupBy("subject").agg(F.count_if(F.col("supersedes_review_id").isNull()).alias("roots"), F.count_if(F.col("supersedes_review_id") == F.col("review_id")).alias("self_links"))
-    out = roots.join(terminal, "subject", "left").join(forks, "subject", "left").join(moved, "subject", "left").na.fill(0)
-    rules = {"roots": F.col("roots") != 1, "fork": F.col("forks") > 0, "self_link": F.col("self_links") > 0, "cycle": F.col("terminals") == 0, "subject_changed": F.col("moved") > 0}
+    forks = linked.groupBy("subject", "supersedes_review_id").count().where("count > 1").groupBy("subject").agg(F.count(F.lit(1)).alias("forks"))
+    before = r.select(F.col("review_id").alias("supersedes_review_id"), F.col("subject").alias("_before")).distinct()
+    found = linked.join(before, "supersedes_review_id", "left").groupBy("subject").agg(F.count_if(F.col("_before").isNull()).alias("unknown"), F.count_if(F.col("subject") != F.col("_before")).alias("moved"))
+    cyclic = unrooted(r, [], "review_id", "supersedes_review_id").join(r.select("review_id", "subject").distinct(), "review_id").groupBy("subject").agg(F.count(F.lit(1)).alias("cyclic"))
+    out = r.groupBy("subject").agg(F.count_if(F.col("supersedes_review_id").isNull()).alias("roots"), F.count_if(F.col("supersedes_review_id") == F.col("review_id")).alias("self_links"))
+    for part in (terminal, forks, found, cyclic):
+        out = join(out, part, ["subject"], "left")
+    out = out.na.fill(0, ["terminals", "forks", "unknown", "moved", "cyclic"])
+    rules = {
+        "roots": F.col("roots") != 1,
+        "terminals": F.col("terminals") != 1,
+        "fork": F.col("forks") > 0,
+        "self_link": F.col("self_links") > 0,
+        "cycle": F.col("cyclic") > 0,
+        "supersedes_unknown": F.col("unknown") > 0,
+        "subject_changed": F.col("moved") > 0,
+    }
     out = out.withColumn("violations", F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()])))
     return out.select("subject", F.when(F.size("violations") == 0, F.col("terminal")).alias("effective_review_id"), "violations")

@@ -24,17 +24,28 @@ def chunk_slice(messages: DataFrame, chunks: DataFrame, chunk_id) -> DataFrame:
     return messages.join(F.broadcast(one), (F.col("log_time_ns") >= F.col("_from")) & (F.col("log_time_ns") <= F.col("_to"))).drop("_from", "_to")  # one row is sent
 
 
-def overlapping_chunks(queries: DataFrame, chunks: DataFrame, bucket_ns: int) -> DataFrame:
+def overlapping_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each query (query_id, start_ns, end_ns) with the chunks whose closed range meets its own.
 
-    Both sides are dealt to the time buckets that they touch; a pair counts in the bucket where the later one starts.
+    A range of up to 2**k ns lies in two buckets of that size at most: k is its level. Two ranges meet in a bucket of
+    the higher of their levels, so each side is dealt to the buckets of its own level, and to those above it for the
+    other side's own ones. That is a hundred rows a range at most, however long it is; a pair counts in the bucket
+    where the later range starts.
     """
-    deal = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_ns), F.floor(F.col(b) / bucket_ns))).alias("bucket")
-    q = queries.select("query_id", "start_ns", "end_ns", deal("start_ns", "end_ns"))
-    c = chunks.select("chunk_id", "message_start_ns", "message_end_ns", deal("message_start_ns", "message_end_ns"))
+
+    def dealt(rows: DataFrame, a: str, b: str, own: bool) -> DataFrame:
+        level = F.length(F.bin(F.col(b) - F.col(a)))
+        rows = rows.where(F.col(a) <= F.col(b)).withColumn("level", level if own else F.explode(F.sequence(level + int(a == "start_ns"), F.lit(62))))
+        at = lambda c: F.expr(f"shiftright({c}, level)")
+        return rows.withColumn("bucket", F.explode(F.array_distinct(F.array(at(a), at(b)))))
+
+    q = queries.select("query_id", "start_ns", "end_ns")
+    c = chunks.select("chunk_id", "message_start_ns", "message_end_ns")
     meet = (F.col("message_start_ns") <= F.col("end_ns")) & (F.col("message_end_ns") >= F.col("start_ns"))
-    first = F.floor(F.greatest("message_start_ns", "start_ns") / bucket_ns) == F.col("bucket")
-    return q.join(c, "bucket").where(meet & first).drop("bucket")
+    first = F.expr("shiftright(greatest(message_start_ns, start_ns), level)") == F.col("bucket")
+    # of equal levels the first join has the pair, so above it the query goes to strictly higher ones
+    parts = [dealt(q, "start_ns", "end_ns", own).join(dealt(c, "message_start_ns", "message_end_ns", not own), ["level", "bucket"]) for own in (True, False)]
+    return parts[0].union(parts[1]).where(meet & first).drop("level", "bucket")
 
 
 def search(events: DataFrame, event_type: str | None = None, topic: str | None = None, contains: str | None = None, raw: str = "raw") -> DataFrame:
@@ -67,9 +78,9 @@ def slice_summary(messages: DataFrame, keys: list[str]) -> DataFrame:
     return messages.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min(at).alias("a"), F.max(at).alias("z")).select(*keys, "count", F.col("a.log_time_ns").alias("first_ns"), F.col("a.arrival_seq").alias("first_seq"), F.col("z.log_time_ns").alias("last_ns"), F.col("z.arrival_seq").alias("last_seq"))
 
 
-def no_result_reason(queries: DataFrame, bounds: DataFrame, chunks: DataFrame, hits: DataFrame, bucket_ns: int) -> DataFrame:
+def no_result_reason(queries: DataFrame, bounds: DataFrame, chunks: DataFrame, hits: DataFrame) -> DataFrame:
     """Why a query (query_id, topic?, start_ns, end_ns) has no hit: outside_range, no_chunk, topic_silent, sparse; else has_result."""
-    overlaps = overlapping_chunks(queries, chunks, bucket_ns).groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"))
+    overlaps = overlapping_chunks(queries, chunks).groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"))
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     out = queries.join(F.broadcast(bounds), how="cross").join(overlaps, "query_id", "left").join(found, "query_id", "left")  # bounds is one row
     return out.select(

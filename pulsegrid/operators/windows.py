@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalar import baseline_score, count_ratio, irregularity
 from pulsegrid.operators.gaps import bucket_rows, gap_stats, integer_jitter, integer_mean, stitched
+from pulsegrid.operators.keys import join
+from pulsegrid.operators.ordering import with_max_before
 
 RUN, TOPIC = ["run_id"], ["run_id", "topic"]
 
@@ -15,7 +17,7 @@ def aligned(messages: DataFrame, window_ns: int) -> DataFrame:
     """Messages with their ``window``: counted from the first message of the run, over all topics."""
     start = messages.groupBy(*RUN).agg(F.min("log_time_ns").alias("run_start_ns"))
     at = (F.col("log_time_ns") - F.col("run_start_ns")).cast("decimal(20,0)")
-    return messages.join(start, RUN).withColumn("window", F.floor(at / F.lit(window_ns).cast("decimal(20,0)")).cast("bigint"))
+    return join(messages, start, RUN).withColumn("window", F.floor(at / F.lit(window_ns).cast("decimal(20,0)")).cast("bigint"))
 
 
 def observed_windows(messages: DataFrame, window_ns: int) -> DataFrame:
@@ -46,7 +48,7 @@ def run_profile(windows: DataFrame) -> DataFrame:
     rows = windows.withColumnRenamed("window", "bucket")
     total = stitched(rows, TOPIC)
     n = rows.groupBy(*TOPIC).agg(F.count(F.lit(1)).alias("finalized_window_count"))
-    return total.join(n, TOPIC).select(
+    return join(total, n, TOPIC).select(
         *TOPIC, "count", "first_ns", "last_ns", (F.col("last_ns") - F.col("first_ns")).alias("duration_ns"),
         integer_mean(F.col("gap_n"), F.col("gap_sum")).alias("avg_gap_ns"), F.col("gap_max").alias("max_gap_ns"), integer_jitter(F.col("gap_n"), F.col("gap_sum"), F.col("gap_sq")).alias("jitter_ns"), "finalized_window_count",
     )
@@ -73,7 +75,7 @@ def evidence(windows: DataFrame, intervals: DataFrame) -> DataFrame:
         F.lit("observed_window").alias("evidence_kind"), F.lit(0).cast("bigint").alias("missing_window_count"), F.lit(None).cast("bigint").alias("previous_observed_ns"), F.lit(None).cast("bigint").alias("next_observed_ns"),
     )
     expected = windows.groupBy(*TOPIC).agg(F.max("expected_count").alias("expected_count"))
-    gone = intervals.join(expected, TOPIC).select(
+    gone = join(intervals, expected, TOPIC).select(
         *TOPIC, F.col("first_missing").alias("window"), F.lit(0).cast("bigint").alias("count"), "expected_count", count_ratio(F.lit(0), "expected_count").alias("count_ratio"), F.col("gap_ns").alias("max_gap_ns"), F.lit(0).cast("bigint").alias("jitter_ns"), irregularity(F.lit(0), "expected_count", "gap_ns", F.lit(0)).alias("score"),
         F.lit("sparse_missing_interval").alias("evidence_kind"), "missing_window_count", "previous_observed_ns", "next_observed_ns",
     )
@@ -95,28 +97,56 @@ def timing_report(messages: DataFrame, window_ns: int, k: int, metadata: DataFra
 def run_summary(profile: DataFrame, disorder: DataFrame | None = None) -> DataFrame:
     """Messages and topics per run, with late and out-of-order totals if given."""
     out = profile.groupBy(*RUN).agg(F.sum("count").alias("total_messages"), F.count(F.lit(1)).alias("topics"))
-    return out if disorder is None else out.join(disorder.groupBy(*RUN).agg(F.sum("late_count").alias("late"), F.sum("out_of_order_count").alias("out_of_order")), RUN, "left")
+    return out if disorder is None else join(out, disorder.groupBy(*RUN).agg(F.sum("late_count").alias("late"), F.sum("out_of_order_count").alias("out_of_order")), RUN, "left")
+
+
+#: Windows that one row of a dense grid is dealt to before they are made one by one.
+GRID = 4096
+
+
+def grid(bounds: DataFrame, window_ns: int, keys: list[str]) -> DataFrame:
+    """keys, window, start_ns and stop_ns of all windows from start_ns to end_ns of ``bounds``, the last one cut short.
+
+    They are made in two steps, so that no row holds more than ``GRID`` of them.
+    """
+    n = ((F.col("end_ns") - F.col("start_ns")).cast("decimal(20,0)") + window_ns - 1) / F.lit(window_ns).cast("decimal(20,0)")
+    whole = bounds.where("end_ns > start_ns").select(*keys, F.col("start_ns").alias("from_ns"), "end_ns", F.floor(n).cast("bigint").alias("n"))
+    dealt = whole.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(GRID).cast("bigint")))).repartition("first", *keys)
+    each = dealt.withColumn("window", F.explode(F.sequence("first", F.least(F.col("first") + GRID, "n") - 1)))
+    return each.select(*keys, "window", (F.col("from_ns") + F.col("window") * window_ns).alias("start_ns"), F.least(F.col("from_ns") + (F.col("window") + 1) * window_ns, "end_ns").alias("stop_ns"))
 
 
 def dense_windows(messages: DataFrame, bounds: DataFrame, window_ns: int, keys: list[str]) -> DataFrame:
     """All windows of each group from start_ns to end_ns of ``bounds``, the last one cut short, with gap statistics; empty ones hold zeros."""
-    starts = bounds.select(*keys, F.col("start_ns").alias("from_ns"), "end_ns", F.explode(F.sequence("start_ns", F.col("end_ns") - 1, F.lit(window_ns).cast("bigint"))).alias("start_ns"))
-    grid = starts.select(*keys, ((F.col("start_ns") - F.col("from_ns")) / F.lit(window_ns).cast("decimal(20,0)")).cast("bigint").alias("window"), "start_ns", F.least(F.col("start_ns") + window_ns, "end_ns").alias("stop_ns"))
-    inside = messages.join(bounds.select(*keys, F.col("start_ns").alias("from_ns"), "end_ns"), keys).where("log_time_ns >= from_ns and log_time_ns < end_ns")
+    inside = join(messages, bounds.select(*keys, F.col("start_ns").alias("from_ns"), "end_ns"), keys).where("log_time_ns >= from_ns and log_time_ns < end_ns")
     placed = inside.withColumn("window", F.floor((F.col("log_time_ns") - F.col("from_ns")) / F.lit(window_ns).cast("decimal(20,0)")).cast("bigint"))
     stats = gap_stats(placed, [*keys, "window"]).drop("first_ns", "last_ns")
-    out = grid.join(stats, [*keys, "window"], "left").na.fill(0, ["count", "span_sec", "observed_hz", "avg_gap_sec", "max_gap_sec", "jitter_sec"])
+    out = join(grid(bounds, window_ns, keys), stats, [*keys, "window"], "left").na.fill(0, ["count", "span_sec", "observed_hz", "avg_gap_sec", "max_gap_sec", "jitter_sec"])
     return out.withColumn("duration_sec", (F.col("stop_ns") - F.col("start_ns")) / 1e9).withColumn("window_hz", F.col("count") / F.col("duration_sec"))
 
 
-def upper_median(value: str, keys: list[str]) -> Column:
-    """``sorted[n // 2]`` of a group, as a window expression over its sorted values."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
+def upper_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``sorted[n // 2]`` of each of ``values`` (not negative) per keys, nulls left out.
+
+    Equal values are counted first. Cells that keep the order, some thousands per group at most, then tell which of
+    them holds the median, and only that cell's values are put in order, so that no task holds a whole group.
+    """
+    each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select(*keys, "x.name", "x.v").where("v is not null")
+    of = [*keys, "name"]
+    counted = each.groupBy(*of, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor(F.log1p("v") * 64))
+    cells = counted.groupBy(*of, "cell").agg(F.sum("n").alias("cell_n"))
+    over = Window.partitionBy(*of).orderBy("cell")
+    cells = cells.withColumn("upto", F.sum("cell_n").over(over)).withColumn("rank", F.floor(F.sum("cell_n").over(Window.partitionBy(*of)) / 2))
+    hit = cells.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("cell_n") <= F.col("rank"))).select(*of, "cell", (F.col("rank") - F.col("upto") + F.col("cell_n")).alias("left"))
+    inside = join(counted, hit, [*of, "cell"]).withColumn("upto", F.sum("n").over(Window.partitionBy(*of).orderBy("v")))
+    found = inside.where(F.col("upto") > F.col("left")).groupBy(*of).agg(F.min("v").alias("v"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == v, F.col("v"))).alias(v) for v in values])
 
 
 def baseline_medians(dense: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper medians of count, largest gap and jitter over windows with two messages or more; a group has a row per window only."""
-    return dense.where("count >= 2").groupBy(*keys).agg(upper_median("count", keys).alias("base_count"), upper_median("max_gap_sec", keys).alias("base_max_gap_sec"), upper_median("jitter_sec", keys).alias("base_jitter_sec"))
+    """Upper medians of count, largest gap and jitter over windows with two messages or more."""
+    found = upper_medians(dense.where("count >= 2"), keys, ["count", "max_gap_sec", "jitter_sec"])
+    return found.select(*keys, F.col("count").cast("bigint").alias("base_count"), F.col("max_gap_sec").alias("base_max_gap_sec"), F.col("jitter_sec").alias("base_jitter_sec"))
 
 
 def full_windows(dense: DataFrame, window_sec: float) -> DataFrame:
@@ -130,6 +160,29 @@ def baseline_ranking(dense: DataFrame, window_sec: float, k: int, keys: list[str
 
 
 def silent_together(ranked: DataFrame, windows: DataFrame) -> DataFrame:
-    """Other topics' observed counts in the same run and window as each ranked one."""
-    other = windows.select("run_id", "window", F.col("topic").alias("other_topic"), F.col("count").alias("other_count"))
-    return ranked.select("run_id", "topic", "window", "rank").join(other, ["run_id", "window"]).where("topic <> other_topic")
+    """What each other topic of the run did in the same window as each ranked one: its count, 0 where it was silent, and its expected count.
+
+    ``windows`` needs expected_count (``expected_counts``); a silent topic's is the largest of its windows.
+    """
+    topics = windows.groupBy(*TOPIC).agg(F.max("expected_count").alias("usual")).withColumnRenamed("topic", "other_topic")
+    pairs = join(ranked.select("run_id", "topic", "window", "rank"), topics, RUN).where(~F.col("topic").eqNullSafe(F.col("other_topic")))
+    seen = windows.select("run_id", "window", F.col("topic").alias("other_topic"), F.col("count").alias("other_count"), "expected_count")
+    out = join(pairs, seen, ["run_id", "window", "other_topic"], "left")
+    return out.select("run_id", "topic", "window", "rank", "other_topic", F.coalesce("other_count", F.lit(0).cast("bigint")).alias("other_count"), F.coalesce("expected_count", "usual").alias("other_expected_count"))
+
+
+def peak_open(messages: DataFrame, window_ns: int, lateness_ns: int) -> DataFrame:
+    """Per run, the most windows that are open at once when messages are taken in arrival order.
+
+    A window opens with its topic's first accepted message in it, and is finished by the first message of the run whose
+    time is its end plus the lateness or more. ``messages`` are accepted ones (``ordering.accepted``).
+    """
+    placed = aligned(messages, window_ns)
+    opens = placed.groupBy(*TOPIC, "window").agg(F.min("arrival_seq").alias("open_seq"), F.min(F.col("run_start_ns") + (F.col("window") + 1) * window_ns + lateness_ns).alias("until"))
+    # the first arrival at or after a time: the least number among rows that come earlier in descending time
+    rows = placed.select("run_id", (-2 * F.col("log_time_ns")).alias("_order"), (-F.col("arrival_seq")).alias("_seq"), F.lit(None).cast("bigint").alias("open_seq"))
+    ends = opens.select("run_id", (-2 * F.col("until") + 1).alias("_order"), F.lit(None).cast("bigint").alias("_seq"), "open_seq")
+    closed = with_max_before(rows.union(ends), RUN, "_seq", "_order", "_first", 2 * window_ns).where("open_seq is not null")
+    steps = opens.select("run_id", F.col("open_seq").alias("at"), F.lit(1).alias("step")).union(closed.where("_first is not null").select("run_id", (-F.col("_first")).alias("at"), F.lit(-1).alias("step")))
+    each = steps.groupBy("run_id", "at").agg(F.sum("step").alias("step"))  # two rows a window at most
+    return each.withColumn("open", F.sum("step").over(Window.partitionBy(*RUN).orderBy("at"))).groupBy(*RUN).agg(F.max("open").alias("peak_open"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pulsegrid import schema
 from pulsegrid.functions import scalar as X
 from pulsegrid.operators import audit, compare, datasets, gaps, gate, ordering, reference_set, slices, trace, windows
 from pulsegrid.schema import NS
+from pulsegrid.shared import scratch
 from pulsegrid.streaming import jobs
 
 HOUR = 3600 * NS
@@ -136,15 +135,27 @@ sc AS (SELECT *, 10 * (CASE WHEN expected > 0 THEN greatest(0.0, (expected - cou
 SELECT run_id, topic, "window", count, expected AS expected_count, round(count / expected::DOUBLE, 6) AS count_ratio, gm AS max_gap_ns, jit AS jitter_ns, round(score, 6) AS score, evidence_kind, missing_window_count::BIGINT AS missing_window_count, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, topic ORDER BY score DESC, "window" ASC) AS rank FROM sc) WHERE rank <= 5"""
 )
 def top_evidence(spark, d):
-    """The flagship report's ranked windows, observed and missing ones pooled."""
+    """The flagship report's ranked windows, observed and missing ones pooled."""
     ranked = windows.timing_report(messages(spark, d), HOUR, 5)[1]
     return rounded(ranked, "count_ratio", "score").select("run_id", "topic", "window", "count", "expected_count", "count_ratio", "max_gap_ns", "jitter_ns", "score", "evidence_kind", "missing_window_count", "rank")
 
 
-@query(f"WITH {M}, {window_sql(W)}, {PROFILE} SELECT run_id, sum(n)::BIGINT AS total_messages, count(*) AS topics FROM prof GROUP BY run_id")
+@query(f"WITH {M}, {window_sql(W)}, {PROFILE}, dm AS (SELECT run_id, topic, a, t - CASE WHEN a % 7 = 0 THEN {3 * HOUR} ELSE 0 END AS t FROM m), r1 AS (SELECT *, coalesce(t < max(t) OVER (PARTITION BY run_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {2 * HOUR}, false) AS late FROM dm), r2 AS (SELECT *, coalesce(t < max(CASE WHEN NOT late THEN t END) OVER (PARTITION BY run_id, topic ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ooo FROM r1), dc AS (SELECT run_id, count(*) FILTER (late) AS late, count(*) FILTER (ooo) AS out_of_order FROM r2 GROUP BY 1) SELECT run_id, sum(n)::BIGINT AS total_messages, count(*) AS topics, any_value(late) AS late, any_value(out_of_order) AS out_of_order FROM prof JOIN dc USING (run_id) GROUP BY run_id")
 def run_summary(spark, d):
-    """Messages and topics per run."""
-    return windows.run_summary(windows.run_profile(windows.observed_windows(messages(spark, d), W)))
+    """Messages and topics per run, with what arrived late and out of order."""
+    m = messages(spark, d)
+    found = ordering.disorder_counts(ordering.disorder(schema.disordered(m), 2 * HOUR))
+    return windows.run_summary(windows.run_profile(windows.observed_windows(m, W)), found)
+
+
+@query(
+    f"""WITH {M}, b AS (SELECT run_id, min(t) AS s FROM m GROUP BY 1), o AS (SELECT run_id, topic, (t - s) // {W} AS k, min(a) AS opened, min(s + ((t - s) // {W} + 1) * {W} + {2 * HOUR}) AS till FROM m JOIN b USING (run_id) GROUP BY 1, 2, 3),
+c AS (SELECT o.run_id, opened, min(m.a) AS closed FROM o LEFT JOIN m ON m.run_id = o.run_id AND m.t >= till GROUP BY o.run_id, o.topic, o.k, opened), st AS (SELECT run_id, opened AS pos, 1 AS step FROM c UNION ALL SELECT run_id, closed, -1 FROM c WHERE closed IS NOT NULL), e AS (SELECT run_id, pos, sum(step) AS step FROM st GROUP BY 1, 2)
+SELECT run_id, max(n)::BIGINT AS peak_open FROM (SELECT run_id, sum(step) OVER (PARTITION BY run_id ORDER BY pos) AS n FROM e) GROUP BY 1"""
+)
+def peak_open_windows(spark, d):
+    """ST5: the most windows open at once, from the batch rows."""
+    return windows.peak_open(messages(spark, d), W, 2 * HOUR)
 
 
 BOUNDS = "b AS (SELECT min(t) AS s, max(t) AS x FROM m)"
@@ -197,21 +208,21 @@ def evidence_windows(spark, d):
     return rounded(slices.evidence_window(m, q, HOUR), "active_span_sec", "silent_span_sec").drop("first_ns", "last_ns")
 
 
-CH = f"ch AS (SELECT run_id || '-' || (t // {24 * HOUR}) AS chunk_id, min(t) AS ms, max(t) AS me FROM m WHERE a % 3 = 0 GROUP BY 1), q AS (SELECT a AS query_id, topic, t AS s, t + {12 * HOUR} AS e FROM m WHERE a % 40 = 0)"
+CH = f"ch AS (SELECT run_id || '-' || (t // {24 * HOUR}) AS chunk_id, min(t) AS ms, max(t) AS me FROM m GROUP BY 1), q AS (SELECT a AS query_id, topic, t AS s, t + {12 * HOUR} AS e FROM m WHERE a % 40 = 0)"
 
 
 def chunks_and_queries(m: DataFrame):
     day = F.floor(F.col("log_time_ns") / F.lit(24 * HOUR).cast("decimal(20,0)")).cast("bigint")
-    chunks = m.where("arrival_seq % 3 = 0").groupBy(F.concat("run_id", F.lit("-"), day.cast("string")).alias("chunk_id")).agg(F.min("log_time_ns").alias("message_start_ns"), F.max("log_time_ns").alias("message_end_ns"))
+    chunks = m.groupBy(F.concat("run_id", F.lit("-"), day.cast("string")).alias("chunk_id")).agg(F.min("log_time_ns").alias("message_start_ns"), F.max("log_time_ns").alias("message_end_ns"))
     queries = m.where("arrival_seq % 40 = 0").select(F.col("arrival_seq").alias("query_id"), "topic", F.col("log_time_ns").alias("start_ns"), (F.col("log_time_ns") + 12 * HOUR).alias("end_ns"))
     return chunks, queries
 
 
 @query(f"WITH {M}, {CH} SELECT query_id, chunk_id, s AS start_ns, e AS end_ns, ms AS message_start_ns, me AS message_end_ns FROM q JOIN ch ON ms <= e AND me >= s")
 def overlapping_chunks(spark, d):
-    """Chunks whose closed range meets a query's, by buckets."""
+    """Chunks whose closed range meets a query's, by buckets of their own size."""
     chunks, q = chunks_and_queries(messages(spark, d))
-    return slices.overlapping_chunks(q, chunks, 24 * HOUR).select("query_id", "chunk_id", "start_ns", "end_ns", "message_start_ns", "message_end_ns")
+    return slices.overlapping_chunks(q, chunks).select("query_id", "chunk_id", "start_ns", "end_ns", "message_start_ns", "message_end_ns")
 
 
 @query(f"WITH {M}, {CH}, h AS (SELECT a AS query_id, count(*) AS n FROM m WHERE a % 80 = 0 GROUP BY 1), o AS (SELECT query_id, count(*) AS k FROM q JOIN ch ON ms <= e AND me >= s GROUP BY 1), b AS (SELECT min(t) AS lo, max(t) - {48 * HOUR} AS hi FROM m) SELECT query_id, CASE WHEN n > 0 THEN 'has_result' WHEN e < lo OR s > hi THEN 'outside_range' WHEN k IS NULL THEN 'no_chunk' WHEN topic IS NOT NULL THEN 'topic_silent' ELSE 'sparse' END AS reason FROM q CROSS JOIN b LEFT JOIN o USING (query_id) LEFT JOIN h USING (query_id)")
@@ -220,7 +231,7 @@ def no_result_reason(spark, d):
     m = messages(spark, d)
     chunks, q = chunks_and_queries(m)
     bounds = m.agg(F.min("log_time_ns").alias("file_start_ns"), (F.max("log_time_ns") - 48 * HOUR).alias("file_end_ns"))
-    return slices.no_result_reason(q, bounds, chunks, m.where("arrival_seq % 80 = 0").select(F.col("arrival_seq").alias("query_id")), 24 * HOUR)
+    return slices.no_result_reason(q, bounds, chunks, m.where("arrival_seq % 80 = 0").select(F.col("arrival_seq").alias("query_id")))
 
 
 @query(f"WITH {M}, {CH}, c AS (SELECT * FROM ch WHERE chunk_id = 'r1-' || {DAY0 // (24 * HOUR) + 3}) SELECT m.run_id, m.topic, count(*) AS count FROM m, c WHERE t BETWEEN ms AND me GROUP BY 1, 2")
@@ -230,10 +241,10 @@ def chunk_slice(spark, d):
     return slices.chunk_slice(m, chunks_and_queries(m)[0], f"r1-{DAY0 // (24 * HOUR) + 3}").groupBy("run_id", "topic").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query(f"WITH {M}, {window_sql(W)}, ex AS (SELECT *, row_number() OVER (PARTITION BY run_id, topic ORDER BY gm DESC, w) AS rank FROM win) SELECT e.run_id, e.topic, e.w AS window, e.rank::INT AS rank, o.topic AS other_topic, o.n AS other_count FROM ex e JOIN win o ON e.run_id = o.run_id AND e.w = o.w AND e.topic <> o.topic WHERE e.rank <= 3")
+@query(f"WITH {M}, {window_sql(W)}, ex AS (SELECT *, row_number() OVER (PARTITION BY run_id, topic ORDER BY gm DESC, w) AS rank FROM win) , tp AS (SELECT run_id, topic, min_by(n, w) AS usual FROM win GROUP BY 1, 2) SELECT e.run_id, e.topic, e.w AS window, e.rank::INT AS rank, tp.topic AS other_topic, coalesce(o.n, 0) AS other_count, usual AS other_expected_count FROM ex e JOIN tp ON e.run_id = tp.run_id AND e.topic <> tp.topic LEFT JOIN win o ON o.run_id = e.run_id AND o.w = e.w AND o.topic = tp.topic WHERE e.rank <= 3")
 def silent_together(spark, d):
-    """What other topics did in the windows with the largest gaps."""
-    w = windows.observed_windows(messages(spark, d), W)
+    """What other topics did in the windows with the largest gaps, silence included."""
+    w = windows.expected_counts(windows.observed_windows(messages(spark, d), W), W / NS)
     return windows.silent_together(windows.top_windows(w, 3, score="gap_max"), w)
 
 
@@ -481,11 +492,17 @@ def reference_violations(spark, d):
     return reference_set.reference_violations(reviews, evaluations, revisions)
 
 
-@query("WITH r AS (SELECT event_id AS i, event_id % 100 AS s, CASE WHEN event_id = 105 THEN NULL WHEN event_id = 206 THEN 6 WHEN event_id >= 100 THEN event_id - 100 END AS p FROM events), t AS (SELECT s, count(*) AS n, max(i) AS m FROM r WHERE i NOT IN (SELECT p FROM r WHERE p IS NOT NULL) GROUP BY s) SELECT s AS subject, CASE WHEN s NOT IN (5, 6) THEN m END AS effective_review_id, CASE WHEN s = 5 THEN 'roots' WHEN s = 6 THEN 'fork' ELSE '' END AS violations FROM t")
+@query(
+    """WITH RECURSIVE r AS (SELECT event_id AS i, event_id % 100 AS s, CASE WHEN event_id = 105 THEN NULL WHEN event_id = 206 THEN 6 WHEN event_id = 107 THEN -1 WHEN event_id = 108 THEN 208 WHEN event_id = 109 THEN 10 WHEN event_id = 111 THEN 111 WHEN event_id >= 100 THEN event_id - 100 END AS p FROM events),
+reach AS (SELECT i FROM r WHERE p IS NULL OR p NOT IN (SELECT i FROM r) UNION ALL SELECT r.i FROM r JOIN reach ON r.p = reach.i), t AS (SELECT s, count(*) AS n, max(i) AS m FROM r WHERE i NOT IN (SELECT p FROM r WHERE p IS NOT NULL) GROUP BY s),
+f AS (SELECT DISTINCT s FROM (SELECT s, p FROM r WHERE p IS NOT NULL GROUP BY s, p HAVING count(*) > 1)), k AS (SELECT s, count(*) FILTER (p IS NULL) AS roots, count(*) FILTER (p = i) AS own, count(*) FILTER (p IS NOT NULL AND p NOT IN (SELECT i FROM r)) AS lost, count(*) FILTER (i NOT IN (SELECT i FROM reach)) AS ring, count(*) FILTER (p IN (SELECT i FROM r) AND p % 100 <> s) AS moved FROM r GROUP BY s),
+v AS (SELECT k.s, m, array_to_string(list_filter([CASE WHEN roots <> 1 THEN 'roots' END, CASE WHEN coalesce(n, 0) <> 1 THEN 'terminals' END, CASE WHEN f.s IS NOT NULL THEN 'fork' END, CASE WHEN own > 0 THEN 'self_link' END, CASE WHEN ring > 0 THEN 'cycle' END, CASE WHEN lost > 0 THEN 'supersedes_unknown' END, CASE WHEN moved > 0 THEN 'subject_changed' END], lambda x: x IS NOT NULL), ',') AS violations FROM k LEFT JOIN t ON k.s = t.s LEFT JOIN f ON k.s = f.s)
+SELECT s AS subject, CASE WHEN violations = '' THEN m END AS effective_review_id, violations FROM v"""
+)
 def review_chains(spark, d):
     """The effective review of each subject."""
     i = F.col("event_id")
-    prev = F.when(i == 105, None).when(i == 206, 6).when(i >= 100, i - 100)
+    prev = F.when(i == 105, None).when(i == 206, 6).when(i == 107, -1).when(i == 108, 208).when(i == 109, 10).when(i == 111, 111).when(i >= 100, i - 100)
     return reference_set.review_chains(events(spark, d).select(i.alias("review_id"), (i % 100).alias("subject"), prev.cast("bigint").alias("supersedes_review_id"))).withColumn("violations", F.array_join("violations", ","))
 
 
@@ -513,12 +530,24 @@ def sequence_gaps(spark, d):
     return ordering.sequence_gaps(trace_events(spark, d).where("sequence_index % 11 not in (3, 4)").withColumn("at", F.col("sequence_index")), "at")
 
 
-@query("SELECT 'e' || event_id AS event_id, event_id AS sequence_index, CASE WHEN event_id % 97 = 1 THEN event_id - 2 ELSE event_id - 1 END AS expected_after, CASE WHEN event_id % 97 = 1 THEN 'sequence_break' ELSE 'hash_break' END AS code FROM events WHERE event_id % 97 <> 0 AND event_id > 0 AND (event_id % 97 = 1 OR event_id % 89 = 5)")
+BATCH = """b AS (SELECT 'e' || event_id AS id, event_id * 200 AS pos, CASE WHEN event_id % 83 = 7 THEN NULL WHEN event_id % 101 = 3 THEN event_id + 1 WHEN event_id % 101 = 4 THEN event_id - 1 ELSE event_id END AS seq, sha256('e' || event_id) AS h, CASE WHEN event_id % 89 = 5 THEN 'x' ELSE sha256('e' || (event_id - 1)) END AS ph FROM events WHERE event_id > 0 AND event_id % 97 <> 0)"""
+
+
+def batch(spark, d):
+    """Trace events with gaps, swapped and missing sequence numbers, and wrong hashes, each with its place in the file."""
+    i = F.col("sequence_index")
+    e = trace_events(spark, d).withColumn("byte_offset", i * 200).where("sequence_index > 0 and sequence_index % 97 <> 0").withColumn("prev_event_hash", F.when(i % 89 == 5, "x").otherwise(F.col("prev_event_hash")))
+    return e.withColumn("sequence_index", F.when(i % 83 != 7, F.when(i % 101 == 3, i + 1).when(i % 101 == 4, i - 1).otherwise(i)))
+
+
+@query(
+    f"""WITH {BATCH}, x AS (SELECT *, CASE WHEN row_number() OVER o = 1 THEN 0 ELSE lag(seq) OVER o END AS ps, CASE WHEN row_number() OVER o = 1 THEN sha256('e0') ELSE lag(h) OVER o END AS eh FROM b WINDOW o AS (ORDER BY pos)),
+c AS (SELECT id AS event_id, seq AS sequence_index, ps AS expected_after, CASE WHEN seq IS NULL THEN 'sequence_missing' WHEN seq IS DISTINCT FROM ps + 1 THEN 'sequence_break' WHEN ph IS DISTINCT FROM eh THEN 'hash_break' END AS code FROM x) SELECT * FROM c WHERE code IS NOT NULL"""
+)
 def append_violations(spark, d):
-    """Breaks of the chain in a batch against the stored tail."""
-    e = trace_events(spark, d).where("sequence_index > 0 and sequence_index % 97 <> 0").withColumn("prev_event_hash", F.when(F.col("sequence_index") % 89 == 5, "x").otherwise(F.col("prev_event_hash")))
-    tail = trace_events(spark, d).where("sequence_index = 0").select((F.col("sequence_index") - 1).alias("last_indexed_seq"), F.col("event_hash").alias("last_event_hash"))
-    return ordering.append_violations(e, tail)
+    """Breaks of the chain in a batch, in file order, against the stored tail."""
+    tail = trace_events(spark, d).where("sequence_index = 0").select(F.col("sequence_index").alias("last_indexed_seq"), F.col("event_hash").alias("last_event_hash"))
+    return ordering.append_violations(batch(spark, d), tail, "byte_offset")
 
 
 @query("SELECT max(event_id) AS last_by_sequence, max(event_id) AS last_by_offset, true AS agrees FROM events")
@@ -634,11 +663,10 @@ def verification_tallies(spark, d):
     return datasets.tallies(datasets.verify(dataset_table(spark, d)))
 
 
-@query("SELECT 'f' || event_id AS path, CASE WHEN event_id % 13 = 0 THEN 'SUMMARY_PRESENCE_MISMATCH' WHEN event_id % 17 = 0 THEN 'TIME_RANGE_INCONSISTENT' WHEN event_id % 19 = 0 THEN 'CHUNK_COUNT_MISMATCH' ELSE '' END AS warnings, CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 19 = 0 THEN 'degraded' ELSE 'ok' END AS status FROM events WHERE event_id % 3 = 1 AND ((event_id % 13 = 0)::INT + (event_id % 17 = 0)::INT + (event_id % 19 = 0)::INT) <= 1")
+@query("WITH w AS (SELECT 'f' || event_id AS path, array_to_string(list_filter([CASE WHEN event_id % 13 = 0 THEN 'SUMMARY_PRESENCE_MISMATCH' END, CASE WHEN event_id % 17 = 0 THEN 'TIME_RANGE_INCONSISTENT' END, CASE WHEN event_id % 19 = 0 THEN 'CHUNK_COUNT_MISMATCH' END], lambda x: x IS NOT NULL), ',') AS warnings FROM events) SELECT path, warnings, CASE WHEN warnings = '' THEN 'ok' ELSE 'degraded' END AS status FROM w")
 def structural_audit(spark, d):
-    """Q1, M3 to M6: consistency of recordings."""
-    e, i = events(spark, d).where("event_id % 3 = 1"), F.col("event_id")
-    e = e.where((i % 13 == 0).cast("int") + (i % 17 == 0).cast("int") + (i % 19 == 0).cast("int") <= 1)
+    """Q1, M3 to M6: consistency of recordings, all warnings of each."""
+    e, i = events(spark, d), F.col("event_id")
     path = F.concat(F.lit("f"), i.cast("string")).alias("path")
     files = e.select(path, F.lit(1000).alias("size_bytes"), F.lit(500).alias("summary_start"), F.lit(700).alias("summary_offset_start"), (i % 13 != 0).alias("has_summary"), F.lit(5).alias("start_ns"), F.when(i % 17 == 0, 4).otherwise(6).alias("end_ns"), F.lit(1).alias("channel_count"), F.when(i % 19 == 0, 3).otherwise(1).alias("chunk_count"))
     return audit.structural_audit(files, e.select(path), e.select(path)).withColumn("warnings", F.array_join("warnings", ","))
@@ -791,8 +819,7 @@ def map_functions(spark, d):
 
 def streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """What a streaming job over the events table gives, written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    out = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = scratch(spark, name)
     raw = spark.readStream.schema(events(spark, d).schema).option("pathGlobFilter", "events*").parquet(d)
     stream = build(raw)
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -807,7 +834,7 @@ def timed(e: DataFrame) -> DataFrame:
 @query(f"WITH {M}, b AS (SELECT max(t) - {HOUR} AS mark FROM m), x AS (SELECT run_id, topic, t // {24 * HOUR} AS k, t, t - lag(t) OVER (PARTITION BY run_id, topic, t // {24 * HOUR} ORDER BY t) AS gap FROM m) SELECT run_id, topic, k AS day, count(*) AS count, min(t) AS first_ns, max(t) AS last_ns, coalesce(max(gap), 0) AS max_gap_ns FROM x, b GROUP BY run_id, topic, k, mark HAVING (k + 1) * {24 * HOUR} <= mark")
 def stream_windows(spark, d):
     """ST1, ST2, ST4: tumbling windows of a stream with a watermark; the last open ones stay in its state."""
-    out = streamed(spark, d, lambda e: jobs.stream_windows(timed(e), "1 day", "1 hour"), "windows")
+    out = streamed(spark, d, lambda e: jobs.stream_windows(timed(e), "1 day", "1 hour", "1 hour"), "windows")
     return out.select("run_id", "topic", (F.unix_micros("start") / 86_400_000_000).cast("bigint").alias("day"), "count", "first_ns", "last_ns", "max_gap_ns")
 
 

@@ -19,13 +19,23 @@ from pulsegrid.operators.ordering import append_violations
 from pulsegrid.operators.slices import search
 
 
-def stream_windows(messages: DataFrame, window: str, lateness: str, start: str = "0 seconds") -> DataFrame:
-    """Tumbling windows per run and topic: count, first, last, largest gap; state is bounded by the lateness."""
-    grouped = messages.withWatermark("ts", lateness).groupBy("run_id", "topic", F.window("ts", window, window, start))
-    times = F.array_sort(F.collect_list("log_time_ns"))
-    out = grouped.agg(F.count(F.lit(1)).alias("count"), times.alias("t"))
-    gaps = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: x - F.get("t", i))
-    return out.select("run_id", "topic", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "count", F.get("t", F.lit(0)).alias("first_ns"), F.element_at("t", -1).alias("last_ns"), F.coalesce(F.array_max(gaps), F.lit(0)).alias("max_gap_ns"))
+def _largest_gap(ordered: str, first: str = "", last: str = ""):
+    """The largest step between neighbours of an ordered array, from ``last`` of one to ``first`` of the next."""
+    x = F.col(ordered)
+    part = lambda e, name: e[name] if name else e
+    return F.coalesce(F.array_max(F.transform(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda e, i: part(e, first) - part(F.get(x, i), last))), F.lit(0))
+
+
+def stream_windows(messages: DataFrame, window: str, lateness: str, part: str, start: str = "0 seconds") -> DataFrame:
+    """Tumbling windows per run and topic: count, first, last, largest gap.
+
+    A window is first split into parts of ``part`` (which must divide it). Only times of parts that the watermark
+    hasn't passed are held in state, each part by a group of its own; of older ones a row each until their window ends.
+    """
+    small = messages.withWatermark("ts", lateness).groupBy("run_id", "topic", F.window("ts", part, part, start).alias("part")).agg(F.array_sort(F.collect_list("log_time_ns")).alias("t"))
+    rows = small.select("run_id", "topic", "part", F.struct(F.get("t", F.lit(0)).alias("first"), F.element_at("t", -1).alias("last"), F.size("t").cast("bigint").alias("n"), _largest_gap("t").alias("gap")).alias("x"))
+    out = rows.groupBy("run_id", "topic", F.window("part", window, window, start)).agg(F.sum("x.n").alias("count"), F.min("x.first").alias("first_ns"), F.max("x.last").alias("last_ns"), F.max("x.gap").alias("inside"), F.array_sort(F.collect_list("x")).alias("xs"))
+    return out.select("run_id", "topic", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "count", "first_ns", "last_ns", F.greatest("inside", _largest_gap("xs", "first", "last")).alias("max_gap_ns"))
 
 
 FOLD = "run_id string, topic string, window bigint, count bigint, max_gap_ns bigint, late_count bigint, out_of_order_count bigint, missing_before bigint"
@@ -90,19 +100,20 @@ def stream_metrics(query: StreamingQuery) -> list[dict]:
     return [{"batch": p.batchId, "dropped_late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators), "open": sum(s.numRowsTotal for s in p.stateOperators)} for p in query.recentProgress]
 
 
-def append_ingest(events: DataFrame, read_tail: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None], reject: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def append_ingest(events: DataFrame, read_tail: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None], reject: Callable[[DataFrame, int], None], checkpoint: str, order: str) -> StreamingQuery:
     """Append each micro-batch if its chain is unbroken from the stored tail on, else hand its violations to ``reject``.
 
+    ``order`` is the column that tells where a row stands in its file, as for ``ordering.append_violations``.
     ``write`` gets the batch, its new tail and the batch's number, by which it must be idempotent: a batch is repeated
     if the job is lost between its write and its commit.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        broken = append_violations(batch, read_tail())
+        broken = append_violations(batch, read_tail(), order)
         if broken.head(1):
             reject(broken, number)
         elif batch.head(1):
-            write(batch, batch.agg(F.max("sequence_index").alias("last_indexed_seq"), F.max_by("event_hash", "sequence_index").alias("last_event_hash")), number)
+            write(batch, batch.agg(F.max_by("sequence_index", order).alias("last_indexed_seq"), F.max_by("event_hash", order).alias("last_event_hash")), number)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from pulsegrid.plans import files  # noqa: F401
 from pulsegrid.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -77,18 +77,45 @@ def test_lineage(spark):
 def test_reviews(spark):
     rows = [("1", "s", None), ("2", "s", "1"), ("3", "s", "2"), ("4", "f", None), ("5", "f", "4"), ("6", "f", "4"), ("7", "l", "7"), ("8", "r", None), ("9", "r", None)]
     got = {r.subject: (r.effective_review_id, r.violations) for r in reference_set.review_chains(spark.createDataFrame(rows, "review_id string, subject string, supersedes_review_id string")).collect()}
-    assert got["s"] == ("3", []) and got["f"][1] == ["fork"] and "self_link" in got["l"][1] and got["r"][1] == ["roots"]
+    assert got["s"] == ("3", []) and got["f"] == (None, ["terminals", "fork"]) and "self_link" in got["l"][1] and got["r"][1] == ["roots", "terminals"]
+    rows = [("1", "u", None), ("2", "u", "x"), ("a", "c", None), ("b", "c", "d"), ("d", "c", "b"), ("e", "m", None), ("f", "n", "e"), ("g", None, None)]
+    got = {r.subject: (r.effective_review_id, r.violations) for r in reference_set.review_chains(spark.createDataFrame(rows, "review_id string, subject string, supersedes_review_id string")).collect()}
+    assert got["u"] == (None, ["terminals", "supersedes_unknown"]) and got["c"] == (None, ["cycle"]) and "subject_changed" in got["n"][1] and got[None] == ("g", [])
+
+
+def test_lineage_of_a_long_chain_keeps_its_plan_flat(spark):
+    chain = spark.range(5000).selectExpr("'b' baseline_id", "id revision_id", "if(id > 0, id - 1, null) parent_revision_id")
+    out = reference_set.lineage(chain)
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 20_000
+    r = out.first()
+    assert (r.roots, r.revisions, r.unreachable, r.valid) == (1, 5000, 0, True)
 
 
 def test_append_batches(spark):
-    schema = "event_id string, sequence_index bigint, event_hash string, prev_event_hash string"
+    schema = "event_id string, sequence_index bigint, event_hash string, prev_event_hash string, at bigint"
     tail = spark.createDataFrame([(2, "h2")], "last_indexed_seq bigint, last_event_hash string")
-    ok = spark.createDataFrame([("e3", 3, "h3", "h2"), ("e4", 4, "h4", "h3")], schema)
-    assert ordering.append_violations(ok, tail).count() == 0 and ordering.append_batch(ok, tail).count() == 2
-    for row, code in ((("e99", 99, "h", "h2"), "sequence_break"), (("e3", 3, "h3", "f" * 64), "hash_break")):
+    ok = spark.createDataFrame([("e3", 3, "h3", "h2", 0), ("e4", 4, "h4", "h3", 1)], schema)
+    assert ordering.append_violations(ok, tail, "at").count() == 0 and ordering.append_batch(ok, tail, "at").count() == 2
+    for row, code in ((("e99", 99, "h", "h2", 0), "sequence_break"), (("e3", 3, "h3", "f" * 64, 0), "hash_break"), (("e3", None, "h3", "h2", 0), "sequence_missing")):
         bad = spark.createDataFrame([row], schema)
-        assert [r.code for r in ordering.append_violations(bad, tail).collect()] == [code] and ordering.append_batch(bad, tail).count() == 0
-    assert ordering.append_batch(ok.limit(0), tail).count() == 0
+        assert [r.code for r in ordering.append_violations(bad, tail, "at").collect()] == [code] and ordering.append_batch(bad, tail, "at").count() == 0
+    assert ordering.append_batch(ok.limit(0), tail, "at").count() == 0
+    # file order counts, not the sequence's own; a missing number breaks the chain for the row behind it too
+    swapped = spark.createDataFrame([("e3", 3, "h3", "h2", 0), ("e5", 5, "h5", "h4", 1), ("e4", 4, "h4", "h3", 2)], schema)
+    assert [r.event_id for r in ordering.append_violations(swapped, tail, "at").orderBy("event_id").collect()] == ["e4", "e5"]
+    gone = spark.createDataFrame([("e3", 3, "h3", "h2", 0), ("e4", None, "h4", "bad", 1), ("e5", 5, "h5", "h4", 2)], schema)
+    assert [(r.event_id, r.code) for r in ordering.append_violations(gone, tail, "at").orderBy("event_id").collect()] == [("e4", "sequence_missing"), ("e5", "sequence_break")]
+    assert ordering.append_violations(ok, tail.limit(0), "at").count() == 0  # nothing stored yet
+
+
+def test_disorder_keeps_rows_with_nulls(spark):
+    from pulsegrid.operators import windows
+
+    rows = [("r", "a", 10, 0), ("r", "a", 30, None), ("r", "a", 5, 1), (None, "a", 7, 0), ("r", None, 8, 2)]
+    m = spark.createDataFrame(rows, "run_id string, topic string, log_time_ns bigint, arrival_seq bigint")
+    marked = ordering.disorder(m, 10)
+    assert marked.count() == 5 and sum(r.received for r in ordering.disorder_counts(marked).collect()) == 5
+    assert windows.aligned(m, 10).count() == 5 and windows.run_profile(windows.observed_windows(m, 10)).count() == 3
 
 
 def test_focused_chain(spark):

@@ -124,7 +124,7 @@ def source(spark, folder, rows):
 
 def test_stream_windows_close_behind_the_watermark(spark, tmp_path):
     m = source(spark, str(tmp_path / "in"), [[("a", 0.0), ("a", 0.5), ("a", 1.2)], [("a", 9.0)], [("a", 20.0)]])
-    got = {(r.topic, int(r.start.timestamp())): (r["count"], r.max_gap_ns) for r in run_stream(jobs.stream_windows(m, "1 second", "2 seconds"), str(tmp_path / "out")).collect()}
+    got = {(r.topic, int(r.start.timestamp())): (r["count"], r.max_gap_ns) for r in run_stream(jobs.stream_windows(m, "1 second", "2 seconds", "250 milliseconds"), str(tmp_path / "out")).collect()}
     assert got[("a", 0)] == (2, 500_000_000) and got[("a", 1)] == (1, 0) and ("a", 20) not in got
 
 
@@ -146,8 +146,8 @@ def test_fold_of_a_large_group_from_shuffled_files(spark, tmp_path):
 
 
 def test_append_ingest_takes_whole_batches(spark, tmp_path):
-    cols = "event_id string, sequence_index bigint, event_hash string, prev_event_hash string"
-    for i, rows in enumerate([[("e3", 3, "h3", "h2"), ("e4", 4, "h4", "h3")], [("e9", 9, "h9", "h4")], [("e5", 5, "h5", "h4")]]):
+    cols = "event_id string, sequence_index bigint, event_hash string, prev_event_hash string, byte_offset bigint"
+    for i, rows in enumerate([[("e3", 3, "h3", "h2", 0), ("e4", 4, "h4", "h3", 9)], [("e9", 9, "h9", "h4", 18)], [("e5", 5, "h5", "h4", 18)]]):
         spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
         q = None
         store = str(tmp_path / "store")
@@ -159,7 +159,7 @@ def test_append_ingest_takes_whole_batches(spark, tmp_path):
 
         rejected = []
         stream = spark.readStream.schema(cols).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        q = jobs.append_ingest(stream, tail, write, lambda bad, n: rejected.extend(bad.collect()), str(tmp_path / "cp"))
+        q = jobs.append_ingest(stream, tail, write, lambda bad, n: rejected.extend(bad.collect()), str(tmp_path / "cp"), "byte_offset")
         q.awaitTermination()
         assert len(rejected) == (1 if i == 1 else 0)
     assert sorted(r.event_id for r in spark.read.parquet(store).collect()) == ["e3", "e4", "e5"]

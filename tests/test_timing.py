@@ -132,3 +132,37 @@ def test_partition_count_does_not_matter(spark):
         assert sorted(map(tuple, windows.timing_report(m.orderBy(F.rand(3)), NS, 5)[1].collect()), key=repr) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_medians_equal_sorting(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(k, r.choice([0.0, 0.5, r.random(), r.random() * 1e6]), float(r.randint(0, 3))) for k in ("a", "b", None) for _ in range(r.randint(1, 300))]
+    got = {x.k: (x.u, x.v) for x in windows.upper_medians(spark.createDataFrame(rows, "k string, u double, v double"), ["k"], ["u", "v"]).collect()}
+    for k in ("a", "b", None):
+        mine = [x for x in rows if x[0] == k]
+        assert got[k] == tuple(sorted(x[i] for x in mine)[len(mine) // 2] for i in (1, 2))
+
+
+def test_grid_of_many_windows(spark):
+    bounds = spark.createDataFrame([("a", 5, 100_005), ("b", 0, 7), ("c", 3, 3)], "k string, start_ns bigint, end_ns bigint")
+    got = windows.grid(bounds, 3, ["k"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("start_ns").alias("a"), F.max("stop_ns").alias("z")).collect()
+    assert sorted((x.k, x.n, x.a, x.z) for x in got) == [("a", 33_334, 5, 100_005), ("b", 3, 0, 7)]
+
+
+def test_overlaps_equal_brute_force(spark):
+    import random
+
+    from pulsegrid.operators import slices
+
+    r = random.Random(3)
+    q = [(i, a := r.randint(0, 10**6), a + r.choice([0, 1, 50, 10**3, 10**6])) for i in range(150)]
+    c = [(i, a := r.randint(0, 10**6), a + r.choice([0, 3, 64, 10**4, 2 * 10**6])) for i in range(150)]
+    got = slices.overlapping_chunks(spark.createDataFrame(q, "query_id int, start_ns bigint, end_ns bigint"), spark.createDataFrame(c, "chunk_id int, message_start_ns bigint, message_end_ns bigint")).collect()
+    assert sorted((x.query_id, x.chunk_id) for x in got) == sorted((i, j) for i, a, b in q for j, x, y in c if x <= b and y >= a)
+
+
+def test_peak_open_windows(spark):
+    m = spark.createDataFrame([("r", t, s, i) for i, (t, s) in enumerate([("a", 0), ("b", 2), ("a", 11), ("b", 13), ("a", 16), ("a", 40)])], "run_id string, topic string, log_time_ns bigint, arrival_seq bigint")
+    assert windows.peak_open(m, 10, 5).first().peak_open == 4
