@@ -4,18 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyarrow import fs
-
-
-def opened(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder named by URI or by path."""
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
+from pulsegrid.shared import opened  # noqa: F401  (readers take it from here)
 
 
 def put(folder: str, name: str, data: bytes) -> None:
-    """Write a file under a name of its own, then move it into place: a task that runs twice leaves one whole file."""
+    """Write a file under a name of its own, then move it into place, so that a name never stands for half a file.
+
+    Names hold the attempt that wrote them: of a task that runs twice, each attempt has its own files.
+    """
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
     part = f"{path}/_{uuid.uuid4().hex}"

@@ -8,24 +8,27 @@ sums, on the words of a bounded sample of training rows: about ``SAMPLE_DOCS`` d
 doc_id, and of these the ``TRAIN_WORDS`` most frequent words.
 
 Only text and lang of rows whose crc32(doc_id) mod 5 isn't 0 are learnt from. A null text, or one without a letter, is
-``und`` with score 0; so is every text if there is nothing to learn from. Ties go to the first language by name. Long
-texts are read whole. Repeated rows are judged one by one; other columns aren't looked at.
+``und`` with score 0; so is every text if there is nothing to learn from. Numerals such as ½ or Ⅷ are no letters. Ties
+go to the first language by name. Long texts are read whole, words of any length fitted and scored. Repeated rows are
+judged one by one; other columns aren't looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import held_out, trimmed
+from pulsegrid.llm.common import by_chars, give_back, held_out, trimmed
 
 SAMPLE_DOCS = 1500
 TRAIN_WORDS = 12_000
@@ -35,8 +38,13 @@ SMOOTH, UNKNOWN = 0.02, 1e-7
 #: A worker forgets part of its scored words beyond this number.
 REMEMBERED = 300_000
 MARK = "▁"
-WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that count as parts of words elsewhere, by the rule: alphanumeric, but neither letter nor decimal digit.
+_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Runs of letters (general category L), of texts in lower case; fitting and scoring use this one rule.
+WORD = re.compile(f"[^\\W\\d_{_NUMERALS}]+")
 LONG = 40
+#: Languages that are learnt: the most frequent ones, so that the model's size has a bound.
+MOST_LANGS = 256
 
 
 def vocabulary(path: str) -> list[str]:
@@ -67,28 +75,39 @@ def lattice(words: ahocorasick.Automaton, word: str, unknown: int) -> list[tuple
     return edges
 
 
+def log_sums(edges: list[tuple[int, int, int]], n: int, log_p) -> list[float]:
+    """Logs of the sums over all paths from 0 to each position, for words of any length."""
+    a = [-math.inf] * (n + 1)
+    a[0] = 0.0
+    for s, e, i in edges:
+        x, y = a[e], a[s] + log_p[i]
+        if y > x:
+            x, y = y, x
+        a[e] = x + math.log1p(math.exp(y - x)) if y > -math.inf else x
+    return a
+
+
 def forward(edges: list[tuple[int, int, int]], n: int, p: list[float]) -> float:
-    """Log of the sum over all paths from 0 to n. Words over ``LONG`` are rescaled on the way."""
+    """Log of the sum over all paths from 0 to n; of long words in logarithms."""
+    if n > LONG:
+        found = log_sums(edges, n, {i: math.log(p[i]) for _, _, i in edges})[n]
+        return found if found > -math.inf else n * math.log(UNKNOWN)
     a = [0.0] * (n + 1)
     a[0] = 1.0
-    if n <= LONG:
-        for s, e, i in edges:
-            a[e] += a[s] * p[i]
-        return math.log(a[n]) if a[n] > 0 else n * math.log(UNKNOWN)
-    log, done = 0.0, 0
     for s, e, i in edges:
-        if e > done + 16:  # all that end before are complete
-            top = max(a[max(0, e - 64) : e]) or 1.0
-            for k in range(max(0, e - 64), e):
-                a[k] /= top
-            log += math.log(top)
-            done = e
         a[e] += a[s] * p[i]
-    return log + math.log(a[n]) if a[n] > 0 else n * math.log(UNKNOWN)
+    return math.log(a[n]) if a[n] > 0 else n * math.log(UNKNOWN)
 
 
-def expected(edges: list[tuple[int, int, int]], n: int, p: list[float], times: float, counts: list[float]) -> None:
-    """Add ``times`` the expected number of uses of each piece in a word of up to ``LONG`` characters."""
+def expected(edges: list[tuple[int, int, int]], n: int, p: list[float], times: float, counts: list[float], log_p: list[float]) -> None:
+    """Add ``times`` the expected number of uses of each piece in a word."""
+    if n > LONG:
+        back = sorted(((n - e, n - s, i) for s, e, i in edges), key=lambda x: x[1])
+        a, b = log_sums(edges, n, log_p), log_sums(back, n, log_p)
+        if a[n] > -math.inf:
+            for s, e, i in edges:
+                counts[i] += times * math.exp(a[s] + log_p[i] + b[n - e] - a[n])
+        return
     a, b = [0.0] * (n + 1), [0.0] * (n + 1)
     a[0] = b[n] = 1.0
     for s, e, i in edges:
@@ -107,12 +126,13 @@ def fit(word_counts: dict[str, dict[str, float]], pieces: list[str], rounds: int
     v = len(pieces)
     out = []
     for lang in sorted(word_counts):
-        words = [(lattice(known, w, v), len(w) + 1, c) for w, c in word_counts[lang].items() if len(w) < LONG]
+        words = [(lattice(known, w, v), len(w) + 1, c) for w, c in word_counts[lang].items()]
         p = [1.0 / (v + 1)] * v + [UNKNOWN]
         for _ in range(rounds):
             counts = [SMOOTH] * (v + 1)
+            log_p = [math.log(x) for x in p]
             for edges, n, c in words:
-                expected(edges, n, p, c, counts)
+                expected(edges, n, p, c, counts, log_p)
             total = sum(counts[:v])
             p = [c / total for c in counts[:v]] + [UNKNOWN]
         out.append(p)
@@ -122,14 +142,20 @@ def fit(word_counts: dict[str, dict[str, float]], pieces: list[str], rounds: int
 def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, train_words: int = TRAIN_WORDS, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, piece probabilities and log priors, from the rows that aren't held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return [], np.zeros((len(pieces) + 1, 0)), np.zeros(0)
-    picked = F.lit(False)
-    for lang, n in sizes.items():
-        picked |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, sample_docs / n)))
-    words = rows.where(picked).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, math.ceil(1_000_003 * min(1.0, sample_docs / n)))])
+    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for lang, text in zip(b["lang"], b.text):
+                seen.update((lang, w) for w in WORD.findall(text.lower()))
+            yield pd.DataFrame([(lang, w, n) for (lang, w), n in seen.items()], columns=["lang", "word", "n"])
+
+    counted = picked.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= train_words)
     by: dict[str, dict[str, float]] = {lang: {} for lang in sizes}
     for r in top.select("lang", "word", "n").toLocalIterator():
@@ -205,14 +231,16 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
     """doc_id, held_out, lang_pred, score. The model (pieces by languages) goes to every task."""
     sent = docs.sparkSession.sparkContext.broadcast((pieces, langs, p, prior))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
-        for b in batches:
-            found = scorer.judge(list(b.text))
-            yield pd.DataFrame({"doc_id": b.doc_id, "held_out": b.held_out, "lang_pred": [x for x, _ in found], "score": [y for _, y in found]})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, "doc_id long, held_out boolean, lang_pred string, score double")
+        for doc_ids, texts in by_chars(batches):
+            found = scorer.judge(texts)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+        give_back()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = rows.mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, path: str | None = None) -> DataFrame:

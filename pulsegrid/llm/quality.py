@@ -110,7 +110,8 @@ def ratios(m: Column) -> dict[str, Column]:
         "exclamation_ratio": m["n_exclamations"] / n,
         "upper_ratio": m["n_upper"] / F.greatest(m["word_chars"], F.lit(1)).cast("double"),
         "stop_word_ratio": m["n_stop"] / n,
-        "distinct_word_ratio": m["n_distinct"] / n,
+        # long texts repeat their words: beyond 10,000 words the measure grows with the root only
+        "distinct_word_ratio": m["n_distinct"] / F.least(n, 100 * F.sqrt(n)),
         "dup_line_ratio": m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)).cast("double"),
     }
 

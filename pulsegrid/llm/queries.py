@@ -73,7 +73,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(x, '{_B
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(x, '[^!]+', '', 'g')) AS bangs, length(regexp_replace(x, '[^\p{{Lu}}]+', '', 'g')) AS uppers,
   len(list_distinct(lw)) AS own, len(list_filter(lw, lambda s: s IN ({_STOP}))) AS stops, len(ls) AS lines FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_chars, n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_ratio, bangs / greatest(n_words, 1)::DOUBLE AS exclamation_ratio,
-  uppers / greatest(word_chars, 1)::DOUBLE AS upper_ratio, stops / greatest(n_words, 1)::DOUBLE AS stop_word_ratio, own / greatest(n_words, 1)::DOUBLE AS distinct_word_ratio, n_dup_lines / greatest(lines, 1)::DOUBLE AS dup_line_ratio FROM m)
+  uppers / greatest(word_chars, 1)::DOUBLE AS upper_ratio, stops / greatest(n_words, 1)::DOUBLE AS stop_word_ratio, own / least(greatest(n_words, 1)::DOUBLE, 100 * sqrt(greatest(n_words, 1)::DOUBLE)) AS distinct_word_ratio, n_dup_lines / greatest(lines, 1)::DOUBLE AS dup_line_ratio FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ({_RULES}) AS kept FROM q
 """
 

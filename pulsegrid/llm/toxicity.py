@@ -8,7 +8,8 @@ of one half use the other half's lexicon, and calibration uses scores of trees t
 
 Null texts count as empty; empty texts get the score of their features like any other. Labels without doc_id or toxic
 are left out, of repeated labels the largest holds. With no label of both kinds, all scores are 0. Repeated rows are
-scored one by one; source, lang and doc_id are no inputs.
+scored one by one, texts of any length whole; source, lang and doc_id are no inputs, other columns aren't looked at,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

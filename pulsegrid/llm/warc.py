@@ -10,7 +10,8 @@ a payload that a third of all pages share is dealt to many tasks.
 
 Null html counts as an empty payload, null urls as an empty target. Rows without a page_id never are a response that
 others revisit; if all of a group are without, all are responses. Repeated rows with the largest page_id all are
-responses. An empty table gives no archive and no row; no other column of the input is looked at.
+responses. Payloads of any length are one record each. An empty table gives no archive and no row; no other column of
+the input is looked at, whatever its name.
 """
 
 from __future__ import annotations
@@ -87,8 +88,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int =
     """Write archives to ``folder``; gives the index, itself stored in the shared folder."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, place, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, []
-        name = f"part-{part:08d}-000000.warc.gz"
+        task = TaskContext.get()
+        place, held, size, rows = 0, [], 0, []
+        # the index names the files of one attempt; another one's are never read
+        named = lambda: f"part-{task.partitionId():08d}-{place:06d}-{task.taskAttemptId()}.warc.gz"
+        name = named()
         for b in batches:
             for page, url, html, refers in zip(b.page_id.astype("Int64"), b.url, b.html, b.refers_to.astype("Int64")):
                 page, refers = (None if x is pd.NA else int(x) for x in (page, refers))
@@ -101,7 +105,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int =
                     put(folder, name, b"".join(held))
                     yield index(rows)
                     place, held, size, rows = place + 1, [], 0, []
-                    name = f"part-{part:08d}-{place:06d}.warc.gz"
+                    name = named()
         if rows:
             put(folder, name, b"".join(held))
             yield index(rows)
@@ -150,7 +154,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                         yield pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     stretch = F.floor(F.col("offset") / READ_BYTES)
-    dealt = index.select("file", "offset", "length").repartition(F.col("file"), stretch).sortWithinPartitions("file", "offset")
+    # as many tasks as the archives' bytes ask for; the index rows themselves are too small to tell
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
+    dealt = index.select("file", "offset", "length").repartition(int(tasks), F.col("file"), stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(each, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 

@@ -37,6 +37,14 @@ def test_quality_on_odd_rows(odd):
     assert quality.keep(odd).columns == odd.columns and quality.keep(odd).count() == 0
 
 
+def test_quality_keeps_a_clean_book(spark):
+    r = random.Random(5)
+    stop, words = quality.STOP_WORDS["en"].split(), ["".join(r.choice("aeioubdgklmnrst") for _ in range(r.randint(3, 8))) for _ in range(25_000)]
+    text = " ".join(r.choice(stop) if r.random() < 0.4 else words[int(25_000 * r.random() ** 2)] for _ in range(300_000))
+    (row,) = quality.judge(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert row.kept, row
+
+
 def test_quality_counts_equal_brute_force(docs):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for d in docs.collect():
@@ -301,6 +309,7 @@ def test_toxicity(odd, labelled):
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert {r.score for r in toxicity.judge(odd, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.judge(odd.limit(0), labels).count() == 0 and toxicity.judge(docs.limit(0), labels).count() == 0
 
 
 def test_isotonic_fit():
@@ -324,6 +333,8 @@ def test_archives(spark):
     some = warc.read(index.where("page_id = 5"), folder).collect()
     assert [bytes(r.payload).decode() for r in some] == ["é" * 3000]
     assert warc.round_trip(pages.limit(0)).count() == 0
+    (long,) = warc.round_trip(spark.createDataFrame([(1, "u", "<p>é" * 1_000_000)], "page_id bigint, url string, html string")).collect()
+    assert long.payload_bytes == 5_000_000
     assert warc.round_trip(pages, least_bytes=5).where("record_type = 'revisit'").count() == 2
 
 
@@ -349,6 +360,7 @@ def test_decontamination(spark, odd, docs, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [tuple(r) for r in bench.collect()]
     for size in (400_000, 1500):
+        assert decontaminate.keep(odd, bench, block_chars=size).columns == odd.columns
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.search(docs, bench, block_chars=size).collect()}
         assert got == {d.doc_id: hits_by_hand(d.text, items) for d in docs.collect()}
     assert decontaminate.keep(docs, bench).count() == sum(not v[4] for v in got.values())
@@ -369,6 +381,27 @@ def test_language(spark, odd, docs):
     rows = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert len(rows) == 9 and all((rows[i].lang_pred, rows[i].score) == ("und", 0.0) for i in (1, 2, 3)) and rows[6].lang_pred == "en"
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert langid.identify(odd.limit(0)).count() == 0
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² ①", "Ⅷ", "12 34", "__", "½a", "\u0301"])], "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    both = docs.select("doc_id", "text", "lang").union(signs.withColumn("doc_id", -1 - F.col("doc_id")))
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(both).where("doc_id < 0").collect()} == {-1: True, -2: True, -3: True, -4: True, -5: False, -6: True}
+
+
+def test_long_words_are_fitted():
+    pieces = ["a", "b", "ab", "▁", "▁a"]
+    known, p, n = langid.automaton(pieces), [0.3, 0.2, 0.1, 0.25, 0.15, 1e-7], 30
+    word = "ab" * (n // 2)
+    edges, short, long = langid.lattice(known, word, 5), [0.0] * 6, [0.0] * 6
+    log_p = [np.log(x) for x in p]
+    langid.expected(edges, n + 1, p, 2.0, short, log_p)
+    langid_long, langid.LONG = langid.LONG, 5
+    try:
+        langid.expected(edges, n + 1, p, 2.0, long, log_p)
+    finally:
+        langid.LONG = langid_long
+    assert np.allclose(short, long) and sum(short) > 0
+    langs, table = langid.fit({"x": {"ab" * 400: 3.0}}, pieces)
+    assert table[2, 0] > 0.3
 
 
 def test_forward_sums_all_segmentations():
