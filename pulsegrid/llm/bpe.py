@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_chars, give_back, trimmed
+from pulsegrid.llm.common import Known, by_chars, give_back, trimmed
 
 #: White space as Unicode has it. Fixed values.
 WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -37,7 +37,7 @@ STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Marks that the splitting pattern cuts, as one piece, from letters before them. (Of an apostrophe it may make a suffix.)
 MARKS = ".,!?;:"
 #: A worker forgets part of its remembered stretches and pieces beyond these numbers, and between tasks beyond the last; that bounds memory and changes no result.
-STRETCHES, PIECES, IDLE = 160_000, 120_000, 40_000
+STRETCHES, PIECES, IDLE = 300_000, 250_000, 100_000
 
 
 class ByteBpe:
@@ -68,8 +68,7 @@ class ByteBpe:
                     self.within[path] = token if n == len(token) else self.within[path[:-1]]
         self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in self.reachable), None) for t in self.reachable}
         self.compatible = lru_cache(1 << 17)(self._compatible)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.cache, self.pieces = Known(self.encode_stretch), Known(self.encode_piece)
 
     @classmethod
     def from_file(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBpe:
@@ -157,26 +156,14 @@ class ByteBpe:
             pieces = [core, stretch[len(core) :]] if len(core) < len(stretch) else [core]
         else:
             pieces = self.split(stretch)
-        found = [self.pieces.get(p) for p in pieces]
-        for i, f in enumerate(found):
-            if f is None:
-                found[i] = self.pieces[pieces[i]] = self.encode_piece(pieces[i])
-        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text; the stretches that a group of texts brings are encoded first, then all are looked up."""
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            held.append(STRETCH.findall(text))
-            size += len(text)
-            if size > 1 << 20 or i == len(texts) - 1:
-                trimmed(self.cache, STRETCHES)
-                trimmed(self.pieces, PIECES)
-                for s in set().union(*held).difference(self.cache):
-                    self.cache[s] = self.encode_stretch(s)
-                for stretches in held:
-                    yield list(chain.from_iterable(map(self.cache.__getitem__, stretches)))
-                held, size = [], 0
+        return self.pieces[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text, stretch by stretch."""
+        for text in texts:
+            yield list(chain.from_iterable(map(self.cache.__getitem__, STRETCH.findall(text))))
+            trimmed(self.cache, STRETCHES)
+            trimmed(self.pieces, PIECES)
 
     def rest(self) -> None:
         """Keep little between tasks: what came first, as it comes often."""

@@ -23,6 +23,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+class Known(dict):
+    """What was found for each part of a text; what isn't known yet is asked for once."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, part: str):
+        found = self[part] = self.find(part)
+        return found
+
+
 def trimmed(memory: dict, most: int) -> None:
     """Forget the later half of what ``memory`` holds once it is over ``most``: what came first is what comes often."""
     if len(memory) > most:

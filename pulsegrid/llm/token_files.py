@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import WHITE
-from pulsegrid.llm.common import by_chars, give_back, scratch, stored, trimmed
+from pulsegrid.llm.common import Known, by_chars, give_back, scratch, stored, trimmed
 from pulsegrid.llm.files import opened, put
 
 MAGIC = b"FVB1"
@@ -105,18 +105,6 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(PRINTABLE)))}
 
 
-class Known(dict):
-    """Ids of words or pieces as bytes; what isn't known yet is asked for once."""
-
-    def __init__(self, ids_of):
-        super().__init__()
-        self.ids_of = ids_of
-
-    def __missing__(self, part: str) -> bytes:
-        found = self[part] = self.ids_of(part)
-        return found
-
-
 class Encoder:
     """The tokenizer's ids of texts, found once for each word, and once for each piece that its steps before the model cut.
 
