@@ -1,7 +1,11 @@
 """A corpus pipeline: quality rules, near copies, benchmark decontamination, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's documents. All but the last return the columns of ``documents``.
+stage's documents. All but the last return the columns of ``documents``, whatever else these hold.
+
+Documents with a null or empty text have no words and go in the first stage; texts of any length pass through whole.
+Rows without doc_id are no one's copy and stay; of rows that repeat a doc_id one stays, as of any copies. Columns whose
+names an operator uses for its own results pass through untouched. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import bpe, decontaminate, neardup, pii, quality
-from pulsegrid.llm.common import stored
+from pulsegrid.shared import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
