@@ -64,3 +64,11 @@ def by_chars(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator
                 first, texts, size = first + len(texts), [], 0
         if texts:
             yield ids.slice(first), texts
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import give_back, stored
+from pulsegrid.llm.common import give_back, stored, unused
 
 WIDTH = 10
 BLOCK_CHARS = 400_000
@@ -192,9 +192,9 @@ def keep(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_chars:
     items = Benchmark(benchmark, block_chars, item_col, item_text_col)
     if items.n == 1:
         return docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items.block(0)), width)(F.col(text_col)))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    hit = _hits_by_text(docs.select(sha.alias("sha"), F.col(text_col).alias("text")), items, width).select(F.col("sha").alias("_hit_sha")).distinct()
-    return docs.join(hit, sha == F.col("_hit_sha"), "left_anti")
+    sha, name = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), unused(docs.columns, "hit")
+    hit = _hits_by_text(docs.select(sha.alias("sha"), F.col(text_col).alias("text")), items, width).select(F.col("sha").alias(name)).distinct()
+    return docs.join(hit, sha == F.col(name), "left_anti")
 
 
 def _clean(sent, width: int):

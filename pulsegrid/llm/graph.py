@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join on narrow rows; nothing is collected. Each round is written to the shared
-folder, which cuts the lineage. The number of rounds is about the logarithm of the longest chain of links.
+Every step is a grouped minimum and a join on narrow rows; nothing is collected. Minima are stored before they are
+joined back, so that a join has plain shuffles on both sides and Spark can split the one key that has most links. Each
+round is written to the shared folder, which cuts the lineage. The number of rounds is about the logarithm of the
+longest chain of links.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from pulsegrid.llm.common import stored
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = down.join(least, "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_chars, give_back, stored
+from pulsegrid.llm.common import by_chars, give_back, stored, unused
 from pulsegrid.llm.decontaminate import TABLE
 from pulsegrid.llm.graph import components
 
@@ -226,8 +226,9 @@ def _pairs(member: str, *centres: str):
 def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that hold several classes, with their class (root) and that of the best member (top)."""
     here = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    here = stored(here, "members")
     top = here.groupBy("bucket").agg(F.max_by("root", F.struct("score", -F.col("node"))).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return here.join(top.select("bucket", "top"), "bucket")
+    return here.join(stored(top.select("bucket", "top"), "tops"), "bucket")
 
 
 def _candidates(nodes: DataFrame, arrays: DataFrame, similarity: float) -> DataFrame:
@@ -245,7 +246,7 @@ def _candidates(nodes: DataFrame, arrays: DataFrame, similarity: float) -> DataF
     # a repeated doc_id may have several texts: each is a part of its own
     texts = nodes.join(arrays, "node").select("node", "root", F.xxhash64("words").alias("part"), "words").mapInPandas(each, "node long, root long, part long, size long, kmers array<long>")
     rows = stored(texts.select("node", "root", "part", "size", F.explode("kmers").alias("kmer")), "kmers")
-    held = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1")
+    held = stored(rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1"), "held-kmers")
     own = Window.partitionBy("node", "part")
     # k-mers of one set alone come first and need no row
     at = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "kmer")) - 1
@@ -263,9 +264,10 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, al
     reps = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("signs").alias("signs")).where("signs is not null")
     rows = reps.select("node", F.posexplode("signs").alias("i", "sign")).select("node", F.xxhash64("i", "sign").alias("bucket"))
     rows = stored(rows, "buckets")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # what is joined back to a bucket's members is stored first: Spark can then split a bucket that holds most rows
+    sizes = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     live = stored(rows.join(sizes, "bucket"), "shared-buckets")
-    score = live.groupBy("node").agg(F.sum("n").alias("score"))
+    score = stored(live.groupBy("node").agg(F.sum("n").alias("score")), "scores")
     live = stored(live.join(score, "node").select("bucket", "node", "score"), "scored-buckets")
     arrays = stored(_word_arrays(docs, score.select("node"), text_col, id_col), "words")
     most = lambda node: F.max_by(F.col(node), F.struct(F.col("score"), -F.col(node)))
@@ -276,7 +278,7 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, al
         # after the first round: buckets that still hold several classes, and each member apart from the best one's
         here = live if k == 0 else _apart(live, roots)
         rest = here if k == 0 else here.where("root <> top")
-        centres = rest.groupBy("bucket").agg(most("node").alias("centre"), F.min("node").alias("least"))
+        centres = stored(rest.groupBy("bucket").agg(most("node").alias("centre"), F.min("node").alias("least")), "centres")
         paired = here.join(centres, "bucket")
         pairs = paired.select(_pairs("node", "centre", "least").alias("p")).select("p.a", "p.b").distinct()
         if tried is not None:
@@ -312,9 +314,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, aligned: float = AL
 def keep(docs: DataFrame, similarity: float = SIMILARITY, aligned: float = ALIGNED, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document of each class, the one with the least doc_id, with its own columns; rows without doc_id stay."""
     found = stored(classes(docs, similarity, aligned, rounds, text_col, id_col), "classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_doc_id")).distinct()
+    name = unused(docs.columns, "gone")
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
     sent = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
-    left = docs.join(sent, docs[id_col].cast("long") == F.col("_gone_doc_id"), "left_anti")
+    left = docs.join(sent, docs[id_col].cast("long") == F.col(name), "left_anti")
     repeated = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
     if not repeated.head(1):
         return left

@@ -46,3 +46,32 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf_dir):
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == want and len(got) > 50
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and bpe.digests(frame.limit(0)).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+    from test_operators import ODD
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"n_words": F.lit("clash"), "kept": F.lit(1), "ids": F.lit(2), "class_id": F.lit("x"), "spans": F.lit(None).cast("int"), "sha": F.lit(0), "gone": F.lit(3), "hit": F.lit(3)})
+    odd = spark.createDataFrame(ODD, "doc_id bigint, text string").withColumn("doc_id", 10**6 + F.col("doc_id"))
+    some = docs.where("doc_id < 40").unionByName(docs.where("doc_id < 10"))  # repeated rows
+    lone = docs.where("doc_id = 50").withColumn("doc_id", F.lit(None).cast("bigint"))
+    for name, frame in (("odd", some.unionByName(odd, allowMissingColumns=True).unionByName(lone)), ("empty", docs.limit(0))):
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) > 5 and max(ids) < 40
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_near_copies_of_some_against_all(spark, sf_dir):
+    """Recall of pairs at a similarity of 0.8: every row whose id is divisible by 50 against all rows, by brute force."""
+    from pulsegrid.llm import neardup
+
+    docs = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    texts = {r.doc_id: neardup.word_hashes(neardup.normal(r.text)) for r in docs.collect()}
+    sets = {i: set(neardup.kmer_hashes(w).tolist()) for i, w in texts.items()}
+    pairs = [(q, d) for q in sets if q % 50 == 0 for d in sets if d != q and len(sets[q] & sets[d]) >= 0.8 * len(sets[q] | sets[d]) > 0]
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert pairs and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
