@@ -850,3 +850,10 @@ def stream_fold(spark, d):
 def stream_search(spark, d):
     """ST7, F3: a search over a stream."""
     return streamed(spark, d, lambda e: slices.search(schema.trace_events_from_events(e), event_type="click", contains="99"), "search").select("event_id", "event_type")
+
+
+@query(f"WITH {M}, dm AS (SELECT run_id, topic, a, t - CASE WHEN a % 7 = 0 THEN {3 * HOUR} ELSE 0 END AS t FROM m), x AS (SELECT *, max(t) OVER (PARTITION BY run_id, topic ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM dm) SELECT run_id, topic, count(*) AS received, count(*) FILTER (t < top - {2 * HOUR}) AS late_count, count(*) FILTER (t < top) AS out_of_order_count FROM x GROUP BY 1, 2")
+def stream_late(spark, d):
+    """ST2: late and out-of-order rows counted by a stream, per run and topic."""
+    out = streamed(spark, d, lambda e: jobs.late_counts(schema.disordered(schema.messages_from_events(e)), 2 * HOUR), "late")
+    return out.groupBy("run_id", "topic").agg(*[F.max(c).alias(c) for c in ("received", "late_count", "out_of_order_count")])

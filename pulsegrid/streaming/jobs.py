@@ -95,6 +95,30 @@ def arrival_fold(messages: DataFrame, start_ns: int, window_ns: int, lateness_ns
     return watermarked.groupBy("run_id", "topic").applyInPandasWithState(fold, FOLD, FOLD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+LATE = "run_id string, topic string, received bigint, late_count bigint, out_of_order_count bigint"
+
+
+def late_counts(messages: DataFrame, lateness_ns: int) -> DataFrame:
+    """Per run and topic, after each micro-batch that has rows of it: how many came so far, late or out of order.
+
+    A row is late if it lies more than ``lateness_ns`` before its topic's largest time so far, out of order if before
+    that time at all. State is four numbers a topic; counts only grow, so the largest are the newest.
+    """
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        top, received, late, disorder = state.get if state.exists else (None, 0, 0, 0)
+        rows = pd.concat([b[["arrival_seq", "log_time_ns"]] for b in batches])  # two numbers a row of the micro-batch
+        t = rows.sort_values("arrival_seq").log_time_ns.astype("int64")
+        before = t.cummax().shift(fill_value=t.iloc[0] if top is None else int(top))
+        if top is not None:
+            before = before.clip(lower=int(top))
+        received, late, disorder = received + len(t), late + int((t < before - lateness_ns).sum()), disorder + int((t < before).sum())
+        state.update((int(t.max()) if top is None else max(int(top), int(t.max())), received, late, disorder))
+        yield pd.DataFrame([(*key, received, late, disorder)], columns=[c.split()[0] for c in LATE.split(", ")])
+
+    return messages.groupBy("run_id", "topic").applyInPandasWithState(count, LATE, "top bigint, received bigint, late bigint, disorder bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_metrics(query: StreamingQuery) -> list[dict]:
     """Late rows dropped and open groups of each micro-batch so far."""
     return [{"batch": p.batchId, "dropped_late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators), "open": sum(s.numRowsTotal for s in p.stateOperators)} for p in query.recentProgress]

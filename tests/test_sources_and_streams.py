@@ -163,3 +163,9 @@ def test_append_ingest_takes_whole_batches(spark, tmp_path):
         q.awaitTermination()
         assert len(rejected) == (1 if i == 1 else 0)
     assert sorted(r.event_id for r in spark.read.parquet(store).collect()) == ["e3", "e4", "e5"]
+
+
+def test_late_counts_over_many_batches(spark, tmp_path):
+    m = source(spark, str(tmp_path / "in"), [[("a", 10.0), ("a", 9.5), ("b", 1.0)], [("a", 5.0), ("a", 12.0)], [("b", 0.5), ("a", 11.0)]])
+    got = run_stream(jobs.late_counts(m, 2 * NS), str(tmp_path / "out")).groupBy("topic").agg(F.max("received").alias("n"), F.max("late_count").alias("late"), F.max("out_of_order_count").alias("ooo")).collect()
+    assert sorted((r.topic, r.n, r.late, r.ooo) for r in got) == [("a", 5, 1, 3), ("b", 2, 0, 1)]
