@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalar import baseline_score, count_ratio, irregularity
 from pulsegrid.operators.gaps import bucket_rows, gap_stats, integer_jitter, integer_mean, stitched
-from pulsegrid.operators.keys import join
+from pulsegrid.operators.keys import join, join_summary
 from pulsegrid.operators.ordering import with_max_before
+from pulsegrid.shared import stored
 
 RUN, TOPIC = ["run_id"], ["run_id", "topic"]
 
@@ -17,7 +18,7 @@ def aligned(messages: DataFrame, window_ns: int) -> DataFrame:
     """Messages with their ``window``: counted from the first message of the run, over all topics."""
     start = messages.groupBy(*RUN).agg(F.min("log_time_ns").alias("run_start_ns"))
     at = (F.col("log_time_ns") - F.col("run_start_ns")).cast("decimal(20,0)")
-    return join(messages, start, RUN).withColumn("window", F.floor(at / F.lit(window_ns).cast("decimal(20,0)")).cast("bigint"))
+    return join_summary(messages, start, RUN).withColumn("window", F.floor(at / F.lit(window_ns).cast("decimal(20,0)")).cast("bigint"))
 
 
 def observed_windows(messages: DataFrame, window_ns: int) -> DataFrame:
@@ -88,8 +89,8 @@ def top_windows(pooled: DataFrame, k: int, keys: list[str] | None = None, score:
 
 
 def timing_report(messages: DataFrame, window_ns: int, k: int, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Profile and ranked evidence of every run and topic."""
-    windows = expected_counts(observed_windows(messages, window_ns), window_ns / 1e9, metadata)
+    """Profile and ranked evidence of every run and topic; the windows, which all parts read, are stored once."""
+    windows = stored(expected_counts(observed_windows(messages, window_ns), window_ns / 1e9, metadata), "windows")
     ranked = top_windows(evidence(windows, top_missing(missing_intervals(windows), k).drop("rank")), k)
     return run_profile(windows), ranked
 
