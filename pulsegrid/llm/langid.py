@@ -39,9 +39,19 @@ SMOOTH, UNKNOWN = 0.02, 1e-7
 REMEMBERED = 300_000
 MARK = "▁"
 #: Numerals that count as parts of words elsewhere, by the rule: alphanumeric, but neither letter nor decimal digit.
-_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: Runs of letters (general category L), of texts in lower case; fitting and scoring use this one rule.
+_NUMERALS = "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 WORD = re.compile(f"[^\\W\\d_{_NUMERALS}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters (general category L) in lower case; fitting and scoring use this one rule."""
+    text = text.lower()
+    found = WORD.findall(text)
+    if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text):  # the pattern leaves numerals beyond U+FFFF in words
+        found = [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
+    return found
+
+
 LONG = 40
 #: Languages that are learnt: the most frequent ones, so that the model's size has a bound.
 MOST_LANGS = 256
@@ -152,7 +162,7 @@ def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, tr
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b["lang"], b.text):
-                seen.update((lang, w) for w in WORD.findall(text.lower()))
+                seen.update((lang, w) for w in words_of(text))
             yield pd.DataFrame([(lang, w, n) for (lang, w), n in seen.items()], columns=["lang", "word", "n"])
 
     counted = picked.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -211,7 +221,7 @@ class Scorer:
         """Language and posterior of each text; the new words of a group of texts are scored together."""
         out, held, size = [], [], 0
         for i, text in enumerate(texts):
-            held.append(WORD.findall((text or "").lower()) if self.langs else [])
+            held.append(words_of(text or "") if self.langs else [])
             size += len(text or "")
             if size > 1 << 20 or i == len(texts) - 1:
                 trimmed(self.index, REMEMBERED)  # rows of self.logs are given out in order, so the kept half is its first rows

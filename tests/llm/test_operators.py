@@ -382,9 +382,17 @@ def test_language(spark, odd, docs):
     assert len(rows) == 9 and all((rows[i].lang_pred, rows[i].score) == ("und", 0.0) for i in (1, 2, 3)) and rows[6].lang_pred == "en"
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(odd.limit(0)).count() == 0
-    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² ①", "Ⅷ", "12 34", "__", "½a", "\u0301"])], "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² ①", "Ⅷ", "12 34", "__", "½a", "\u0301", "\U00010107"])], "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
     both = docs.select("doc_id", "text", "lang").union(signs.withColumn("doc_id", -1 - F.col("doc_id")))
-    assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(both).where("doc_id < 0").collect()} == {-1: True, -2: True, -3: True, -4: True, -5: False, -6: True}
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(both).where("doc_id < 0").collect()} == {-1: True, -2: True, -3: True, -4: True, -5: False, -6: True, -7: True}
+
+
+def test_words_are_runs_of_letters():
+    r = random.Random(2)
+    chars = "aéß½²Ⅷ①12_ ,中ǅ\u0301\U00010107\U00010400\U0001f642\u0660İ"
+    for _ in range(3000):
+        t = "".join(r.choice(chars) for _ in range(r.randint(0, 15)))
+        assert langid.words_of(t) == "".join(c if c.isalpha() else " " for c in t.lower()).split()
 
 
 def test_long_words_are_fitted():
