@@ -37,7 +37,7 @@ STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Marks that the splitting pattern cuts, as one piece, from letters before them. (Of an apostrophe it may make a suffix.)
 MARKS = ".,!?;:"
 #: A worker forgets part of its remembered stretches and pieces beyond these numbers, and between tasks beyond the last; that bounds memory and changes no result.
-STRETCHES, PIECES, IDLE = 300_000, 250_000, 100_000
+STRETCHES, PIECES, IDLE = 500_000, 400_000, 150_000
 
 
 class ByteBpe:
@@ -119,11 +119,6 @@ class ByteBpe:
             else:
                 j += 1
 
-    def longest(self, piece: str, at: int) -> str | None:
-        """The longest token that starts there, by the automaton's longest path."""
-        near = piece[at : at + self.most]
-        return self.within.get(near[: self.automaton.longest_prefix(near)])
-
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the splitting pattern."""
         if not piece.isascii():
@@ -132,15 +127,18 @@ class ByteBpe:
             return (self.ranks[piece],)
         dead: set[int] = set()
         chosen: list[str] = []
-        shorter, compatible, size, at = self.shorter, self.compatible, len(piece), 0
-        token = self.longest(piece, 0)
+        shorter, compatible, within, prefix, most = self.shorter, self.compatible, self.within.get, self.automaton.longest_prefix, self.most
+        size, at, undone = len(piece), 0, False
         while at < size:
+            if not undone:  # the longest token that starts here, by the automaton's longest path
+                near = piece[at : at + most]
+                token = within(near[: prefix(near)])
             while token is not None and (at + len(token) in dead or chosen and not compatible(chosen[-1], token)):
                 token = shorter[token]
+            undone = token is None
             if token is not None:
                 chosen.append(token)
                 at += len(token)
-                token = self.longest(piece, at)
             elif chosen:
                 dead.add(at)
                 token = chosen.pop()
