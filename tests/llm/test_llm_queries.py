@@ -27,7 +27,13 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert sorted((tuple(plain(x) for x in r) for r in df.select(*names).collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
 
 
-def test_pipeline_equals_its_stages_by_hand(spark, sf_dir):
+@pytest.fixture
+def short_training(monkeypatch):
+    """Fewer made sentences: the pipeline's tests need a model, not a good one."""
+    monkeypatch.setattr(pii, "MADE", 100)
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, sf_dir, short_training):
     from test_operators import classes_by_hand, hits_by_hand
 
     from pulsegrid.llm import bpe, quality
@@ -48,7 +54,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf_dir):
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and bpe.digests(frame.limit(0)).count() == 0
 
 
-def test_pipeline_on_odd_rows(spark, sf_dir, tmp_path):
+def test_pipeline_on_odd_rows(spark, sf_dir, tmp_path, short_training):
     from pyspark.sql import functions as F
     from test_operators import ODD
 
