@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bpe, decontaminate, html_text, langid, neardup, pii, quality, token_files, toxicity, warc
+from pulsegrid.llm import bpe, conversations, decontaminate, html_text, langid, neardup, pii, quality, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +56,11 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pii, op3_bpe, op4_toxicity, op5_token_files, op6_warc, op7_decontaminate, op8_language, op9_html_text, op10_near_copies)}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pii, op3_bpe, op4_toxicity, op5_token_files, op6_warc, op7_decontaminate, op8_language, op9_html_text, op10_near_copies, op13_conversations)}
 
 _BLANK = r"[ \t\n\x0b\f\r]+"
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws.split()}))
@@ -100,4 +104,38 @@ SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality": _OP1, "op6_warc": _OP6, "op7_decontaminate": _OP7}
+_CRC = """list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"""
+
+
+def _edit(state: str, cost: str, initial: str, line: str = "''", when: str | None = None) -> str:
+    """The path to ``state`` with one more edit; one that never pays where ``when`` doesn't hold."""
+    made = f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 't': {state}.t || {line}}}"
+    return f"CASE WHEN {when} THEN {made} ELSE {{'c': 1000000000, 'a': '', 't': ''}} END" if when else made
+
+
+_STAYS, _COST = "f NOT IN (1, 2)", "(CASE WHEN f = 3 THEN 1 ELSE 0 END)"
+_keep = lambda state, initial: _edit(state, _COST, "K", "chr(10) || r || ':' || x", f"{_STAYS} AND left(r, 1) = '{initial}'")
+_role = lambda state, role: _edit(state, f"2 + {_COST}", "R", f"chr(10) || '{role}:' || x", _STAYS)
+_add = lambda state, role: _edit(state, "2", "I", f"chr(10) || '{role}:'")
+# paths that end with nothing (0), a system turn (1), a user's (2), an assistant's (3): the least by cost, then by edits
+_OP13 = f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda z: ascii(z)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS k
+  FROM conversations, (SELECT {_CRC} AS tab)),
+v AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS r, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS x, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS again FROM d WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS i, right(rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e FROM v),
+w AS (SELECT *, CASE WHEN e = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) > 1 THEN 2 WHEN e NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f, coalesce(left(lag(r) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(r, 1) NOT IN ('su', 'ua', 'au'), false) AS bad FROM o),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (bad) AS illegal FROM w GROUP BY conv_id),
+p AS (SELECT conv_id, 0 AS i, s0, s1, s2, {_add("s2", "assistant")} AS s3 FROM (SELECT *, {_add("s0", "user")} AS s2 FROM (SELECT DISTINCT conv_id, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 1000000000, 'a': '', 't': ''}} AS s1 FROM conversations))
+UNION ALL SELECT conv_id, i, s0, s1, s2, least(s3, {_add("s2", "assistant")}) AS s3 FROM (
+  SELECT conv_id, i, s0, s1, s3, least(s2, {_add("s0", "user")}, {_add("s1", "user")}, {_add("s3", "user")}) AS s2 FROM (
+    SELECT p.conv_id, w.i::INT AS i, {_edit("s0", "3", "D")} AS s0, least({_edit("s1", "3", "D")}, {_keep("s0", "s")}) AS s1,
+      least({_edit("s2", "3", "D")}, {", ".join(f"{_keep(q, 'u')}, {_role(q, 'user')}" for q in ("s0", "s1", "s3"))}) AS s2,
+      least({_edit("s3", "3", "D")}, {_keep("s2", "a")}, {_role("s2", "assistant")}) AS s3
+    FROM p JOIN w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.i = p.i + 1)))
+SELECT p.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  least(s0, s3).c::BIGINT AS cost, least(s0, s3).a AS audit, sha256(substr(least(s0, s3).t, 2)) AS repaired_sha256
+FROM p LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(n, 0)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality": _OP1, "op6_warc": _OP6, "op7_decontaminate": _OP7, "op13_conversations": _OP13}

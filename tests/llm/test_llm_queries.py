@@ -10,7 +10,7 @@ import corpus_pipeline
 from pulsegrid.llm import pii
 from pulsegrid.llm import queries as Q
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
