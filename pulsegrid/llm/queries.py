@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bpe, conversations, decontaminate, html_text, langid, neardup, pii, quality, token_files, toxicity, warc, whitening
+from pulsegrid.llm import bpe, conversations, decontaminate, html_text, langid, licenses, neardup, pii, quality, token_files, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +68,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pii, op3_bpe, op4_toxicity, op5_token_files, op6_warc, op7_decontaminate, op8_language, op9_html_text, op10_near_copies, op12_whitening, op13_conversations)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pii, op3_bpe, op4_toxicity, op5_token_files, op6_warc, op7_decontaminate, op8_language, op9_html_text, op10_near_copies, op11_licenses, op12_whitening, op13_conversations)}
 
 _BLANK = r"[ \t\n\x0b\f\r]+"
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws.split()}))
@@ -108,6 +112,22 @@ SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
 """
 
+_PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES.items())
+_NOTICES = ", ".join(f"('{label}', '{' '.join(w.decode() for w in licenses.words_of(text))}')" for label, text in licenses.NOTICES.items())
+_HALF = licenses.BLOCK // 2
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_FIND.format(_LOWER.format("text"))} AS ws FROM documents),
+p AS (SELECT row, i - 1 AS pos, label FROM (SELECT row, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), (VALUES {_PHRASES}) f(phrase, label, k) WHERE array_to_string(ws[i : i + k - 1], ' ') = phrase),
+b AS (SELECT row, count(*) AS n, min(pos) AS low, max(pos) AS high, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM p GROUP BY row),
+t AS (SELECT label, w, count(*) AS c, any_value(len(ws)) AS size FROM (SELECT label, ws, unnest(ws) AS w FROM (SELECT label, string_split(x, ' ') AS ws FROM (VALUES {_NOTICES}) f(label, x))) GROUP BY label, w),
+o AS (SELECT row, pos, w, count(*) AS c FROM (SELECT row, pos, unnest(ws[pos + 1 : pos + {licenses.BLOCK}]) AS w FROM (SELECT row, ws, unnest(range(0, greatest(1, len(ws) - {_HALF}), {_HALF})) AS pos FROM d)) GROUP BY row, pos, w),
+m AS (SELECT row, label, max(share) AS share FROM (SELECT row, pos, label, sum(least(o.c, t.c)) AS n, any_value(size) AS size, sum(least(o.c, t.c)) / any_value(size)::DOUBLE AS share FROM o JOIN t ON o.w = t.w GROUP BY row, pos, label) WHERE n >= ceil({licenses.CONTAINED} * size - 1e-9) GROUP BY row, label),
+l AS (SELECT row, array_to_string(list_sort(list(label)), ',') AS labels FROM (SELECT row, label FROM p UNION SELECT row, label FROM m) GROUP BY row),
+s AS (SELECT row, max(share) AS share FROM m GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low::BIGINT AS first_word, high::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b ON d.row = b.row LEFT JOIN l ON d.row = l.row LEFT JOIN s ON d.row = s.row
+"""
+
 _CRC = """list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"""
 
 
@@ -142,4 +162,4 @@ SELECT p.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM p LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(n, 0)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality": _OP1, "op6_warc": _OP6, "op7_decontaminate": _OP7, "op13_conversations": _OP13}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _OP1, "op6_warc": _OP6, "op7_decontaminate": _OP7, "op11_licenses": _OP11, "op13_conversations": _OP13}
