@@ -136,42 +136,67 @@ def _record(op: int, body: bytes) -> bytes:
     return bytes([op]) + struct.pack("<Q", len(body)) + body
 
 
-def recording(rows: list[tuple[str, int, int, int]], per_chunk: int = 500) -> bytes:
-    """Messages (topic, time, sequence, size) as an uncompressed recording: what the query below reads."""
+def recording(rows: list[tuple[str, int, int, int]], per_chunk: int = 500, form: str = "indexed") -> bytes:
+    """Messages (topic, time, sequence, size) as an uncompressed recording: what the queries below read.
+
+    The form is "indexed", or "loose" (no chunks and no summary), or "cut" (chunks, but the file ends behind the last).
+    """
     topics = sorted({r[0] for r in rows})
     number = {t: i + 1 for i, t in enumerate(topics)}
     channels = b"".join(_record(mcap.CHANNEL, struct.pack("<HH", number[t], 0) + _text(t) + _text("json") + struct.pack("<I", 0)) for t in topics)
-    out, indexes, n_chunks = mcap.MAGIC + _record(1, _text("") + _text("")), b"", 0
-    for k in range(0, len(rows), per_chunk):
+    message = lambda t, at, s, n: _record(mcap.MESSAGE, struct.pack("<HIQQ", number[t], s, at, at) + b"x" * n)
+    parts, indexes = [mcap.MAGIC + _record(1, _text("") + _text(""))], []
+    size = len(parts[0])
+    if form == "loose":
+        parts += [channels, *(message(*r) for r in rows)]
+    for k in range(0, len(rows) if form != "loose" else 0, per_chunk):
         part = rows[k : k + per_chunk]
-        plain = (channels if k == 0 else b"") + b"".join(_record(mcap.MESSAGE, struct.pack("<HIQQ", number[t], s, at, at) + b"x" * n) for t, at, s, n in part)
+        plain = (channels if k == 0 else b"") + b"".join(message(*r) for r in part)
         low, high = min(r[1] for r in part), max(r[1] for r in part)
         chunk = _record(mcap.CHUNK, struct.pack("<QQQI", low, high, len(plain), 0) + _text("") + struct.pack("<Q", len(plain)) + plain)
-        indexes += _record(mcap.CHUNK_INDEX, struct.pack("<QQQQI", low, high, len(out), len(chunk), 0) + struct.pack("<Q", 0) + _text("") + struct.pack("<QQ", len(plain), len(plain)))
-        out, n_chunks = out + chunk, n_chunks + 1
-    out += _record(15, struct.pack("<I", 0))
-    statistics = _record(mcap.STATISTICS, struct.pack("<QHIIIIQQ", len(rows), 0, len(topics), 0, 0, n_chunks, min(r[1] for r in rows), max(r[1] for r in rows)) + struct.pack("<I", 0))
-    return out + channels + indexes + statistics + _record(mcap.FOOTER, struct.pack("<QQI", len(out), 0, 0)) + mcap.MAGIC
+        indexes.append(_record(mcap.CHUNK_INDEX, struct.pack("<QQQQI", low, high, size, len(chunk), 0) + struct.pack("<Q", 0) + _text("") + struct.pack("<QQ", len(plain), len(plain))))
+        parts.append(chunk)
+        size += len(chunk)
+    if form == "cut":
+        return b"".join(parts)
+    end = _record(15, struct.pack("<I", 0))
+    if form == "loose":
+        return b"".join(parts) + end + _record(mcap.FOOTER, struct.pack("<QQI", 0, 0, 0)) + mcap.MAGIC
+    statistics = _record(mcap.STATISTICS, struct.pack("<QHIIIIQQ", len(rows), 0, len(topics), 0, 0, len(indexes), min(r[1] for r in rows), max(r[1] for r in rows)) + struct.pack("<I", 0))
+    return b"".join([*parts, end, channels, *indexes, statistics, _record(mcap.FOOTER, struct.pack("<QQI", size + len(end), 0, 0)), mcap.MAGIC])
 
 
-@query(f"WITH {M}, x AS (SELECT * FROM m WHERE t >= {DAY0 + 48 * HOUR} AND t < {DAY0 + 480 * HOUR}) SELECT topic, count(*) AS count, min(t) AS first_ns, max(t) AS last_ns, sum(size)::BIGINT AS bytes, (SELECT count(*) FROM m)::BIGINT AS declared FROM x GROUP BY topic")
-def recordings(spark, d):
-    """Recordings read by their summaries, then by chunk; chunks out of range aren't opened."""
+def recordings_of(spark: SparkSession, d: str, forms: list[str]) -> str:
+    """A folder of eight recordings of all messages, cut by time, in the forms in turn."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = list(zip(b.topic, b.log_time_ns, b.arrival_seq, b.message_size))
-            yield pd.DataFrame({"name": [f"{rows[0][2]}.mcap"], "content": [recording(rows)]}) if rows else pd.DataFrame({"name": [], "content": []})
+            yield pd.DataFrame({"name": [f"{rows[0][2]}.mcap"], "content": [recording(rows, form=forms[rows[0][2] % len(forms)])]}) if rows else pd.DataFrame({"name": [], "content": []})
 
     m = messages(spark, d).select("topic", "log_time_ns", "arrival_seq", "message_size").repartitionByRange(8, "log_time_ns").sortWithinPartitions("log_time_ns")
     folder = scratch(spark, "recordings")
     write_files(m.mapInPandas(each, "name string, content binary"), folder)
-    t = mcap.tables(mcap.inspect(spark, folder))
+    return folder
+
+
+@query(f"WITH {M}, x AS (SELECT * FROM m WHERE t >= {DAY0 + 48 * HOUR} AND t < {DAY0 + 480 * HOUR}) SELECT topic, count(*) AS count, min(t) AS first_ns, max(t) AS last_ns, sum(size)::BIGINT AS bytes, (SELECT count(*) FROM m)::BIGINT AS declared FROM x GROUP BY topic")
+def recordings(spark, d):
+    """Recordings read by their summaries, then by chunk; chunks out of range aren't opened."""
+    t = mcap.tables(mcap.inspect(spark, recordings_of(spark, d, ["indexed"])))
     declared = t["files"].agg(F.sum("message_count").alias("declared"))
     found = mcap.messages(t["chunks"], t["channels"], DAY0 + 48 * HOUR, DAY0 + 480 * HOUR).groupBy("topic").agg(F.count(F.lit(1)).alias("count"), F.min("log_time_ns").alias("first_ns"), F.max("log_time_ns").alias("last_ns"), F.sum("message_size").alias("bytes"))
     return found.join(F.broadcast(declared), how="cross")  # one row
 
 
+@query(f"WITH {M} SELECT topic, count(*) AS count, min(t) AS first_ns, max(t) AS last_ns, sum(size)::BIGINT AS bytes, sum(a)::BIGINT AS sequences FROM m GROUP BY topic")
+def unindexed_recordings(spark, d):
+    """Recordings without chunks, without an end, and whole ones, scanned in splits where no index covers them."""
+    inspected = mcap.inspect(spark, recordings_of(spark, d, ["loose", "cut", "indexed"]))
+    found = mcap.all_messages(inspected, split_bytes=1 << 16)
+    return found.groupBy("topic").agg(F.count(F.lit(1)).alias("count"), F.min("log_time_ns").alias("first_ns"), F.max("log_time_ns").alias("last_ns"), F.sum("message_size").alias("bytes"), F.sum("sequence").alias("sequences"))
+
+
 @query("SELECT 'r' || (event_id // 1000) AS path, CASE WHEN event_id // 1000 % 5 = 1 THEN 'prefix_changed' WHEN event_id // 1000 % 5 = 2 THEN 'truncated' WHEN event_id // 1000 % 5 = 3 THEN 'missing' ELSE 'ok' END AS status FROM events GROUP BY event_id // 1000")
 def append_source_files(spark, d):
     """Q5: files that were indexed against the files now: gone, shorter, or with another first part."""
