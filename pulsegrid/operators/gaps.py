@@ -34,8 +34,20 @@ def bucket_rows(messages: DataFrame, keys: list[str], bucket: Column, time: str
     )
 
 
-def stitched(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals per keys of ``bucket_rows`` in time order, with the gaps between neighbouring buckets."""
+#: Buckets that are stitched in one group before their totals are.
+STITCHED = 4096
+
+
+def stitched(rows: DataFrame, keys: list[str], block: int = STITCHED) -> DataFrame:
+    """Totals per keys of ``bucket_rows`` in time order, with the gaps between neighbouring buckets.
+
+    First blocks of buckets are stitched, then the blocks, so no group holds all buckets of a topic.
+    """
+    blocks = rows.withColumn("_block", F.floor(F.col("bucket") / F.lit(block).cast("decimal(20,0)")).cast("bigint"))
+    return _stitched(_stitched(blocks, [*keys, "_block"]).withColumnRenamed("_block", "bucket"), keys)
+
+
+def _stitched(rows: DataFrame, keys: list[str]) -> DataFrame:
     between = F.col("first_ns") - F.lag("last_ns").over(Window.partitionBy(*keys).orderBy("bucket"))
     rows = rows.withColumn("between", F.when(between >= 0, between))
     wide = F.col("between").cast("decimal(19,0)")

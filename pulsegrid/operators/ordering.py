@@ -14,13 +14,22 @@ from pulsegrid.operators.keys import join
 BLOCK = 65_536
 
 
+#: Rows without a number stand in blocks of their values: of an hour, if these are times.
+UNNUMBERED_BLOCK = 3_600_000_000_000
+
+
 def with_max_before(rows: DataFrame, keys: list[str], value: str, order: str, name: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` with the largest ``value`` of all earlier rows of the keys, by ``order`` (an integer column, nulls first)."""
-    rows = rows.withColumn("_block", F.floor(F.col(order) / F.lit(block).cast("decimal(20,0)")).cast("bigint"))
-    blocks = rows.groupBy(*keys, "_block").agg(F.max(value).alias("_m"))
-    earlier = blocks.withColumn("_before", F.max("_m").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
-    inside = F.max(value).over(Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return join(rows.withColumn("_in", inside), earlier, [*keys, "_block"]).withColumn(name, F.greatest("_in", "_before")).drop("_block", "_in", "_before")
+    """``rows`` with the largest ``value`` of all earlier rows of the keys, by ``order`` (an integer column), then by value.
+
+    Rows without a number come first, in the order of their values.
+    """
+    at = lambda c, n: F.floor(F.col(c) / F.lit(n).cast("decimal(20,0)")).cast("bigint")
+    rows = rows.withColumn("_numbered", F.col(order).isNotNull()).withColumn("_block", F.when(F.col("_numbered"), at(order, block)).otherwise(at(value, UNNUMBERED_BLOCK)))
+    of = [*keys, "_numbered", "_block"]
+    blocks = rows.groupBy(*of).agg(F.max(value).alias("_m"))
+    earlier = blocks.withColumn("_before", F.max("_m").over(Window.partitionBy(*keys).orderBy("_numbered", "_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    inside = F.max(value).over(Window.partitionBy(*of).orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1))
+    return join(rows.withColumn("_in", inside), earlier, of).withColumn(name, F.greatest("_in", "_before")).drop("_numbered", "_block", "_in", "_before")
 
 
 def with_previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], block: int = BLOCK) -> DataFrame:
@@ -37,7 +46,8 @@ def with_previous(rows: DataFrame, keys: list[str], order: str, columns: list[st
 def disorder(messages: DataFrame, lateness_ns: int) -> DataFrame:
     """Messages with ``late`` (before the run's largest time so far less the lateness) and ``out_of_order`` (before the topic's largest accepted time).
 
-    Messages without an arrival number count as the first ones; null runs and topics are runs and topics of their own.
+    Messages without an arrival number count as the first ones, in the order of their times, and so do those of one
+    number among themselves; null runs and topics are runs and topics of their own.
     """
     rows = with_max_before(messages, ["run_id"], "log_time_ns", "arrival_seq", "run_max_ns")
     rows = rows.withColumn("late", F.coalesce(F.col("log_time_ns") < F.col("run_max_ns") - lateness_ns, F.lit(False)))
@@ -92,11 +102,11 @@ def tail_agrees(events: DataFrame, offset: str) -> DataFrame:
 
 
 def end_to_end(messages: DataFrame, gap_ns: int, segment: str = "run_id") -> DataFrame:
-    """Segments shifted in time so that each starts ``gap_ns`` after the one before ends; there is one row per segment to sum over."""
+    """Segments (a null one first) shifted in time so that each starts ``gap_ns`` after the one before ends; there is one row per segment to sum over."""
     spans = messages.groupBy(segment).agg(F.min("log_time_ns").alias("_first"), (F.max("log_time_ns") - F.min("log_time_ns")).alias("_span"))
     before = F.coalesce(F.sum(F.col("_span") + gap_ns).over(Window.orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = spans.select(segment, (before - F.col("_first")).alias("shift_ns"))
-    return messages.join(shifts, segment).withColumn("log_time_ns", F.col("log_time_ns") + F.col("shift_ns"))
+    return join(messages, shifts, [segment]).withColumn("log_time_ns", F.col("log_time_ns") + F.col("shift_ns"))
 
 
 def regressions(messages: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,27 +93,57 @@ def policy_violations(subjects: DataFrame) -> DataFrame:
     return subjects.select("subject_id", F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()])).alias("violations"))
 
 
-def unrooted(rows: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
-    """The rows (keys, node) from which no path of parents ends, within their keys: those on a cycle and those above one.
+def _endless(up: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes (keys, node) whose path never ends, if each node has one row (keys, node, at); ``at`` is null at an end.
 
     Each round doubles the length of known paths and is written to the shared folder, so the plan stays flat; a chain
-    of n rows takes log2(n) rounds. It ends when no row's path ends that hadn't before.
+    of n rows takes log2(n) rounds. It ends when no path ends that hadn't before.
     """
-    up = rows.select(*keys, F.col(node).alias("node"), F.col(parent).alias("at"))
     last = None
     while True:
         up = stored(up.where("at is not null"), "paths")
         left = up.count()
         if left == last or left == 0:
-            return up.select(*keys, F.col("node").alias(node)).distinct()
+            return up.select(*keys, "node")
         last = left
         step = up.select(*keys, F.col("node").alias("at"), F.col("at").alias("next"))
         up = join(up, step, [*keys, "at"], "left").select(*keys, "node", F.col("next").alias("at"))
 
 
+def unrooted(rows: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
+    """The distinct (keys, node) from which no path of parents ends, within their keys: those on a cycle and those above one.
+
+    Repeated rows count once. Where rows give a node several parents, one is followed at a time, so what is held is a
+    row a node: those that lead nowhere are tried again with a parent that has been found to end, until none has one.
+    """
+    edges = stored(rows.select(*keys, F.col(node).alias("node"), F.col(parent).alias("at")).distinct(), "edges")
+    nodes = edges.select(*keys, F.col("node").alias("at")).distinct().withColumn("_node", F.lit(True))
+    # a parent that is no node ends a path as none does
+    ends = join(edges.where("at is not null"), nodes, [*keys, "at"], "left").select(*keys, "node", F.when(F.col("_node"), F.col("at")).alias("at"))
+    edges = stored(ends.union(edges.where("at is null").select(*keys, "node", "at")), "edges")
+    left = edges
+    while True:
+        # nulls, which are ends, first
+        chosen = left.groupBy(*keys, "node").agg(F.min(F.struct(F.col("at").isNotNull(), "at")).alias("m"), F.count(F.lit(1)).alias("parents")).select(*keys, "node", "m.at", "parents")
+        endless = stored(join(_endless(chosen.drop("parents"), keys), chosen.select(*keys, "node", "parents"), [*keys, "node"]), "endless")
+        several = endless.where("parents > 1")
+        if not several.head(1):
+            return endless.select(*keys, F.col("node").alias(node))
+        still = endless.select(*keys, "node", F.lit(True).alias("_endless"))
+        own = join(left, endless.select(*keys, "node"), [*keys, "node"])
+        known = join(own, still.withColumnsRenamed({"node": "at"}), [*keys, "at"], "left")
+        after = stored(known.select(*keys, "node", F.when(F.col("_endless"), F.col("at")).alias("at")), "edges")
+        if not after.where("at is null").head(1):
+            return endless.select(*keys, F.col("node").alias(node))
+        left = after
+
+
 def lineage(revisions: DataFrame) -> DataFrame:
-    """Codes per baseline of its revision tree: roots, unknown parents, revisions that no root leads to (a cycle)."""
-    r = revisions.select("baseline_id", "revision_id", "parent_revision_id")
+    """Codes per baseline of its revision tree: roots, unknown parents, revisions that no root leads to (a cycle).
+
+    Rows that say the same count once; ``audit.duplicates`` lists repeated ids.
+    """
+    r = revisions.select("baseline_id", "revision_id", "parent_revision_id").distinct()
     known = r.select("baseline_id", F.col("revision_id").alias("parent_revision_id"))
     unknown = r.where("parent_revision_id is not null").join(known, ["baseline_id", "parent_revision_id"], "left_anti")
     cyclic = unrooted(r, ["baseline_id"], "revision_id", "parent_revision_id").groupBy("baseline_id").agg(F.count(F.lit(1)).alias("unreachable"))
@@ -140,9 +170,9 @@ def review_chains(reviews: DataFrame) -> DataFrame:
     """Per subject: the effective review, the one that none supersedes, and codes of broken chains.
 
     ``reviews``: review_id, subject, supersedes_review_id. A chain has one root, one terminal, no fork, no cycle and no
-    link to itself, to an unknown review or to another subject's. Without any code the terminal is the effective one.
+    link to itself, to an unknown review or to another subject's. Rows that say the same count once. Without any code the terminal is the effective one.
     """
-    r = reviews.select("review_id", "subject", "supersedes_review_id")
+    r = reviews.select("review_id", "subject", "supersedes_review_id").distinct()
     linked = r.where("supersedes_review_id is not null")
     superseded = linked.select(F.col("supersedes_review_id").alias("review_id")).distinct()
     terminal = r.join(superseded, "review_id", "left_anti").groupBy("subject").agg(F.count(F.lit(1)).alias("terminals"), F.max("review_id").alias("terminal"))

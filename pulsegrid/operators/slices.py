@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.keys import join
+
 RAW_SUFFIXES = r"\.(bag|db3|mcap|sqlite3)$"
 
 
@@ -110,11 +112,11 @@ def shareable(profile: DataFrame) -> DataFrame:
 def evidence_window(messages: DataFrame, windows: DataFrame, span_ns: int) -> DataFrame:
     """Count, ratio, active and silent span of each stated window (window_id, topic, start_ns, expected_count), all ``span_ns`` long and aligned.
 
-    Messages find their window by arithmetic; windows without messages stay.
+    Messages find their window by arithmetic; windows without messages stay; a null topic is one of its own.
     """
     seen = messages.select("topic", (F.floor(F.col("log_time_ns") / F.lit(span_ns).cast("decimal(20,0)")).cast("bigint") * span_ns).alias("start_ns"), "log_time_ns").groupBy("topic", "start_ns").agg(F.count(F.lit(1)).alias("n"), F.min("log_time_ns").alias("first_ns"), F.max("log_time_ns").alias("last_ns"))
     active = F.coalesce((F.col("last_ns") - F.col("first_ns")) / 1e9, F.lit(0.0))
-    return windows.join(seen, ["topic", "start_ns"], "left").select(
+    return join(windows, seen, ["topic", "start_ns"], "left").select(
         "window_id", "topic", "start_ns", F.coalesce("n", F.lit(0)).alias("observed_count"), "expected_count",
         F.when(F.col("expected_count") > 0, F.coalesce("n", F.lit(0)) / F.col("expected_count")).alias("count_ratio"),
         active.alias("active_span_sec"), F.greatest(F.lit(0.0), F.lit(span_ns / 1e9) - active).alias("silent_span_sec"), "first_ns", "last_ns",

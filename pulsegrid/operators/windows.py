@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalar import baseline_score, count_ratio, irregularity
-from pulsegrid.operators.gaps import bucket_rows, gap_stats, integer_jitter, integer_mean, stitched
+from pulsegrid.operators.gaps import STITCHED, bucket_rows, gap_stats, integer_jitter, integer_mean, stitched
 from pulsegrid.operators.keys import join, join_summary
-from pulsegrid.operators.ordering import with_max_before
+from pulsegrid.operators.ordering import with_max_before, with_previous
 from pulsegrid.shared import stored
 
 RUN, TOPIC = ["run_id"], ["run_id", "topic"]
@@ -33,15 +33,18 @@ def expected_counts(windows: DataFrame, window_sec: float, metadata: DataFrame |
 
     ``metadata`` (topic, sensor_category, expected_hz) has a row per topic; Spark sends it if it is small.
     """
-    over = Window.partitionBy(*TOPIC)
     if mode == "first_window":
-        own = F.first("count").over(over.orderBy("window"))
+        own = windows.groupBy(*TOPIC).agg(F.min_by("count", "window").alias("_own"))
     else:
-        own = F.percentile("count", 0.5).over(over).cast("bigint")
+        middle = selected(windows, TOPIC, ["count"], lambda n: F.floor((n - 1) / 2)).withColumnRenamed("count", "_low")
+        middle = join(middle, selected(windows, TOPIC, ["count"], lambda n: F.floor(n / 2)).withColumnRenamed("count", "_high"), TOPIC)
+        own = middle.select(*TOPIC, ((F.col("_low") + F.col("_high")) / 2).cast("bigint").alias("_own"))
+    windows = join_summary(windows, own, TOPIC)  # a row a topic
+    own = F.col("_own")
     if metadata is None:
-        return windows.withColumn("expected_count", own)
+        return windows.withColumn("expected_count", own).drop("_own")
     joined = windows.join(metadata.select("topic", "sensor_category", "expected_hz"), "topic", "left").withColumn("sensor_category", F.coalesce("sensor_category", F.lit("unknown")))
-    return joined.withColumn("expected_count", F.when(F.col("expected_hz").isNotNull(), F.greatest(F.lit(1), F.bround(F.col("expected_hz") * window_sec).cast("bigint"))).otherwise(own))
+    return joined.withColumn("expected_count", F.when(F.col("expected_hz").isNotNull(), F.greatest(F.lit(1), F.bround(F.col("expected_hz") * window_sec).cast("bigint"))).otherwise(own)).drop("_own")
 
 
 def run_profile(windows: DataFrame) -> DataFrame:
@@ -57,8 +60,8 @@ def run_profile(windows: DataFrame) -> DataFrame:
 
 def missing_intervals(windows: DataFrame) -> DataFrame:
     """Neighbouring observed windows with others between: gap, first missing id, next id, how many; empty ones are never made."""
-    over = Window.partitionBy(*TOPIC).orderBy("window")
-    rows = windows.select(*TOPIC, "window", "first_ns", "run_start_ns", F.lag("window").over(over).alias("before"), F.lag("last_ns").over(over).alias("previous_observed_ns"))
+    rows = with_previous(windows.select(*TOPIC, "window", "first_ns", "last_ns", "run_start_ns"), TOPIC, "window", ["window", "last_ns"], STITCHED)
+    rows = rows.withColumns({"before": F.col("previous.window"), "previous_observed_ns": F.col("previous.last_ns")})
     return rows.where(F.col("window") - F.col("before") > 1).select(
         *TOPIC, "run_start_ns", (F.col("first_ns") - F.col("previous_observed_ns")).alias("gap_ns"), (F.col("before") + 1).alias("first_missing"), F.col("window").alias("next_window"), (F.col("window") - F.col("before") - 1).alias("missing_window_count"), "previous_observed_ns", F.col("first_ns").alias("next_observed_ns"),
     )
@@ -126,24 +129,46 @@ def dense_windows(messages: DataFrame, bounds: DataFrame, window_ns: int, keys:
     return out.withColumn("duration_sec", (F.col("stop_ns") - F.col("start_ns")) / 1e9).withColumn("window_hz", F.col("count") / F.col("duration_sec"))
 
 
-def upper_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """``sorted[n // 2]`` of each of ``values`` (not negative) per keys, nulls left out.
+#: Cells that a range of values is cut into at a time, and distinct values of a cell that are put in order at once.
+CELLS = 4096
+
+
+def selected(rows: DataFrame, keys: list[str], values: list[str], rank) -> DataFrame:
+    """Of each of ``values`` the one at place ``rank(n)`` of its n sorted values per keys (from 0), nulls left out.
 
-    Equal values are counted first. Cells that keep the order, some thousands per group at most, then tell which of
-    them holds the median, and only that cell's values are put in order, so that no task holds a whole group.
+    Equal values are counted first. While the cell that holds the place has more than ``CELLS`` distinct values, the
+    range from its least to its largest value is cut into ``CELLS`` equal cells, which are counted; the cell that the
+    place is in is next. Its bounds are values of its own, so each round cuts it, whatever the values' distribution.
+    Only the last cell is put in order. No task holds a group, and the driver asks only whether a round is the last.
     """
     each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select(*keys, "x.name", "x.v").where("v is not null")
     of = [*keys, "name"]
-    counted = each.groupBy(*of, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor(F.log1p("v") * 64))
-    cells = counted.groupBy(*of, "cell").agg(F.sum("n").alias("cell_n"))
-    over = Window.partitionBy(*of).orderBy("cell")
-    cells = cells.withColumn("upto", F.sum("cell_n").over(over)).withColumn("rank", F.floor(F.sum("cell_n").over(Window.partitionBy(*of)) / 2))
-    hit = cells.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("cell_n") <= F.col("rank"))).select(*of, "cell", (F.col("rank") - F.col("upto") + F.col("cell_n")).alias("left"))
-    inside = join(counted, hit, [*of, "cell"]).withColumn("upto", F.sum("n").over(Window.partitionBy(*of).orderBy("v")))
+    counted = stored(each.groupBy(*of, "v").agg(F.count(F.lit(1)).alias("n")), "counted-values")
+    cell_of = [F.sum("n").alias("cell_n"), F.count(F.lit(1)).alias("distinct"), F.min("v").alias("low"), F.max("v").alias("high")]
+    cell = stored(counted.groupBy(*of).agg(*cell_of).withColumn("left", rank(F.col("cell_n")).cast("bigint")).drop("cell_n"), "cells")
+    while True:
+        large = cell.where((F.col("distinct") > CELLS) & (F.col("low") < F.col("high")))
+        if not large.head(1):
+            break
+        inside = join_summary(counted, large, of).where("v between low and high")
+        # halves, as the range of all doubles is beyond the largest one
+        part = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * CELLS), F.lit(CELLS - 1))
+        cut = inside.select(*of, "v", "n", "left", part.alias("cell")).groupBy(*of, "left", "cell").agg(*cell_of)
+        over = Window.partitionBy(*of).orderBy("cell")  # CELLS rows at most
+        cut = cut.withColumn("upto", F.sum("cell_n").over(over)).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("cell_n") <= F.col("left")))
+        cut = cut.select(*of, "distinct", "low", "high", (F.col("left") - F.col("upto") + F.col("cell_n")).alias("left"))
+        small = cell.where(~((F.col("distinct") > CELLS) & (F.col("low") < F.col("high"))))
+        cell = stored(small.select(*of, "distinct", "low", "high", "left").unionByName(cut), "cells")
+    inside = join_summary(counted, cell, of).where("v between low and high").withColumn("upto", F.sum("n").over(Window.partitionBy(*of).orderBy("v")))
     found = inside.where(F.col("upto") > F.col("left")).groupBy(*of).agg(F.min("v").alias("v"))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == v, F.col("v"))).alias(v) for v in values])
 
 
+def upper_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``sorted[n // 2]`` of each of ``values`` per keys, nulls left out."""
+    return selected(rows, keys, values, lambda n: F.floor(n / 2))
+
+
 def baseline_medians(dense: DataFrame, keys: list[str]) -> DataFrame:
     """Upper medians of count, largest gap and jitter over windows with two messages or more."""
     found = upper_medians(dense.where("count >= 2"), keys, ["count", "max_gap_sec", "jitter_sec"])
@@ -156,7 +181,7 @@ def full_windows(dense: DataFrame, window_sec: float) -> DataFrame:
 
 def baseline_ranking(dense: DataFrame, window_sec: float, k: int, keys: list[str]) -> DataFrame:
     """Full windows by their distance from the group's medians, the ``k`` farthest."""
-    scored = full_windows(dense, window_sec).join(baseline_medians(dense, keys), keys).withColumn("score", baseline_score("count", "max_gap_sec", "jitter_sec", "base_count", "base_max_gap_sec", "base_jitter_sec"))
+    scored = join(full_windows(dense, window_sec), baseline_medians(dense, keys), keys).withColumn("score", baseline_score("count", "max_gap_sec", "jitter_sec", "base_count", "base_max_gap_sec", "base_jitter_sec"))
     return top_windows(scored, k, keys)
 
 

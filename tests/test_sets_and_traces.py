@@ -91,6 +91,40 @@ def test_lineage_of_a_long_chain_keeps_its_plan_flat(spark):
     assert (r.roots, r.revisions, r.unreachable, r.valid) == (1, 5000, 0, True)
 
 
+def test_repeated_rows_change_and_cost_nothing(spark, monkeypatch):
+    """A chain of a thousand, every row twice: the codes of the chain, in log rounds, each of a row a node at most."""
+    from pulsegrid.operators import reference_set as R
+
+    chain = spark.range(1000).selectExpr("'b' baseline_id", "id revision_id", "if(id > 0, id - 1, null) parent_revision_id")
+    kept, sizes = R.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(R, "stored", counted)
+    assert R.lineage(chain.union(chain)).collect() == R.lineage(chain).collect()
+    assert max(n for _, n in sizes) <= 1000 and len(sizes) < 40
+    reviews = chain.selectExpr("revision_id review_id", "'s' subject", "parent_revision_id supersedes_review_id")
+    (row,) = R.review_chains(reviews.union(reviews)).collect()
+    assert (row.effective_review_id, row.violations) == (999, [])
+
+
+def test_unrooted_equals_search_by_hand(spark):
+    """Random graphs in which a node has several rows, of several parents, null and unknown ones too."""
+    import random
+
+    r = random.Random(4)
+    for n in (4, 8, 30):
+        rows = [(k, r.randrange(n), r.choice([None, *range(n), n + 5] if r.random() < 0.15 else list(range(n)))) for k in ("a", None) for _ in range(2 * n)]
+        rooted = {(k, i) for k, i, p in rows if p is None or (k, p) not in {(a, b) for a, b, _ in rows}}
+        while more := {(k, i) for k, i, p in rows if (k, p) in rooted} - rooted:
+            rooted |= more
+        got = [(x.k, x.i) for x in reference_set.unrooted(spark.createDataFrame(rows, "k string, i int, p int"), ["k"], "i", "p").collect()]
+        assert sorted(got, key=str) == sorted({(k, i) for k, i, _ in rows} - rooted, key=str)
+
+
 def test_append_batches(spark):
     schema = "event_id string, sequence_index bigint, event_hash string, prev_event_hash string, at bigint"
     tail = spark.createDataFrame([(2, "h2")], "last_indexed_seq bigint, last_event_hash string")

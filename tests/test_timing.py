@@ -145,6 +145,65 @@ def test_medians_equal_sorting(spark):
         assert got[k] == tuple(sorted(x[i] for x in mine)[len(mine) // 2] for i in (1, 2))
 
 
+def test_selection_holds_no_group(spark, monkeypatch):
+    """Many distinct values of all sizes, most of them close together: the right ones, from small cells only."""
+    import random
+
+    monkeypatch.setattr(windows, "CELLS", 16)
+    r = random.Random(6)
+    values = [r.choice([1, -1]) * r.random() * 10 ** r.choice([-300, -12, -12, -12, 0, 9, 300]) for _ in range(3000)] + [0.0, -1.7e308, 1.7e308, None] + [5e-13] * 40
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None)], "k string, v double")
+    mine = sorted(v for v in values if v is not None)
+    for rank in (lambda n: F.lit(0), lambda n: F.floor(n / 3), lambda n: F.floor(n / 2), lambda n: n - 1):
+        n = spark.range(1).select(rank(F.lit(len(mine))).alias("i")).first().i
+        assert [(x.k, x.v) for x in windows.selected(df, ["k"], ["v"], rank).collect()] == [("a", mine[n])]
+    counts = spark.createDataFrame([("r", "t", i, c) for i, c in enumerate([5, 9, 1, 4])] + [(None, "u", 3, 8), (None, "u", 1, 6)], "run_id string, topic string, window bigint, count bigint")
+    assert {(x.topic, x.expected_count) for x in windows.expected_counts(counts, 1.0, mode="median").collect()} == {("t", 4), ("u", 7)}
+    assert {(x.topic, x.expected_count) for x in windows.expected_counts(counts, 1.0).collect()} == {("t", 5), ("u", 6)}
+
+
+def test_windows_of_one_topic_in_blocks(spark, monkeypatch):
+    """Profiles and missing intervals don't depend on how many windows a group stitches."""
+    import random
+
+    from pulsegrid.operators import gaps
+
+    r = random.Random(8)
+    times = sorted(r.sample(range(0, 40_000), 900) + [10**6, 10**6 + 1])
+    m = spark.createDataFrame([(run, "t", t, i) for run in ("a", None) for i, t in enumerate(times)], "run_id string, topic string, log_time_ns bigint, arrival_seq bigint")
+    w = windows.observed_windows(m, 10)
+    both = lambda: (sorted(map(tuple, windows.missing_intervals(w).collect()), key=str), sorted(map(tuple, windows.run_profile(w).collect()), key=str))
+    want = both()
+    monkeypatch.setattr(windows, "STITCHED", 7)
+    monkeypatch.setattr(gaps.stitched, "__defaults__", (7,))
+    assert both() == want and len(want[0]) > 500
+    mine = [b - a for a, b in zip(times, times[1:])]
+    assert {(x[0], x[2], x[7]) for x in want[1]} == {(k, len(times), max(mine)) for k in ("a", None)}
+
+
+def test_null_runs_and_equal_arrivals(spark):
+    rows = [(None, "a", 5, 1), (None, "a", 9, 2), ("x", "a", 3, 3), ("x", None, 4, 4)]
+    m = spark.createDataFrame(rows, "run_id string, topic string, log_time_ns bigint, arrival_seq bigint")
+    got = [(x.run_id, x.log_time_ns) for x in ordering.end_to_end(m, 10).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0), (None, 4), ("x", 14), ("x", 15)], key=str)
+    # equal numbers count in the order of their times, and so do rows without one, which come first
+    times = [(50, 1), (10, 1), (30, 1), (20, 2), (5 * 10**12, None), (3, None), (9 * 10**12, None)]
+    df = spark.createDataFrame([("r", "t", t, a) for t, a in times], "run_id string, topic string, log_time_ns bigint, arrival_seq bigint")
+    found = {x.log_time_ns: (x.late, x.out_of_order) for x in ordering.disorder(df.orderBy(F.rand(1)), 10**13).collect()}
+    assert found == {t: (False, t < 100 and t != 3) for t, _ in times}
+
+
+def test_ranking_of_null_topics(spark):
+    m = spark.createDataFrame([(None, i * 50_000_000 + (i % 7) * 1000, i) for i in range(200)], "topic string, log_time_ns bigint, arrival_seq bigint")
+    bounds = spark.createDataFrame([(None, 0, 10**10)], "topic string, start_ns bigint, end_ns bigint")
+    dense = windows.dense_windows(m, bounds, 10**9, ["topic"])
+    assert windows.baseline_ranking(dense, 1.0, 3, ["topic"]).count() == 3
+    from pulsegrid.operators import slices
+
+    q = spark.createDataFrame([("w", None, 0, 20)], "window_id string, topic string, start_ns bigint, expected_count int")
+    assert slices.evidence_window(m, q, 10**9).first().observed_count == 20
+
+
 def test_grid_of_many_windows(spark):
     bounds = spark.createDataFrame([("a", 5, 100_005), ("b", 0, 7), ("c", 3, 3)], "k string, start_ns bigint, end_ns bigint")
     got = windows.grid(bounds, 3, ["k"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("start_ns").alias("a"), F.max("stop_ns").alias("z")).collect()
