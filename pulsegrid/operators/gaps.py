@@ -14,16 +14,19 @@ from pulsegrid.functions.scalar import big, floor_div, isqrt
 BUCKET_NS = 3_600_000_000_000
 
 
-def bucket_rows(messages: DataFrame, keys: list[str], bucket: Column, time: str = "log_time_ns", order: list[str] | None = None) -> DataFrame:
+def bucket_rows(messages: DataFrame, keys: list[str], bucket: Column, time: str = "log_time_ns", order: list[str] | None = None, arrivals: bool = False) -> DataFrame:
     """One row per keys and bucket: count, first and last time, and number, sum, sum of squares and maximum of its gaps.
 
-    Gaps are taken in ``order``; one against the order of time is left out.
+    Gaps are taken in ``order``; one against the order of time is left out. With ``arrivals`` also the times of the
+    first and the last one in that order.
     """
     order = order or [time]
     rows = messages.select(*keys, F.col(time).alias("t"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], bucket.alias("bucket"))
     gap = F.col("t") - F.lag("t").over(Window.partitionBy(*keys, "bucket").orderBy(*[f"_o{i}" for i in range(len(order))]))
     rows = rows.withColumn("gap", F.when(gap >= 0, gap))
+    place = F.struct(*[f"_o{i}" for i in range(len(order))])
     return rows.groupBy(*keys, "bucket").agg(
+        *([F.min_by("t", place).alias("first_arrival_ns"), F.max_by("t", place).alias("last_arrival_ns")] if arrivals else []),
         F.count(F.lit(1)).alias("count"),
         F.min("t").alias("first_ns"),
         F.max("t").alias("last_ns"),

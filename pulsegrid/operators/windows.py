@@ -72,18 +72,26 @@ def top_missing(intervals: DataFrame, k: int) -> DataFrame:
     return intervals.withColumn("rank", F.row_number().over(Window.partitionBy(*TOPIC).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def evidence(windows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Observed windows and missing intervals in one shape, with score; ``windows`` needs expected_count."""
-    seen = windows.select(
+def observed_evidence(windows: DataFrame) -> DataFrame:
+    """Observed windows with their score; they need expected_count."""
+    return windows.select(
         *TOPIC, "window", "count", "expected_count", count_ratio("count", "expected_count").alias("count_ratio"), F.col("gap_max").alias("max_gap_ns"), "jitter_ns", irregularity("count", "expected_count", "gap_max", "jitter_ns").alias("score"),
         F.lit("observed_window").alias("evidence_kind"), F.lit(0).cast("bigint").alias("missing_window_count"), F.lit(None).cast("bigint").alias("previous_observed_ns"), F.lit(None).cast("bigint").alias("next_observed_ns"),
     )
-    expected = windows.groupBy(*TOPIC).agg(F.max("expected_count").alias("expected_count"))
-    gone = join(intervals, expected, TOPIC).select(
+
+
+def missing_evidence(intervals: DataFrame, expected: DataFrame) -> DataFrame:
+    """Missing intervals with their score, in the shape of observed windows; ``expected`` has a row per topic."""
+    return join(intervals, expected, TOPIC).select(
         *TOPIC, F.col("first_missing").alias("window"), F.lit(0).cast("bigint").alias("count"), "expected_count", count_ratio(F.lit(0), "expected_count").alias("count_ratio"), F.col("gap_ns").alias("max_gap_ns"), F.lit(0).cast("bigint").alias("jitter_ns"), irregularity(F.lit(0), "expected_count", "gap_ns", F.lit(0)).alias("score"),
         F.lit("sparse_missing_interval").alias("evidence_kind"), "missing_window_count", "previous_observed_ns", "next_observed_ns",
     )
-    return seen.unionByName(gone)
+
+
+def evidence(windows: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Observed windows and missing intervals in one shape, with score; ``windows`` needs expected_count."""
+    expected = windows.groupBy(*TOPIC).agg(F.max("expected_count").alias("expected_count"))
+    return observed_evidence(windows).unionByName(missing_evidence(intervals, expected))
 
 
 def top_windows(pooled: DataFrame, k: int, keys: list[str] | None = None, score: str = "score", window: str = "window") -> DataFrame:

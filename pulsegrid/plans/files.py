@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from pulsegrid import schema
 from pulsegrid.operators import audit, gate, windows
-from pulsegrid.plans.queries import DAY0, HOUR, M, SQL, W, events, gap_sql, messages, query, trace_events, window_sql  # noqa: F401
+from pulsegrid.plans.queries import DAY0, DIS, HOUR, M, SQL, W, events, gap_sql, messages, query, rounded, trace_events, window_sql
 from pulsegrid.shared import scratch, write_files
 from pulsegrid.sources import mcap, tables
 from pulsegrid.streaming import jobs
+from pulsegrid.streaming.index import TraceIndex, in_file_order
+from pulsegrid.streaming.report import Report
+from pulsegrid.streaming.versions import Versions
 
 TRACE = ("event_id", "sequence_index", "trace_id", "ros_time", "event_type", "source_topic", "source_node", "event_hash", "prev_event_hash")
 
@@ -239,3 +242,80 @@ def append_ingest(spark, d):
 
     jobs.append_ingest(stream, tail, write, lambda broken, number: broken.write.mode("overwrite").parquet(f"{shared}/rejected/{number}"), f"{shared}/checkpoint", "byte_offset").awaitTermination()
     return spark.read.schema(cols).option("recursiveFileLookup", True).parquet(f"{shared}/events").select("event_id", "sequence_index", "event_hash", F.col("file").cast("bigint").alias("file"))
+
+
+def arrivals(spark: SparkSession, df: DataFrame, order: str, files: int, name: str, per_batch: int = 1) -> DataFrame:
+    """A stream of ``df``, laid down as files by ``order``, which it takes one or more a micro-batch."""
+    folder = scratch(spark, name)
+    size = df.agg(F.max(order)).first()[0] // files + 1
+    for k in range(files):  # read in the order of their times
+        df.where(F.floor(F.col(order) / size) == k).coalesce(1).write.parquet(f"{folder}/f{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).parquet(folder)
+
+
+def reported(spark: SparkSession, m: DataFrame, window_ns: int, k: int) -> Report:
+    """The report of a stream of messages in three micro-batches."""
+    folder = scratch(spark, "stream-report")
+    report = Report(Versions(spark, f"{folder}/tables"), window_ns, 2 * HOUR, k)
+    report.run(arrivals(spark, m.select("run_id", "topic", "log_time_ns", "arrival_seq"), "arrival_seq", 3, "arrivals"), f"{folder}/checkpoint").awaitTermination()
+    return report
+
+
+@query(SQL["top_evidence"])
+def stream_top_evidence(spark, d):
+    """ST3, ST1, T1, T2: top windows and missing intervals kept in the state of a stream, at its end those of the batch."""
+    ranked = rounded(reported(spark, messages(spark, d), HOUR, 5).finish()[1], "count_ratio", "score")
+    return ranked.select("run_id", "topic", "window", "count", "expected_count", "count_ratio", "max_gap_ns", "jitter_ns", "score", "evidence_kind", "missing_window_count", "rank")
+
+
+@query(f"WITH {DIS}, s AS (SELECT run_id, min_by(t, a) AS s FROM r2 GROUP BY 1) SELECT run_id, topic, count(*) AS received, count(*) FILTER (late) AS late_count, count(*) FILTER (ooo) AS out_of_order_count, count(*) FILTER (NOT late AND t < s) AS before_start_count FROM r2 JOIN s USING (run_id) GROUP BY 1, 2")
+def stream_disorder(spark, d):
+    """ST2, W4, W5: late rows of a stream against the run's largest time, whatever its micro-batches."""
+    return reported(spark, schema.disordered(messages(spark, d)), 6 * HOUR, 1).counts()
+
+
+#: Kinds, names and numbers of an index of events with gaps.
+INDEX = """WITH e AS (SELECT event_id AS i, lag(event_id) OVER (ORDER BY event_id) AS p, event_type, '/' || event_type AS source_topic, 'n' || (user_id % 3) AS source_node FROM events WHERE event_id % 11 NOT IN (3, 4))
+SELECT 'gap' AS kind, p || '-' || i AS name, i - p - 1 AS n FROM e WHERE i - p > 1 UNION ALL SELECT 'events', 'all', count(*) FROM e
+UNION ALL SELECT 'event_type', event_type, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'source_topic', source_topic, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'source_node', source_node, count(*) FROM e GROUP BY 2
+UNION ALL SELECT 'clock_domain', 'ROS', count(*) FROM e UNION ALL SELECT 'time_source', 'LOG', count(*) FROM e"""
+
+
+def with_jumps(spark: SparkSession, d: str) -> DataFrame:
+    """Trace events without some numbers, dealt to six files."""
+    e = trace_events(spark, d).where("sequence_index % 11 not in (3, 4)")
+    return e.withColumns({"byte_offset": F.col("sequence_index") * 200, "file": F.floor(F.col("sequence_index") / 500).cast("string")}).withColumn("file", F.lpad("file", 9, "0"))
+
+
+def index_rows(e: DataFrame, gaps: DataFrame, counts: DataFrame) -> DataFrame:
+    """An index's three tables in one shape."""
+    gap = gaps.select(F.lit("gap").alias("kind"), F.concat(F.col("prev_sequence").cast("string"), F.lit("-"), F.col("next_sequence").cast("string")).alias("name"), F.col("gap_size").alias("n"))
+    return gap.union(e.agg(F.lit("events").alias("kind"), F.lit("all").alias("name"), F.count(F.lit(1)).alias("n")).select("kind", "name", "n")).union(counts.select("category", "name", "n"))
+
+
+@query(INDEX)
+def trace_index_tables(spark, d):
+    """Events, gaps and counts of an index, written, then read back."""
+    folder = scratch(spark, "index")
+    tables.write_index(in_file_order(with_jumps(spark, d), "file", "byte_offset", "at"), folder, 8, "at")
+    return index_rows(*(spark.read.parquet(f"{folder}/{name}") for name in ("events", "gaps", "counts")))
+
+
+@query(INDEX)
+def append_index(spark, d):
+    """ST6: the three tables kept up to date by appended files, several a micro-batch; jumps at their seams too."""
+    folder, e = scratch(spark, "append-index"), with_jumps(spark, d)
+    index = TraceIndex(Versions(spark, f"{folder}/tables"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema), strict=False)
+    index.run(arrivals(spark, e, "sequence_index", 4, "appended", 2), f"{folder}/checkpoint").awaitTermination()
+    return index_rows(index.events(), index.gaps(), index.counts())
+
+
+@query("SELECT event_type AS topic, CASE WHEN event_type < 'p' THEN 'stated' ELSE 'unknown' END AS sensor_category, CASE WHEN event_type < 'p' THEN count(*) / 2592000.0::DOUBLE END AS expected_hz FROM events GROUP BY 1")
+def topic_metadata_file(spark, d):
+    """topics' stated rates from a JSON file, with what it leaves out."""
+    folder = scratch(spark, "metadata")
+    n = messages(spark, d).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.when(F.col("topic") < "p", F.struct(F.lit("stated").alias("sensor_category"), (F.col("n") / 2_592_000.0).alias("expected_hz"))).otherwise(F.struct(F.lit(None).cast("string").alias("sensor_category"), F.lit(None).cast("double").alias("expected_hz")))
+    content = F.to_json(F.map_from_entries(F.collect_list(F.struct("topic", entry))))  # a row a topic
+    write_files(n.agg(content.alias("content")).select(F.lit("topics.json").alias("name"), "content"), folder)
+    return tables.topic_metadata(spark, folder)

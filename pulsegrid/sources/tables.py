@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ordering import sequence_gaps
+from pulsegrid.operators.trace import category_counts
 from pulsegrid.schema import TOPIC_METADATA, TRACE_EVENTS
 
 #: What the full scan puts where a field is missing. Fixed values.
@@ -107,5 +109,23 @@ def write_trace_index(events: DataFrame, folder: str, files: int) -> None:
     events.repartitionByRange(files, "sequence_index").sortWithinPartitions("sequence_index").write.mode("overwrite").parquet(folder)
 
 
+def write_index(events: DataFrame, folder: str, files: int, order: str) -> dict[str, int]:
+    """Events, gaps and counts of a trace index, as tables below ``folder``; gives its totals.
+
+    ``events`` (with ``order``, an integer that tells where a row stands) is read and sorted once, and its totals are
+    taken while it is written; gaps and counts are made of the few columns of what was written that they need.
+    """
+    seen = Observation("trace-index")
+    broken = F.count_if(F.col("_bad").isNotNull() if "_bad" in events.columns else F.lit(False))
+    ordered = events.repartitionByRange(files, "sequence_index").sortWithinPartitions("sequence_index")
+    # behind the shuffle, whose bounds take a look at all rows of their own
+    counted = ordered.observe(seen, F.count(F.lit(1)).alias("events"), broken.alias("bad"), F.min("ros_time").alias("min_ros_time"), F.max("ros_time").alias("max_ros_time"))
+    counted.write.mode("overwrite").parquet(f"{folder}/events")
+    written = events.sparkSession.read.schema(events.schema).parquet(f"{folder}/events")
+    sequence_gaps(written, order).write.mode("overwrite").parquet(f"{folder}/gaps")
+    category_counts(written).write.mode("overwrite").parquet(f"{folder}/counts")
+    return seen.get
+
+
 def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
