@@ -5,7 +5,9 @@ piece of a fixed public vocabulary; a word's likelihood is the sum over all ways
 of their probabilities, which the forward algorithm gives. Characters outside the vocabulary count the same in all
 languages. The probabilities are fitted by expectation maximisation, whose expected piece counts come from the same
 sums, on the words of a bounded sample of training rows: about ``SAMPLE_DOCS`` documents a language, picked by a hash of
-doc_id, and of these the ``TRAIN_WORDS`` most frequent words.
+doc_id, and of these the ``TRAIN_WORDS`` most frequent words. Languages are fitted apart, each by a task; all of them are
+learnt. Up to ``HELD_LANGS`` go to every task at once; any further ones lie in the shared folder in blocks of so many,
+which tasks read one after the other for each group of texts.
 
 Only text and lang of rows whose crc32(doc_id) mod 5 isn't 0 are learnt from. A null text, or one without a letter, is
 ``und`` with score 0; so is every text if there is nothing to learn from. Numerals such as ½ or Ⅷ are no letters. Ties
@@ -15,10 +17,12 @@ judged one by one; other columns aren't looked at, whatever their names; an empt
 
 from __future__ import annotations
 
+import io
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -28,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_chars, give_back, held_out, trimmed
+from pulsegrid.llm.common import by_chars, give_back, held_out, scratch, stored, trimmed
+from pulsegrid.shared import opened, write_files
 
 SAMPLE_DOCS = 1500
 TRAIN_WORDS = 12_000
@@ -53,8 +58,8 @@ def words_of(text: str) -> list[str]:
 
 
 LONG = 40
-#: Languages that are learnt: the most frequent ones, so that the model's size has a bound.
-MOST_LANGS = 256
+#: Languages whose probabilities a task holds at a time (8 bytes a piece and language).
+HELD_LANGS = 256
 
 
 def vocabulary(path: str) -> list[str]:
@@ -149,14 +154,42 @@ def fit(word_counts: dict[str, dict[str, float]], pieces: list[str], rounds: int
     return sorted(word_counts), np.array(out).T if out else np.zeros((v + 1, 0))
 
 
-def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, train_words: int = TRAIN_WORDS, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, piece probabilities and log priors, from the rows that aren't held out."""
+Block = tuple[list[str], np.ndarray, np.ndarray]
+
+
+@dataclass
+class Model:
+    """Languages, piece probabilities and log priors, in blocks: the only one, or files of a folder."""
+
+    pieces: list[str]
+    blocks: int
+    only: Block | None = None
+    folder: str = ""
+
+    def block(self, k: int) -> Block:
+        if self.only is not None:
+            return self.only
+        system, path = opened(self.folder)
+        with system.open_input_file(f"{path}/{k}.npz") as f, np.load(io.BytesIO(f.read())) as held:
+            return held["langs"].tolist(), held["p"], held["prior"]
+
+
+def _block(langs: list[str], p: list[bytes | None], n: list[int], total: int, pieces: int) -> Block:
+    even = np.array([1.0 / pieces] * pieces + [UNKNOWN])  # no word of its sample was counted
+    table = np.array([even if x is None else np.frombuffer(x) for x in p]).reshape(len(langs), pieces + 1)
+    return langs, table.T, np.log(np.array(n, float) / total)
+
+
+def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, train_words: int = TRAIN_WORDS, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", held_langs: int = HELD_LANGS) -> Model:
+    """A model of the rows that aren't held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
-    if not sizes:
-        return [], np.zeros((len(pieces) + 1, 0)), np.zeros(0)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, math.ceil(1_000_003 * min(1.0, sample_docs / n)))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # a row a language
+    sizes = stored(sizes.withColumn("block", F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / held_langs).cast("int")), "languages")
+    found = sizes.agg(F.sum("n").alias("total"), F.max("block").alias("last")).first()
+    if found.total is None:
+        return Model(pieces, 0)
+    picked = rows.join(sizes.select("lang", "n"), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.ceil(1_000_003 * F.least(F.lit(1.0), sample_docs / F.col("n"))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -165,14 +198,27 @@ def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, tr
                 seen.update((lang, w) for w in words_of(text))
             yield pd.DataFrame([(lang, w, n) for (lang, w), n in seen.items()], columns=["lang", "word", "n"])
 
+    def fitted(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        _, p = fit({key[0]: dict(zip(b.word, b.n.astype(float)))}, pieces)
+        return pd.DataFrame({"lang": [key[0]], "p": [np.ascontiguousarray(p[:, 0]).tobytes()]})
+
     counted = picked.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= train_words)
-    by: dict[str, dict[str, float]] = {lang: {} for lang in sizes}
-    for r in top.select("lang", "word", "n").toLocalIterator():
-        by[r["lang"]][r["word"]] = float(r["n"])
-    langs, p = fit(by, pieces)
-    prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
-    return langs, p, prior
+    models = sizes.join(top.orderBy("word").groupBy("lang").applyInPandas(fitted, "lang string, p binary"), "lang", "left")
+    total, size = found.total, len(pieces)
+    if found.last == 0:
+        own = sorted(models.collect(), key=lambda r: r["lang"])  # HELD_LANGS rows at most
+        return Model(pieces, 1, _block([r["lang"] for r in own], [r["p"] for r in own], [r["n"] for r in own], total, size))
+
+    def packed(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b, out = b.sort_values("lang"), io.BytesIO()
+        langs, p, prior = _block(b["lang"].tolist(), b.p.tolist(), b.n.tolist(), total, size)
+        np.savez(out, langs=np.array(langs), p=p, prior=prior)
+        return pd.DataFrame({"name": [f"{key[0]}.npz"], "content": [out.getvalue()]})
+
+    folder = scratch(docs.sparkSession, "language-model")
+    write_files(models.groupBy("block").applyInPandas(packed, "name string, content binary"), folder)
+    return Model(pieces, found.last + 1, None, folder)
 
 
 class Scorer:
@@ -217,8 +263,8 @@ class Scorer:
             self.logs[[k + j for j, _ in group]] = logs
         self.index.update(zip(words, range(k, k + len(words))))
 
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and posterior of each text; the new words of a group of texts are scored together."""
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float] | None]:
+        """The best language of each text that has words, its log likelihood, and the sum of all likelihoods over its own."""
         out, held, size = [], [], 0
         for i, text in enumerate(texts):
             held.append(words_of(text or "") if self.langs else [])
@@ -228,23 +274,37 @@ class Scorer:
                 self.learn(sorted(set().union(*held).difference(self.index)))
                 for words in held:
                     if not words:
-                        out.append(("und", 0.0))
+                        out.append(None)
                         continue
                     total = self.prior + self.logs[list(map(self.index.__getitem__, words))].sum(axis=0)
                     best = int(np.argmax(total))
-                    out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+                    out.append((self.langs[best], float(total[best]), float(np.exp(total - total[best]).sum())))
                 held, size = [], 0
         return out
 
 
-def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, prior: np.ndarray, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, lang_pred, score. The model (pieces by languages) goes to every task."""
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, langs, p, prior))
+def together(parts: list[list[tuple[str, float, float] | None]]) -> list[tuple[str, float]]:
+    """Language and posterior of each text from what each block of languages says of it."""
+    out = []
+    for own in zip(*parts):
+        if own[0] is None:
+            out.append(("und", 0.0))
+            continue
+        lang, best, _ = max(own, key=lambda x: x[1])  # the first one of equals
+        out.append((lang, 1 / sum(total * math.exp(top - best) for _, top, total in own)))
+    return out
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*sent.value)
+        model = sent.value
+        one = Scorer(model.pieces, *model.block(0)) if model.blocks == 1 else None
         for doc_ids, texts in by_chars(batches):
-            found = scorer.judge(texts)
+            parts = [one.judge(texts)] if one else [Scorer(model.pieces, *model.block(k)).judge(texts) for k in range(model.blocks)]
+            found = together(parts) if parts else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
         give_back()
 
@@ -256,4 +316,4 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
 def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Train on the rows that aren't held out, then judge all rows."""
     pieces = vocabulary(path or public_tokenizers.path("piece_bpe_32k.model"))
-    return predict(docs, pieces, *train(docs, pieces))
+    return predict(docs, train(docs, pieces))

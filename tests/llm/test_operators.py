@@ -387,6 +387,17 @@ def test_language(spark, odd, docs):
     assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(both).where("doc_id < 0").collect()} == {-1: True, -2: True, -3: True, -4: True, -5: False, -6: True, -7: True}
 
 
+def test_languages_in_blocks_are_those_at_once(docs):
+    """However many languages a task holds at a time; one that stands in a single row is learnt too."""
+    pieces = langid.vocabulary(langid.public_tokenizers.path("piece_bpe_32k.model"))
+    extra = docs.where("lang = 'en'").limit(1).selectExpr("1000001 doc_id", "'zyqx zyqx zyqxes zyqxed' text", "'zz' lang", "source", "n_chars")
+    both = docs.unionByName(extra)
+    once, parts = langid.train(both, pieces), langid.train(both, pieces, held_langs=2)
+    assert (once.blocks, parts.blocks) == (1, 3)
+    a, b = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predict(both, m).collect()} for m in (once, parts))
+    assert a == b and a[1000001][0] == "zz" and len({x for x, _ in a.values()}) == 5
+
+
 def test_words_are_runs_of_letters():
     r = random.Random(2)
     chars = "aéß½²Ⅷ①12_ ,中ǅ\u0301\U00010107\U00010400\U0001f642\u0660İ"
