@@ -3,8 +3,10 @@
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of its two
 neighbours, whether it is a heading or a list item, and, as further features, what the containers around it say: how
 far they name it the article (``main``: 2 by their tag, 1 by a name) and how far something else (``doubt``: 2 for menus,
-footers, comments and the like, 1 where only part of a name says so, or in forms). A tree over these, grown from the
-labelled blocks of the pages below, keeps or drops a block.
+footers, comments and the like, 1 where only part of a name says so, or in forms). A decision tree keeps or drops a
+block. Where nothing is named it sees counts, links and neighbours only; that side is grown from the labelled blocks
+without names. Named blocks, which may be as long as the article's, are judged by all features. If no block is kept, the
+page is a short one, and all its blocks that are neither links nor doubtful are kept.
 
 Scripts, styles, comments of the markup, titles and form fields hold no text at all. Character references are decoded,
 white space in a block becomes one space, kept blocks are joined by one space in page order. Unclosed and crossed tags
@@ -60,6 +62,8 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 SILENT_TAGS = re.compile(rf"<(/?)({'|'.join(sorted(SILENT))})(?=[\s/>])[^>]*+>", re.I)
 LONG_NUMBER = re.compile(r"&#(?:0*+([0-9]*+)|[xX]0*+([0-9a-fA-F]*+));?")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "main", "doubt")
+#: Those that no name gives.
+PLAIN = len(FEATURES) - 2
 
 
 def decoded(text: str) -> str:
@@ -296,14 +300,112 @@ PAGES = (
 )
 
 
+#: Further labelled pages, on which nothing is named, with sentences around the text, before a heading, behind its end.
+NAMELESS = (
+    '<body><div>-Accueil</div><div>-Actualités</div><div>-Nous écrire</div><p>+Le moulin fut construit par deux frères venus de la montagne avec leurs outils et une vieille mule.</p><p>+La rivière fut détournée trente ans plus tard, et depuis ce jour la roue ne tourne plus que pendant les crues.</p><p>+On y garde aujourd\'hui le foin, les charrettes et tout ce dont personne ne se sert au village.</p><div>-Recevez notre lettre gratuite chaque semaine.</div><div>-Tous droits réservés, 2021.</div></body>',
+    '<body><p>-Start</p><p>-Shop</p><p>-Help</p><h1>+The glass road</h1><p>+For two hundred years the glass of the valley was carried down to the sea on the backs of men and women.</p><p>+They walked by night, as the frost of the early morning made the stones of the road safe for those with loads.</p><p>-Write to us for a free list of our books.</p><p>-Printed in the north. All prices with tax.</p></body>',
+    '<body><div>-Now with more sugar and at half the price.</div><h1>+Bees in winter</h1><p>+In winter the bees hang together in a ball, and those on the outside change places with those within it.</p><p>+They do not sleep.</p><p>+When it gets warm enough they fly out once, on a clear day, and come back before the sun is low.</p><div>-The Valley Press, third floor, open on weekdays.</div></body>',
+    '<body><div>-Our new coats are in the shops since Monday.</div><h1>+Ice on the lake</h1><p>+The lake froze over in the first week of the year, and by the second one there were carts on it.</p><p>+In March it broke with a noise that could be heard in the next town, and took a bridge with it.</p><div>-lake.example - a page of the old harbour office.</div></body>',
+    '<body><div><a href="1">-Top</a></div><div>-Fresh bread each morning, also on Sundays.</div><h1>+Three bridges</h1><p>+The first bridge was of wood, and it went down the river with the ice in the year in which it was built.</p><p>+The second one stood.</p><p>+It was pulled down only when lorries came, since two of them could not pass each other on its narrow back.</p><div>-Bridges and roads, a small page about large things.</div></body>',
+    '<body><div>-Login</div><div>-Register</div><div>-Search</div><div>-News from the harbour of today</div><p>+The ship came in at noon with half of its cargo under water and the rest of it on fire, to the joy of all.</p><p>+The captain went home.</p><p>+He had been on his feet for three days and slept for two, and when he woke up he could not be made to speak of it.</p><div>-Share</div><div>-Print</div><div>-Send</div><div>-Ask for our free guide to the harbour</div><div>-Part of the coast network</div></body>',
+    '<body><p>-Home</p><p>-Team</p><p>-Press</p><p>-Jobs</p><p>+What the hills give in autumn they take back in spring, and those who live on them know when to move their sheep.</p><p>+There is no law about it, and no book, and whoever asks is told to look at the birds, which is good advice.</p><p>+We looked at them for a whole year and moved our sheep on the same day as all the others, to their great surprise.</p><p>-Join our club and save on every visit</p><p>-Rights of all pictures with their makers</p></body>',
+    '<body><div>+The road to the pass is open from May to October, and closed at night for all carts that are not drawn by mules.</div><div>+At the top there is a house.</div><div>+Whoever stays there is asked to leave some wood by the door for those who will come up in the snow after them.</div></body>',
+    '<body><h2>+Soap</h2><p>+Soap is made of fat and ash, and of patience, since it has to be stirred for as long as the sun is up.</p><h2>+Candles</h2><p>+Candles are made of the same fat, but without the ash, and by those who have no patience left for soap.</p><p>+Both smell.</p></body>',
+)
+#: Labelled orders of blocks on such pages: + or -, h for a heading, i for a list item, l for a link, and the words.
+ORDERS = (
+    "-1 -1 -1 +24 +21 +30 -9 -7",
+    "-1 -1 -1 -1 +h4 +35 +42 +28 -5 -4",
+    "-1 -2 -1 +h5 +40 +3 +55 +31 -8 -6",
+    "-2 -1 -3 -1 +26 +60 +4 +33 -2 -5 -3",
+    "-1 -2 +22 +19 +25 -3 -4 -4",
+    "-3 -2 -2 +h3 +18 +22 +48 -10 -8",
+    "-1 -1 -1 -1 -1 +29 +34 +20 -11 -9 -2",
+    "-2 -2 +h6 +70 +5 +44 +2 +39 -6 -7",
+    "-9 +h6 +33 +47 +21 -12",
+    "-8 +h5 +28 +4 +36 +50 -10",
+    "-7 +h9 +41 +22 +58 -11",
+    "-10 +h12 +37 +64 +80 +45 -9",
+    "-6 +h14 +25 +120 +33 -13",
+    "-8 +h11 +8 +90 +27 +5 +61 -10",
+    "-7 +h8 +52 +3 +6 +44 -14",
+    "-9 +h10 +66 +30 -8 -3",
+    "-1 -8 +h7 +34 +52 -9 -1 -2",
+    "-4 +h5 +27 +31 +40 -7",
+    "-1 -1 +23 +2 +35 +3",
+    "-1 -1 -2 +40 +27 +4",
+    "+h3 +30 +28 +4 +41",
+    "+h4 +22 +3 +2 +45 +2",
+    "+h2 +19 +6 +33",
+    "+34 +7 +29 +12 +51",
+    "+45 +40 +38",
+    "+60 +9 +8 +70 +3",
+    "+4 +1",
+    "+4 +3",
+    "+5 +2 +6",
+    "+3 +4",
+    "+6",
+    "+3",
+    "+2 +8",
+    "+1 +4 +3",
+    "+7 +5",
+    "+h2 +3",
+    "+h1 +2",
+    "+h4 +6 +3",
+    "-l1 -l1 -l1 +h5 +44 +30 +5 +52 -9",
+    "-l1 -l2 -l1 -l1 +h4 +33 +28 -l3 -l4 -7",
+    "-l1 -l1 -8 +h9 +37 +49 +26 -10",
+    "-il1 -il1 -il1 -il1 -il1 -8 +h12 +48 +20 +99 -12",
+    "-il1 -il1 -il1 -il1 -7 +h10 +31 +14 +72 +9 +40 -9",
+    "-il1 -il1 -il1 -9 +h7 +13 +66 +8 +25 -11",
+    "-il2 -il1 -il1 -6 +h11 +80 +3 +12 +35 -8",
+    "-il1 -il1 -il1 -il1 -10 +h8 +55 +28 -10",
+    "-i1 -i1 -i2 +h3 +25 +31 -8",
+    "-i1 -i1 -i1 -i1 +h6 +44 +5 +38 -5 -6",
+    "+h3 +26 +i4 +i6 +i3 +30",
+    "+h4 +33 +i2 +i9 +i12 +22 +5",
+    "+30 +l4 +28",
+    "+h3 +40 +l6 +5 +36 -l2 -l3",
+    "-1 -1 -1 +50 +33 -5",
+    "-2 -1 -1 -2 +31 +48 +9 +27 -3 -8 -5 -4",
+    "-1 -1 -1 -1 +38 +6 +7 +42 +55 -6 -2",
+    "-1 -4 +29 +37 +41 -2 -4 -5",
+    "-2 -2 -2 +36 +58 +22 -3 -6 -8",
+    "-1 -3 +46 +31 +24 +60 -4 -3",
+    "-3 -1 +21 +27 -5 -5",
+    "-1 -1 -2 -1 +h2 +27 +33 +8 +45 -7 -9",
+)
+ORDER = re.compile(r"([+-])(h?)(i?)(l?)(\d+)")
+
+
+TELLING = re.compile(r"<(/?)(?:" + "|".join(sorted(GOOD_TAGS | BAD_TAGS)) + r")\b|\s(?:class|id|role)=\"[^\"]*\"")
+
+
+def bare(page: str) -> str:
+    """A page without names, and with ``div`` for tags that tell what they hold."""
+    return TELLING.sub(lambda m: f"<{m[1]}div" if m[0][0] == "<" else "", page)
+
+
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1: main text) of the table's blocks."""
-    xs, ys = [], []
-    for page in PAGES:
-        found = blocks(page)
-        ys += [1 if t.startswith("+") else 0 for t, _ in found]
+    """Features and labels (1: main text) of the blocks of the labelled pages."""
+    tables = [blocks(page) for page in PAGES]
+    return np.concatenate([features(found) for found in tables]), np.array([t.startswith("+") for found in tables for t, _ in found], int)
+
+
+def labelled_nameless() -> tuple[np.ndarray, np.ndarray]:
+    """Those of blocks that nothing names: of the labelled pages, twice each, and of the nameless pages and orders."""
+    x, y = labelled()
+    own = ~x[:, PLAIN:].any(axis=1)
+    xs, ys = [x[own], x[own]], [*y[own], *y[own]]
+    for page in NAMELESS:
+        found = blocks(bare(page))
         xs.append(features(found))
-    return np.concatenate(xs), np.array(ys)
+        ys += [int(t.startswith("+")) for t, _ in found]
+    for order in ORDERS:
+        parts = [ORDER.fullmatch(part).groups() for part in order.split()]
+        xs.append(features([("", (int(n), float(bool(link)), bool(head), bool(item), 0, 0)) for _, head, item, link, n in parts]))
+        ys += [int(sign == "+") for sign, *_ in parts]
+    return np.concatenate(xs)[:, :PLAIN], np.array(ys)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 1):
@@ -331,7 +433,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 1):
 
 @lru_cache(1)
 def tree(depth: int = 9):
-    return grow(*labelled(), depth)
+    """Blocks that nothing names go down a side of counts, links and neighbours alone, all others one of all features."""
+    plain, named = grow(*labelled_nameless(), depth, 2), grow(*labelled(), depth)
+    return PLAIN + 1, 0.5, (PLAIN, 0.5, plain, named), named
 
 
 def share(node, row: np.ndarray) -> float:
@@ -345,7 +449,11 @@ def main_text(page: str | None, model=None) -> str:
     if not found:
         return ""
     model = tree() if model is None else model
-    return " ".join(t for (t, _), row in zip(found, features(found)) if share(model, row) >= 0.5)
+    rows = features(found)
+    kept = [share(model, row) >= 0.5 for row in rows]
+    if not any(kept):  # all of a page that has only short blocks
+        kept = [row[1] < 0.5 and not row[-1] for row in rows]
+    return " ".join(t for (t, _), k in zip(found, kept) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -490,6 +490,33 @@ def test_main_text_of_hard_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+#: Pages without any names, telling tags or links, of blocks that begin with + (main text) or - (not); not from the labelled table.
+NAMELESS = [
+    ("Home|News|Sport", "The council met on Tuesday to talk about the new bridge over the river, which has been closed since March.|Several members said that the repair would cost more than a new one, and asked for a second opinion.|A decision is expected next month, when the engineers will have finished their report on the pillars.", "Sign up to our weekly letter and never miss a story|Copyright 2024 Example Media. All rights reserved."),
+]
+
+
+@pytest.mark.parametrize("tag", ["p", "div"])
+@pytest.mark.parametrize("page", NAMELESS)
+def test_main_text_without_names(page, tag):
+    parts = [x.split("|") for x in page]
+    text = "".join(f"<{t}>{x}</{t}>" for t, xs in zip((tag, "p", tag), parts) for x in xs)
+    assert html_text.main_text(f"<body>{text}</body>") == " ".join(parts[1])
+
+
+def test_counts_decide_without_names(spark, sf_dir):
+    """Pages whose class names are taken away, and those that have no telling tags either, keep most blocks' verdicts."""
+    model = html_text.tree()
+    right, n = [0, 0], 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want = {t for t, _ in html_text.blocks(re.search(r"<article>.*</article>", r.html, re.S)[0])}
+        for k, page in enumerate((re.sub(r"\s(class|id|role)=\"[^\"]*\"", "", r.html), html_text.bare(r.html))):
+            found = html_text.blocks(page)
+            right[k] += sum((html_text.share(model, row) >= 0.5) == (t in want) for (t, _), row in zip(found, html_text.features(found)))
+        n += len(found)
+    assert n > 300 and right[0] >= 0.97 * n and right[1] >= 0.85 * n
+
+
 def test_main_text_takes_linear_time():
     import time
 
