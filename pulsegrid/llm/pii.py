@@ -7,10 +7,12 @@ from parts, with forms that the patterns miss (phones without a plus sign, spell
 aren't data (dates, prices, times, versions, bare numbers).
 
 The whole text is cut into windows of ``WINDOW`` characters that overlap by twice ``MARGIN``, and every window is
-scored. Those in which some character is sure enough to be part of a span are decoded, and those beside them. A character takes its tag from the window that has it in its middle, and runs
-of tags go on across windows, so spans may have any length. What a document's windows propose is
-reconciled globally: of all proposals that don't touch a base span, those without overlap of the largest total score
-are taken. Positions are code points, ends exclusive.
+scored. Those in which some character is sure enough to be part of a span are decoded, those beside them, and those that
+a run of tags goes on into. A character takes its tag from the window that has it in its middle, and runs of tags go on
+across windows, so spans may have any length. What is proposed is taken to the ends of the words or numbers that it is
+in, and dropped where its form says that it is something else (compounds, paths, names of keys, UUIDs, commits, ISBNs).
+What a document's windows propose is reconciled globally: of all proposals that don't touch a base span, those without
+overlap of the largest total score are taken. Positions are code points, ends exclusive.
 
 Null texts count as empty and give no spans. Texts of any length are searched whole, in time linear in their length.
 Repeated rows are searched one by one; other columns aren't looked at, whatever their names; an empty table gives an
@@ -290,19 +292,23 @@ class Tagger:
         """Of windows (time, windows), those that can take part in a proposal; their tags, and each character's margin over outside.
 
         A proposal's mean margin is at least ``LEAST_MARGIN``, so one of its characters has that margin for some tag.
-        Windows without such a character are left out, but for those beside one with: ``joins`` tells whether a window
-        goes on with the text of the one before it.
+        Windows without such a character are left out, but for those beside one with, and, from these on, those into
+        which a run of tags goes on; ``joins`` tells whether a window goes on with the text of the one before it.
         """
         e = self.emissions(codes)
         e -= e[:, :1]
         own = e[:, 1:].max(axis=(0, 1)) >= LEAST_MARGIN
-        near = own.copy()
-        near[1:] |= own[:-1] & joins[1:]
-        near[:-1] |= own[1:] & joins[1:]
-        live = np.flatnonzero(near)
-        e = np.ascontiguousarray(e[:, :, live])
-        tags = self.viterbi(e)
-        return live, tags, np.take_along_axis(e, tags[:, None], 1)[:, 0]
+        beside = lambda from_left, from_right: (np.concatenate([[False], from_left[:-1]]) & joins) | np.concatenate([(from_right & joins)[1:], [False]])
+        new = own | beside(own, own)
+        live, tags = new.copy(), np.zeros((len(e), e.shape[2]), np.uint8)
+        while new.any():
+            at = np.flatnonzero(new)
+            tags[:, at] = self.viterbi(np.ascontiguousarray(e[:, :, at]))
+            new = beside(new & (tags[-1] > 0), new & (tags[0] > 0)) & ~live
+            live |= new
+        live = np.flatnonzero(live)
+        tags = np.ascontiguousarray(tags[:, live])
+        return live, tags, np.take_along_axis(np.ascontiguousarray(e[:, :, live]), tags[:, None], 1)[:, 0]
 
 
 # --- labelled spans ------------------------------------------------------------------------------------------------
@@ -444,19 +450,77 @@ def proposals(tags: np.ndarray, margin: np.ndarray) -> Iterator[tuple[tuple[str,
         at = int(np.searchsorted(inside, end))
 
 
-def plausible(kind: str, value: str) -> bool:
-    """What every span of a kind must be by its form; the model decides where one lies."""
+#: Words that a key or password without a digit stands behind; and those behind which a number or hash is another thing. Fixed values.
+KEY_WORD = re.compile(r"(?i)(?:token|passw(?:or[dt]|d)|secret|api[ _-]?key|kennwort|mot de passe|contraseña|clave|schlüssel)[\"']?(?:\s{0,3}[=:]|\s+(?:is|ist|es|est))\s{0,3}[\"']?$")
+OTHER_WORD = re.compile(r"(?i)(?:\b(?:commit|revision|rev|sha-?1|sha-?256|md5|digest|checksum|etag)\b[\s:=#]{0,3}|\bisbn(?:-1[03])?\b[\s:]{0,3})$")
+UUID = re.compile(r"(?i)\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b")
+ISBN = re.compile(r"97[89][- ]?(?:[0-9][- ]?){9}[0-9]")
+SPELLED_DOT = re.compile(r"(?i)(?:\s*[(\[]\s*dot\s*[)\]]\s*|\s+dot\s+)[a-z0-9-]+")
+DOT_HEAD = re.compile(r"(?i)[(\[]dot[)\]]|dot\s")
+DOT_END, DOT_START = re.compile(r"(?i)[(\[]dot[)\]]$|\sdot$"), re.compile(r"(?i)[a-z0-9._%+-]+(?:\s*[(\[]\s*dot\s*[)\]]\s*|\s+dot\s+)$")
+
+
+def whole(text: str, kind: str, start: int, end: int) -> tuple[int, int]:
+    """A span up to the ends of the word, number or spelled-out address that it begins and ends in."""
+    part = {"phone": lambda c: c in "0123456789.-", "card": lambda c: c in "0123456789-", "ip": lambda c: c in "0123456789."}.get(kind, lambda c: c.isalnum() or c in "_/+-" * (kind == "secret") + "._%+-" * (kind == "email"))
+    first, last = start, end
+    while start > 0 and last - start < 4096 and part(text[start - 1]):
+        start -= 1
+    while end < len(text) and end - first < 4096 and part(text[end]):
+        end += 1
+    # marks that belong to the sentence
+    while start < first and text[start] in ".-/+_":
+        start += 1
+    while end > last and text[end - 1] in ".-/+_":
+        end -= 1
+    if kind == "email" and "@" not in text[start:end]:
+        if DOT_END.search(text[start:end]) and (m := re.compile(r"\s*[A-Za-z0-9-]+").match(text, end)):
+            end = m.end()
+        if DOT_HEAD.match(text, start) and (m := re.compile(r"[A-Za-z0-9._%+-]+\s*$").search(text, max(0, start - 64), start)):
+            start = m.start()
+        while (m := SPELLED_DOT.match(text, end)) and m.end() - start < 256:
+            end = m.end()
+        while (m := DOT_START.search(text, max(0, start - 64), start)) and end - m.start() < 256:
+            start = m.start()
+    return start, end
+
+
+def plausible(kind: str, value: str, before: str = "", around: str = "") -> bool:
+    """What every span of a kind must be by its form, and by the 40 characters ``before`` it and ``around`` it; the model decides where one lies."""
     if kind == "secret":
-        return len(value) >= 16 and not any(c.isspace() for c in value)
+        if len(value) < 16 or any(c.isspace() for c in value) or len(set(value)) < 6 or OTHER_WORD.search(before):
+            return False
+        if any(value in m[0] for m in UUID.finditer(around)):
+            return False
+        told = KEY_WORD.search(before) is not None
+        token = before[max(before.rfind(" "), before.rfind("\n")) + 1 :]
+        if "://" in token and not token.endswith("="):
+            return False
+        # letters, and words joined by signs, are a key only where something says so
+        return told or value.startswith("AKIA") or any(c.isdigit() for c in value) or (value.isalpha() and value[1:].lower() != value[1:] and value.upper() != value and sum(a.islower() and b.isupper() for a, b in zip(value, value[1:])) >= 4)
     if kind == "email":
         words = re.sub(r"[()\[\]]", " ", value.lower())
         return "@" in value or " dot " in words and " at " in words
     n = sum("0" <= c <= "9" for c in value)
+    if kind == "phone" and (OTHER_WORD.search(before) or n == 13 and ISBN.fullmatch(value)):
+        return False
+    if kind == "ip" and value.count(".") != 3:
+        return False
     if kind == "card" and not luhn("".join(c for c in value if "0" <= c <= "9")):
         return False
     return {"phone": 7 <= n <= 15, "ip": n >= 4, "card": 13 <= n <= 19}[kind] and not any(c.isalpha() for c in value)
 
 
+def formed(text: str, found: Iterator[tuple[tuple[str, int, int], float]]) -> dict[tuple[str, int, int], float]:
+    """The proposals, as whole words or numbers, that may be what they are taken for."""
+    out: dict[tuple[str, int, int], float] = {}
+    for (kind, s, e), score in found:
+        s, e = whole(text, kind, s, e)
+        if plausible(kind, text[s:e], text[max(0, s - 40) : s], text[max(0, s - 40) : e + 40]):
+            out[kind, s, e] = max(score, out.get((kind, s, e), score))
+    return out
+
+
 def best_without_overlap(found: dict[tuple[str, int, int], float], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The proposals free of ``taken`` that together score most, none overlapping another."""
     fixed = sorted((s, e) for _, s, e in taken)
@@ -514,7 +578,7 @@ def spans_of(texts: list[str], tagger: Tagger, most: int = 1024) -> list[tuple[l
     out = []
     for k, text in enumerate(texts):
         base = base_spans(text)
-        good = {x: v for x, v in proposals(*found[k]) if plausible(x[0], text[x[1] : x[2]])} if k in found else {}
+        good = formed(text, proposals(*found[k])) if k in found else {}
         out.append((base, best_without_overlap(good, base) if good else []))
     return out
 
