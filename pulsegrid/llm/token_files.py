@@ -203,6 +203,11 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> DataFrame:
     return tokens.select("ids").mapInPandas(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+#: Tasks that write or read files at most; beyond that a task has several files, one after the other.
+MOST_TASKS = 4096
+
+
+
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1, ids_per_file: int = IDS_PER_FILE, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, np.ndarray]:
     """Write the files of ``docs`` to ``folder``; gives the table of files (part, place, file, n_docs, n_ids) and the id of each rank.
 
@@ -217,7 +222,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
     rank_of = np.empty(vocabulary, np.uint32)
     rank_of[id_of] = np.arange(vocabulary, dtype=np.uint32)
     ranks = docs.sparkSession.sparkContext.broadcast(rank_of)
-    parts = max(1, -(-int(counted["n"].sum()) // ids_per_file))
+    parts = min(MOST_TASKS, max(1, -(-int(counted["n"].sum()) // ids_per_file)))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
@@ -263,7 +268,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame, id_of: np.ndarray)
     before = total.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = stored(files.withColumn("inside", inside).join(before, "part").select("file", (F.col("before") + F.col("inside")).alias("file_start")), "starts")
-    return starts.repartition(max(1, starts.count())).mapInPandas(each, "doc_id long, start long, n_tokens long, ids binary")
+    return starts.repartition(min(MOST_TASKS, max(1, starts.count()))).mapInPandas(each, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = 1, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
