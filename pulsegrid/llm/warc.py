@@ -34,6 +34,8 @@ SALTS = 16
 FILE_BYTES = 32 << 20
 #: Ranges of a file that lie at most this far apart are read together, up to READ_BYTES at once.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Tasks that read at most; beyond that a task has several stretches, one after the other.
+MOST_TASKS = 4096
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -155,7 +157,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     stretch = F.floor(F.col("offset") / READ_BYTES)
     # as many tasks as the archives' bytes ask for; the index rows themselves are too small to tell
-    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
+    tasks = min(MOST_TASKS, 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES)
     dealt = index.select("file", "offset", "length").repartition(int(tasks), F.col("file"), stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(each, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 

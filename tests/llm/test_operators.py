@@ -383,6 +383,17 @@ def test_isotonic_fit():
     assert (np.diff(ys) >= 0).all() and len(xs) == len(ys)
 
 
+def test_few_tasks_give_the_same(spark, docs, sf_dir, monkeypatch):
+    """Token files and archives by as many tasks as their sizes ask for, and by two."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    monkeypatch.setattr(warc, "READ_BYTES", 20_000)
+    rows = lambda: (sorted(map(tuple, token_files.round_trip(docs, ids_per_file=3000).collect())), sorted(map(tuple, warc.round_trip(pages).collect())))
+    want = rows()
+    monkeypatch.setattr(token_files, "MOST_TASKS", 2)
+    monkeypatch.setattr(warc, "MOST_TASKS", 2)
+    assert rows() == want and len(want[0]) == docs.count()
+
+
 def test_archives(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://c\r\nx: y", ""), (None, "http://d", "<p>x</p>"), (5, "u", "é" * 3000), (2, "http://b", "<p>x</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"file": F.lit(1), "offset": F.lit("x")})
