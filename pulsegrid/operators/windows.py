@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scalar import baseline_score, count_ratio, irregularity
 from pulsegrid.operators.gaps import STITCHED, bucket_rows, gap_stats, integer_jitter, integer_mean, stitched
 from pulsegrid.operators.keys import join, join_summary
-from pulsegrid.operators.ordering import with_max_before, with_previous
+from pulsegrid.operators.ordering import with_max_before
 from pulsegrid.shared import stored
 
 RUN, TOPIC = ["run_id"], ["run_id", "topic"]
@@ -60,8 +60,15 @@ def run_profile(windows: DataFrame) -> DataFrame:
 
 def missing_intervals(windows: DataFrame) -> DataFrame:
     """Neighbouring observed windows with others between: gap, first missing id, next id, how many; empty ones are never made."""
-    rows = with_previous(windows.select(*TOPIC, "window", "first_ns", "last_ns", "run_start_ns"), TOPIC, "window", ["window", "last_ns"], STITCHED)
-    rows = rows.withColumns({"before": F.col("previous.window"), "previous_observed_ns": F.col("previous.last_ns")})
+    # neighbours within blocks of windows, then the last and the first ones of neighbouring blocks: both need one shuffle
+    of = [*TOPIC, "_block"]
+    placed = windows.select(*TOPIC, "window", "first_ns", "last_ns", "run_start_ns", F.floor(F.col("window") / F.lit(STITCHED).cast("decimal(20,0)")).cast("bigint").alias("_block"))
+    before = lambda c, over: F.lag(c).over(over)
+    own = Window.partitionBy(*of).orderBy("window")
+    inside = placed.select(*TOPIC, "window", "first_ns", "run_start_ns", before("window", own).alias("before"), before("last_ns", own).alias("previous_observed_ns"))
+    ends = placed.groupBy(*of).agg(F.min(F.struct("window", "first_ns", "run_start_ns")).alias("first"), F.max(F.struct("window", "last_ns")).alias("last"))
+    ends = ends.withColumn("earlier", before("last", Window.partitionBy(*TOPIC).orderBy("_block")))
+    rows = inside.union(ends.select(*TOPIC, "first.window", "first.first_ns", "first.run_start_ns", "earlier.window", "earlier.last_ns"))
     return rows.where(F.col("window") - F.col("before") > 1).select(
         *TOPIC, "run_start_ns", (F.col("first_ns") - F.col("previous_observed_ns")).alias("gap_ns"), (F.col("before") + 1).alias("first_missing"), F.col("window").alias("next_window"), (F.col("window") - F.col("before") - 1).alias("missing_window_count"), "previous_observed_ns", F.col("first_ns").alias("next_observed_ns"),
     )
