@@ -37,7 +37,7 @@ STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Marks that the splitting pattern cuts, as one piece, from letters before them. (Of an apostrophe it may make a suffix.)
 MARKS = ".,!?;:"
 #: A worker forgets part of its remembered stretches and pieces beyond these numbers, and between tasks beyond the last; that bounds memory and changes no result.
-STRETCHES, PIECES, IDLE = 500_000, 400_000, 150_000
+STRETCHES, PIECES, IDLE = 250_000, 200_000, 30_000
 
 
 class ByteBpe:
