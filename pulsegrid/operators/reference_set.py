@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +95,12 @@ def policy_violations(subjects: DataFrame) -> DataFrame:
     return subjects.select("subject_id", F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()])).alias("violations"))
 
 
-def _endless(up: DataFrame, keys: list[str]) -> DataFrame:
-    """The nodes (keys, node) whose path never ends, if each node has one row (keys, node, at); ``at`` is null at an end.
+#: Nodes at most whose paths are followed by doubling; more are hooked together first.
+FEW = 100_000
+
+
+def _doubled(up: DataFrame, keys: list[str]) -> DataFrame:
+    """``_endless`` for few nodes.
 
     Each round doubles the length of known paths and is written to the shared folder, so the plan stays flat; a chain
     of n rows takes log2(n) rounds. It ends when no path ends that hadn't before.
@@ -110,6 +116,45 @@ def _endless(up: DataFrame, keys: list[str]) -> DataFrame:
         up = join(up, step, [*keys, "at"], "left").select(*keys, "node", F.col("next").alias("at"))
 
 
+def _endless(up: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes (keys, node) whose path never ends, if each node has one row (keys, node, at); ``at`` is null at an end.
+
+    While there are more than ``FEW`` nodes, each round tosses a coin for every node, by a hash. A node with tails before
+    one with heads is hooked to it, as both end or neither does, and goes; those before it now come before the other.
+    Heads stay, so only rows before a node with tails are looked up, and about a quarter of the nodes goes in a round:
+    all rounds together hold a few rows a node, however long the chains. Nodes that come before themselves are set
+    apart. The hooked nodes are told from what they were hooked to, the last ones first.
+    """
+    kind = up.select("node").union(up.select("at")).schema[0].dataType  # one type, as hashes differ between types
+    up = up.select(*keys, F.col("node").cast(kind).alias("node"), F.col("at").cast(kind).alias("at")).where("at is not null")
+    hooked, own = [], []
+    up = stored(up, "paths")
+    loop = F.col("node") == F.col("at")
+    while up.where(~loop).count() > FEW:
+        heads = lambda c, k=len(hooked): F.xxhash64(F.lit(k), F.col(c)).bitwiseAND(F.lit(1)) == 0
+        own.append(up.where(loop).select(*keys, "node"))
+        gone = up.where(~loop & ~heads("node") & heads("at"))
+        hooked.append(gone)
+        kept = up.where(~loop & (heads("node") | ~heads("at")))
+        step = gone.select(*keys, F.col("node").alias("at"), F.col("at").alias("next"))
+        moved = join(kept.where(~heads("at")), step, [*keys, "at"], "left").select(*keys, "node", F.coalesce("next", "at").alias("at"))
+        up = stored(kept.where(heads("at")).union(moved), "paths")
+    if not hooked:
+        return _doubled(up, keys)
+    rest = up.where(~loop)
+    own.append(up.where(loop).select(*keys, "node"))
+    own = stored(reduce(DataFrame.union, own), "own")
+    before = join(rest.select(*keys, "at").distinct(), own.withColumnRenamed("node", "at"), [*keys, "at"])
+    base = _doubled(rest.union(before.select(*keys, F.col("at").alias("node"), "at")), keys)
+    found = [own, join(base, own, [*keys, "node"], "left_anti")]
+    if not any(f.head(1) for f in found):
+        return own
+    for gone in reversed(hooked):
+        so_far = reduce(DataFrame.union, found).withColumnRenamed("node", "at")
+        found.append(stored(join(gone, so_far, [*keys, "at"]).select(*keys, "node"), "endless"))
+    return reduce(DataFrame.union, found)
+
+
 def unrooted(rows: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
     """The distinct (keys, node) from which no path of parents ends, within their keys: those on a cycle and those above one.
 

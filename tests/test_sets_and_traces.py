@@ -200,3 +200,24 @@ def test_dimension_maps(spark):
     rows = [({"b": " 2 ", " a": "1"},), ({"a": "1", "a ": "2"},), ({"": "1"},), ({"a": None},)]
     got = [r.m for r in spark.createDataFrame(rows, "d map<string,string>").select(X.canonical_map("d").alias("m")).collect()]
     assert list(got[0].items()) == [("a", "1"), ("b", "2")] and got[1:] == [None, None, None]
+
+
+def test_many_nodes_are_hooked_with_few_rows_a_node(spark, monkeypatch):
+    """A chain of 2,000 beside loops, a ring and what comes before these: all rounds together hold a few rows a node."""
+    from pulsegrid.operators import reference_set as R
+
+    kept, sizes = R.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(R, "stored", counted)
+    monkeypatch.setattr(R, "FEW", 200, raising=False)
+    chain = [(n, n - 1 if n else None) for n in range(2000)]
+    endless = [(3000, 3000), (3001, 3000), (3002, 3001), *[(4000 + n, 4000 + (n + 1) % 50) for n in range(50)], *[(5000 + n, 4999 + n if n else 4000) for n in range(50)]]
+    lost = [(6000, -1), (6001, 6000)]
+    rows = spark.createDataFrame(chain + endless + lost, "n bigint, p int")
+    assert sorted(r.n for r in R.unrooted(rows, [], "n", "p").collect()) == sorted(n for n, _ in endless)
+    assert sum(n for name, n in sizes if name == "paths") < 7 * rows.count()
