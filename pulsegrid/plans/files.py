@@ -7,11 +7,12 @@ reads them back by it; its SQL says the same of the tables themselves.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid import schema
 from pulsegrid.operators import audit, gate, windows
@@ -244,20 +245,23 @@ def append_ingest(spark, d):
     return spark.read.schema(cols).option("recursiveFileLookup", True).parquet(f"{shared}/events").select("event_id", "sequence_index", "event_hash", F.col("file").cast("bigint").alias("file"))
 
 
-def arrivals(spark: SparkSession, df: DataFrame, order: str, files: int, name: str, per_batch: int = 1) -> DataFrame:
-    """A stream of ``df``, laid down as files by ``order``, which it takes one or more a micro-batch."""
-    folder = scratch(spark, name)
+def arrivals(df: DataFrame, order: str, files: int, folder: str, take: Callable[[DataFrame], StreamingQuery], per_batch: int = 1) -> None:
+    """Lay ``df`` down in slices by ``order``; whenever one or more have come, ``take`` the stream of the folder, which goes on from its checkpoint.
+
+    What has come since is one micro-batch, so a slice is written by as many tasks as it is read by, into any number of files.
+    """
     size = df.agg(F.max(order)).first()[0] // files + 1
-    for k in range(files):  # read in the order of their times
-        df.where(F.floor(F.col(order) / size) == k).coalesce(1).write.parquet(f"{folder}/f{k}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).parquet(folder)
+    stream = df.sparkSession.readStream.schema(df.schema).option("recursiveFileLookup", True)
+    for k in range(0, files, per_batch):
+        df.where((F.col(order) >= k * size) & (F.col(order) < min(k + per_batch, files) * size)).write.parquet(f"{folder}/f{k}")
+        take(stream.parquet(folder)).awaitTermination()
 
 
 def reported(spark: SparkSession, m: DataFrame, window_ns: int, k: int) -> Report:
     """The report of a stream of messages in three micro-batches."""
     folder = scratch(spark, "stream-report")
     report = Report(Versions(spark, f"{folder}/tables"), window_ns, 2 * HOUR, k)
-    report.run(arrivals(spark, m.select("run_id", "topic", "log_time_ns", "arrival_seq"), "arrival_seq", 3, "arrivals"), f"{folder}/checkpoint").awaitTermination()
+    arrivals(m.select("run_id", "topic", "log_time_ns", "arrival_seq"), "arrival_seq", 3, scratch(spark, "arrivals"), lambda stream: report.run(stream, f"{folder}/checkpoint"))
     return report
 
 
@@ -306,7 +310,7 @@ def append_index(spark, d):
     """ST6: the three tables kept up to date by appended files, several a micro-batch; jumps at their seams too."""
     folder, e = scratch(spark, "append-index"), with_jumps(spark, d)
     index = TraceIndex(Versions(spark, f"{folder}/tables"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema), strict=False)
-    index.run(arrivals(spark, e, "sequence_index", 4, "appended", 2), f"{folder}/checkpoint").awaitTermination()
+    arrivals(e, "sequence_index", 4, scratch(spark, "appended"), lambda stream: index.run(stream, f"{folder}/checkpoint"), 2)
     return index_rows(index.events(), index.gaps(), index.counts())
 
 

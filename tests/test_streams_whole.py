@@ -137,3 +137,16 @@ def test_strict_index_rejects_whole_batches(spark, tmp_path):
     run()
     assert index.events().count() == 42 and index.gaps().count() == 0 and index.tail().first().last_event_hash == "h41"
     assert same(index.counts(), trace.category_counts(spark.createDataFrame(rows, EVENTS)))
+
+
+def test_slices_of_a_stream_are_written_by_many_tasks(spark, tmp_path):
+    """A slice has a file of each task that holds rows of it, and each row comes once, in the slices' order."""
+    from types import SimpleNamespace
+
+    from pulsegrid.plans import files
+
+    seen = []
+    take = lambda stream: SimpleNamespace(awaitTermination=lambda: seen.append(sorted(r.id for r in spark.read.parquet(*map(str, tmp_path.glob("f*"))).collect())))
+    files.arrivals(spark.range(0, 100, 1, 10), "id", 4, str(tmp_path), take, 2)
+    assert seen == [list(range(50)), list(range(100))]
+    assert all(len(list(f.glob("part-*.parquet"))) > 1 for f in tmp_path.glob("f*"))
